@@ -59,8 +59,7 @@ TABLES = {
           l_suppkey AS seller_id,
           CASE WHEN l_partkey % 40 <> 0 THEN l_extendedprice END AS insured_value,
           substr(address_id, 4, 1) AS zone, substr(address_id, 6, 3) AS aisle,
-          substr(address_id, 10, 3) AS module, substr(address_id, 14, 2) AS floor,
-          CASE WHEN l_linestatus = 'O' THEN 'open' ELSE 'filled' END AS extract
+          substr(address_id, 10, 3) AS module, substr(address_id, 14, 2) AS floor
         FROM placed""",
     "onhand": """
         SELECT address_id, site_id,

@@ -71,16 +71,8 @@ def _bucket_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.bucket_errors(derived.count_detail(spark, sf_dir), stock_share, AREA)
 
 
-def _pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.category_pareto(derived.count_detail(spark, sf_dir, category=True), AREA, SITE)
-
-
-def _count_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.count_base(derived.count_detail(spark, sf_dir, category=True))
-
-
 def _stock_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.parsed(derived.address_stock_sources(spark, sf_dir), tag="extract")
+    return layout.parsed(derived.address_stock_sources(spark, sf_dir))
 
 
 REPORTS: dict[str, Query] = {
@@ -92,7 +84,7 @@ REPORTS: dict[str, Query] = {
     "acc_impact": _summary(accuracy.impact, region=MARKET, period=PERIOD),
     "err_area_by_region": _summary(accuracy.area_errors_by_region, period=PERIOD, without_area=AREA),
     # Count divergence
-    "count_base": _count_base,
+    "count_base": _detail(divergence.count_base),
     "div_area_month": _detail(divergence.area_month),
     "div_level_type_share": _detail(divergence.level_type_share, market=MARKET, month=MONTH),
     "div_site_level_type": _detail(
@@ -113,7 +105,7 @@ REPORTS: dict[str, Query] = {
     "density_tuples": _detail(divergence.density_tuples, area=AREA),
     "density_error_corr": _detail(divergence.density_error_correlation, area=AREA),
     "density_flag_counts": _detail(divergence.density_flag_counts, area=AREA, market=MARKET),
-    "category_pareto": _pareto,
+    "category_pareto": _detail(divergence.category_pareto, area=AREA, site=SITE),
     # Stock layout
     "stock_parsed": _stock_parsed,
     "stock_site_units": _stock(layout.site_units),

@@ -1,188 +1,188 @@
-"""The six input tables derived from the star-schema test data by key arithmetic.
+"""The six input tables, derived from the star-schema test data by key arithmetic.
 
-Every table is derived from all rows of its source table.
+The tables take the place of the extracts a site would load: each is derived once per
+application from all rows of its source, written to the shared folder as Parquet and read
+from there, so reports scan typed files that can be filtered and pruned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import threading
+import uuid
 
-from stockaudit.functions.scalars import market_of
-from stockaudit.sources.readers import union_sources
+from pyspark.sql import DataFrame, SparkSession, types as T
+
+from stockaudit.session import ensure_checkpoint_dir
+from stockaudit.sources import schemas
 
 SITES = ("BR01", "BR02", "BR03", "BRTR1", "MX01", "MX02", "AR01", "CL01")
-AREAS = ("MZ", "MZ", "MZ", "PW", "MU", "RK")
-MOVE_AREAS = ("MZ", "MZ", "MZ", "PW", "MU", "RK", "")
-PROCESSES = {
-    "click": "Put away",
-    "purchase": "Picking",
-    "view": "Cycle count",
-    "signup": "Stow transfer",
-    "error": " adjustment",
-}
-TARGETS = {"BR": (0.82, 0.80), "MX": (0.79, 0.78), "OTHER": (0.77, 0.76)}
 
+SITE = "elt(cast(l_orderkey % 8 + 1 AS int), 'BR01', 'BR02', 'BR03', 'BRTR1', 'MX01', 'MX02', 'AR01', 'CL01')"
+AREA = "elt(cast(l_orderkey div 8 % 6 + 1 AS int), 'MZ', 'MZ', 'MZ', 'PW', 'MU', 'RK')"
+LEVEL = "cast(l_orderkey div 48 % 9 + 1 AS int)"
+ADDRESS = """
+    concat_ws('-', area, l_orderkey % 3, lpad(l_orderkey div 1000 % 1000, 3, '0'), lpad(l_orderkey % 1000, 3, '0'),
+      if(area = 'RK', 'XX', lpad(level, 2, '0')))"""
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.elt((index + 1).cast("int"), *[F.lit(value) for value in values])
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the place each stands for."""
+    lines = _source(spark, sf_dir, "lineitem")
+    lines = lines.selectExpr("*", f"{SITE} AS site_id", f"{AREA} AS area", f"{LEVEL} AS level")
+    return lines.selectExpr("*", f"{ADDRESS} AS address_id")
+
+
+def _count_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _source(spark, sf_dir, "part").select("p_partkey", "p_type")
+    lines = _lines(spark, sf_dir).selectExpr("*", "(l_partkey * 7 + l_linenumber * 13 + l_suppkey) % 20 AS h")
+    lines = lines.join(parts, lines["l_partkey"] == parts["p_partkey"], "left")
+    return lines.selectExpr(
+        "site_id", "area", "level", "address_id",
+        "if((l_orderkey + l_linenumber) % 101 <> 0, l_partkey, null) AS sku_id",
+        "cast(l_quantity AS int) AS qty_system",
+        """if(h <> 4, cast(l_quantity AS int) + CASE h WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN -1 WHEN 3 THEN -2 ELSE 0
+           END, null) AS qty_counted""",
+        "cast(cast(l_shipdate AS date) AS string) AS counted_on",
+        "if(l_partkey % 50 <> 0, p_type, null) AS category",
+    )
 
 
-def _over(number: Column, size: int) -> Column:
-    return F.floor(number / size)
+def _cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = count_detail(spark, sf_dir).selectExpr(
+        "site_id", "area", "level", "substring(counted_on, 6, 2) AS month", "qty_counted - qty_system AS divergence"
+    )
+    lines.createOrReplaceTempView("stockaudit_counted_lines")
+    return spark.sql("""
+        SELECT concat_ws('-', site_id, area, level, month) AS cycle_count_id, site_id, area, level,
+          CASE WHEN site_id LIKE 'BR%' THEN 'BR' WHEN site_id LIKE 'MX%' THEN 'MX' ELSE 'OTHER' END AS region,
+          concat('2024 | ', month) AS period,
+          if(population_size % 3 = 0, 'working', 'closed') AS status,
+          population_size,
+          if(population_size % 11 <> 0, error_tuples / population_size, null) AS p_hat,
+          accurate_tuples, error_tuples,
+          CASE WHEN site_id LIKE 'BR%' THEN 0.82D WHEN site_id LIKE 'MX%' THEN 0.79D ELSE 0.77D END AS target_site,
+          CASE WHEN site_id LIKE 'BR%' THEN 0.80D WHEN site_id LIKE 'MX%' THEN 0.78D ELSE 0.76D END AS target_region
+        FROM (
+          SELECT site_id, area, level, month, count(*) AS population_size,
+            count_if(divergence = 0) AS accurate_tuples, count_if(divergence <> 0) AS error_tuples
+          FROM stockaudit_counted_lines GROUP BY site_id, area, level, month)""")
+
+
+def _address_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).selectExpr(
+        "site_id", "address_id", "l_partkey AS sku_id", "cast(l_quantity AS int) AS units",
+        """if((l_orderkey + l_linenumber) % 211 = 0, 'n/a', concat(
+             substring(cast(l_shipdate AS string), 9, 2), '/', substring(cast(l_shipdate AS string), 6, 2), '/',
+             substring(cast(l_shipdate AS string), 1, 4), ' ', lpad(l_linenumber, 2, '0'), ':',
+             lpad(l_suppkey % 60, 2, '0'), ':', lpad(l_partkey % 60, 2, '0'))) AS updated_text""",
+        "l_suppkey AS seller_id",
+        "if(l_partkey % 40 <> 0, l_extendedprice, null) AS insured_value",
+    )
 
 
-def _address(area: Column, zone: Column, aisle: Column, module: Column, floor: Column) -> Column:
-    return F.concat_ws(
-        "-", area, zone.cast("string"), F.lpad(aisle.cast("string"), 3, "0"),
-        F.lpad(module.cast("string"), 3, "0"), floor,
+def _onhand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).selectExpr(
+        "address_id", "site_id",
+        "if(site_id = 'CL01' AND l_linenumber = 7, null, cast(l_quantity AS int)) AS units",
     )
 
 
-def _places() -> dict[str, Column]:
-    """Site, area, level and address of a line item, from its order key."""
-    key = F.col("l_orderkey")
-    area = _pick(AREAS, _over(key, 8) % 6)
-    level = (_over(key, 48) % 9 + 1).cast("int")
-    floor = F.when(area == "RK", "XX").otherwise(F.lpad(level.cast("string"), 2, "0"))
-    return {
-        "site_id": _pick(SITES, key % 8),
-        "area": area,
-        "level": level,
-        "address_id": _address(area, key % 3, _over(key, 1000) % 1000, key % 1000, floor),
-    }
-
-
-def count_detail(spark: SparkSession, sf_dir: str, category: bool = False) -> DataFrame:
-    """Counted lines; the join with the product table is made only where its category is read."""
-    lines = _table(spark, sf_dir, "lineitem")
-    places = _places()
-    selector = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_suppkey")) % 20
-    system = F.col("l_quantity").cast("int")
-    error = F.when(selector == 0, 1).when(selector == 1, 2).when(selector == 2, -1).when(selector == 3, -2).otherwise(0)
-    columns = [
-        *[places[name].alias(name) for name in ("site_id", "area", "level", "address_id")],
-        F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 101 != 0, F.col("l_partkey")).alias("sku_id"),
-        system.alias("qty_system"),
-        F.when(selector != 4, system + error).alias("qty_counted"),
-        F.col("l_shipdate").cast("date").cast("string").alias("counted_on"),
-    ]
-    if category:
-        parts = _table(spark, sf_dir, "part").select("p_partkey", "p_type")
-        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-        columns.append(F.when(F.col("l_partkey") % 50 != 0, F.col("p_type")).alias("category"))
-    return lines.select(*columns)
+def _address_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = count_detail(spark, sf_dir).select("site_id", "address_id", "sku_id").distinct()
+    return lines.groupBy("site_id", "address_id").agg({"sku_id": "count"}).toDF("site_id", "address_id", "sku_count")
 
 
-def cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted lines summed per site, area, level and month."""
-    difference = F.col("qty_counted") - F.col("qty_system")
-    month = F.substring("counted_on", 6, 2)
-    strata = (
-        count_detail(spark, sf_dir)
-        .groupBy("site_id", "area", "level", month.alias("month"))
-        .agg(
-            F.count(F.lit(1)).alias("population_size"),
-            F.count(F.when(difference == 0, 1)).alias("accurate_tuples"),
-            F.count(F.when(difference != 0, 1)).alias("error_tuples"),
-        )
+def _movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _source(spark, sf_dir, "events").selectExpr(
+        "*", "cast(ts AS string) AS moved",
+        "elt(cast(event_id % 6 + 1 AS int), 'MZ', 'MZ', 'MZ', 'PW', 'MU', 'RK') AS origin_area",
+        "elt(cast(event_id div 6 % 7 + 1 AS int), 'MZ', 'MZ', 'MZ', 'PW', 'MU', 'RK', '') AS destination_area",
     )
-    region = market_of(F.col("site_id"))
-    site_target, region_target = (
-        F.when(region == "BR", TARGETS["BR"][i]).when(region == "MX", TARGETS["MX"][i]).otherwise(TARGETS["OTHER"][i])
-        for i in (0, 1)
-    )
-    rows = F.col("population_size")
-    return strata.select(
-        F.concat_ws("-", "site_id", "area", F.col("level").cast("string"), "month").alias("cycle_count_id"),
-        "site_id", "area", "level",
-        region.alias("region"),
-        F.concat(F.lit("2024 | "), "month").alias("period"),
-        F.when(rows % 3 == 0, "working").otherwise("closed").alias("status"),
-        rows,
-        F.when(rows % 11 != 0, F.col("error_tuples") / rows).alias("p_hat"),
-        "accurate_tuples", "error_tuples",
-        site_target.alias("target_site"),
-        region_target.alias("target_region"),
+    return events.selectExpr(
+        """CASE event_type WHEN 'click' THEN 'Put away' WHEN 'purchase' THEN 'Picking' WHEN 'view' THEN 'Cycle count'
+           WHEN 'signup' THEN 'Stow transfer' WHEN 'error' THEN ' adjustment' END AS process""",
+        "floor(value) + 1 AS units",
+        "event_id % 500 AS item_id",
+        """concat_ws('-', origin_area, event_id % 3, lpad(event_id div 50 % 20, 3, '0'), lpad(event_id % 50, 3, '0'),
+           lpad(event_id div 12 % 9 + 1, 2, '0')) AS origin""",
+        """if(destination_area = '', '', concat_ws('-', destination_area, event_id % 3,
+           lpad(event_id div 60 % 20, 3, '0'), lpad(event_id % 40, 3, '0'), lpad(event_id div 18 % 9 + 1, 2, '0')))
+           AS destination""",
+        """concat(substring(moved, 9, 2), '/', substring(moved, 6, 2), '/', substring(moved, 1, 4), ' ',
+           substring(moved, 12, 8)) AS moved_text""",
+        "user_id AS worker_id",
     )
 
 
-def _stock_lines(lines: DataFrame) -> DataFrame:
-    places = _places()
-    day = F.col("l_shipdate").cast("date")
-    pad = lambda number: F.lpad(number.cast("string"), 2, "0")
-    clock = F.concat_ws(":", pad(F.col("l_linenumber")), pad(F.col("l_suppkey") % 60), pad(F.col("l_partkey") % 60))
-    updated = F.concat_ws(
-        "/", pad(F.dayofmonth(day)), pad(F.month(day)), F.concat_ws(" ", F.year(day).cast("string"), clock)
-    )
-    return lines.select(
-        places["site_id"].alias("site_id"),
-        places["address_id"].alias("address_id"),
-        F.col("l_partkey").alias("sku_id"),
-        F.col("l_quantity").cast("int").alias("units"),
-        F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 211 == 0, "n/a").otherwise(updated).alias("updated_text"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.when(F.col("l_partkey") % 40 != 0, F.col("l_extendedprice")).alias("insured_value"),
-    )
+BUILDERS = {
+    "count_detail": (_count_detail, schemas.COUNT_DETAIL, "site_id"),
+    "cycle_summary": (_cycle_summary, schemas.CYCLE_SUMMARY, None),
+    "address_stock": (_address_stock, schemas.ADDRESS_STOCK, "site_id"),
+    "onhand": (_onhand, schemas.ONHAND, "site_id"),
+    "address_density": (_address_density, schemas.ADDRESS_DENSITY, "site_id"),
+    "movements": (_movements, schemas.MOVEMENTS, None),
+}
 
+_written: dict[tuple[str, str, str], str] = {}
+_writing = threading.RLock()
 
-def address_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock lines of all sites."""
-    return _stock_lines(_table(spark, sf_dir, "lineitem"))
 
+def land(df: DataFrame, path: str, partition_by: str | None) -> None:
+    """Write a table as Parquet. Rows are rebalanced by the partition column first, which
+    keeps files large and splits a site that holds most of the rows over several writers."""
+    if partition_by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
 
-def address_stock_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The same lines as two extracts, by the status of the line."""
-    lines = _table(spark, sf_dir, "lineitem")
-    return {
-        "open": _stock_lines(lines.where(F.col("l_linestatus") == "O")),
-        "filled": _stock_lines(lines.where(F.col("l_linestatus") != "O")),
-    }
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, derived and written on first use by this application."""
+    build, schema, partition_by = BUILDERS[name]
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    with _writing:
+        if key not in _written:
+            ensure_checkpoint_dir(spark)
+            path = f"{spark.sparkContext.getCheckpointDir()}/stockaudit-{uuid.uuid4().hex}/{name}"
+            land(build(spark, sf_dir), path, partition_by)
+            _written[key] = path
+    return read_landed(spark, _written[key], schema)
 
 
-def stacked_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_sources(address_stock_sources(spark, sf_dir), "extract")
+def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A landed table in its declared column order; the schema spares a pass over the files."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def count_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "count_detail")
+
+
+def cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "cycle_summary")
+
+
+def address_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "address_stock")
+
+
+def address_stock_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The stock as one extract per site, without the site column; together, all rows."""
+    stock = address_stock(spark, sf_dir)
+    return {site: stock.where(stock["site_id"] == site).drop("site_id") for site in SITES}
 
 
 def onhand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = _places()
-    unknown = (places["site_id"] == "CL01") & (F.col("l_linenumber") == 7)
-    return _table(spark, sf_dir, "lineitem").select(
-        places["address_id"].alias("address_id"),
-        places["site_id"].alias("site_id"),
-        F.when(~unknown, F.col("l_quantity").cast("int")).alias("units"),
-    )
+    return table(spark, sf_dir, "onhand")
 
 
 def address_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SKUs per address, unknown SKUs not counted."""
-    lines = count_detail(spark, sf_dir).select("site_id", "address_id", "sku_id").distinct()
-    return lines.groupBy("site_id", "address_id").agg(F.count("sku_id").alias("sku_count"))
+    return table(spark, sf_dir, "address_density")
 
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = F.col("event_id")
-    kind = F.col("event_type")
-    process = F.when(kind == "click", PROCESSES["click"])
-    for name in ("purchase", "view", "signup", "error"):
-        process = process.when(kind == name, PROCESSES[name])
-
-    def floor(size: int) -> Column:
-        return F.lpad((_over(event, size) % 9 + 1).cast("string"), 2, "0")
-
-    moved = F.col("ts").cast("string")
-    day = F.concat_ws("/", F.substring(moved, 9, 2), F.substring(moved, 6, 2), F.substring(moved, 1, 4))
-    target_area = _pick(MOVE_AREAS, _over(event, 6) % 7)
-    target = _address(target_area, event % 3, _over(event, 60) % 20, event % 40, floor(18))
-    return _table(spark, sf_dir, "events").select(
-        process.alias("process"),
-        (F.floor("value") + 1).alias("units"),
-        (event % 500).alias("item_id"),
-        _address(_pick(AREAS, event % 6), event % 3, _over(event, 50) % 20, event % 50, floor(12)).alias("origin"),
-        F.when(target_area == "", "").otherwise(target).alias("destination"),
-        F.concat_ws(" ", day, F.substring(moved, 12, 8)).alias("moved_text"),
-        F.col("user_id").alias("worker_id"),
-    )
+    return table(spark, sf_dir, "movements")
