@@ -51,17 +51,21 @@ def top_flag(column: str, by: Sequence[str], k: int) -> Column:
 
 def order_index(df: DataFrame, category: str, value: str | Column, name: str,
                 aggregate=F.sum, descending: bool = True) -> DataFrame:
-    """Add the 1-based position of a category ordered by an aggregate of its rows.
+    """Add the 1-based position of a category ordered by an aggregate of its rows."""
+    value = F.col(value) if isinstance(value, str) else value
+    leveled = df.withColumn("_level", aggregate(value).over(Window.partitionBy(category)))
+    return order_by_level(leveled, category, "_level", name, descending).drop("_level")
+
 
-    Ties go by category name. Fractional aggregates are rounded to nine digits first, so
-    that the summation order cannot decide a tie.
+def order_by_level(df: DataFrame, category: str, level: str, name: str, descending: bool = True) -> DataFrame:
+    """Add the 1-based position of a category by a value that all its rows share.
+
+    Ties go by category name. Fractional levels are rounded to nine digits first, so that
+    the summation order cannot decide a tie.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    level = F.round(aggregate(value).over(Window.partitionBy(category)).cast("double"), 9)
-    leveled = df.withColumn("_level", level)
-    direction = F.desc_nulls_last("_level") if descending else F.asc_nulls_last("_level")
-    position = F.dense_rank().over(Window.orderBy(direction, F.asc_nulls_last(category)))
-    return leveled.withColumn(name, position).drop("_level")
+    exact = F.round(F.col(level).cast("double"), 9)
+    direction = exact.desc_nulls_last() if descending else exact.asc_nulls_last()
+    return df.withColumn(name, F.dense_rank().over(Window.orderBy(direction, F.asc_nulls_last(category))))
 
 
 def fixed_order(column: Column, values: Sequence[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stockaudit import fixed_values as fixed
 from stockaudit.functions.scalars import flag, pct_label, ratio
@@ -17,7 +17,7 @@ from stockaudit.operators.aggregates import (
     with_total_row,
 )
 from stockaudit.operators.joins import attach, is_small, stored
-from stockaudit.operators.windows import share, total_of
+from stockaudit.operators.windows import order_by_level, share, total_of
 
 
 def areas(summary: DataFrame) -> DataFrame:
@@ -123,8 +123,7 @@ def _site_totals(cells: DataFrame) -> DataFrame:
         pct_label(F.col("target_site"), 2), F.lit("\n"), F.col("goal_mark"), F.lit(" INAC "),
         pct_label(F.col("site_accuracy"), 2),
     ))
-    order = Window.orderBy(F.asc_nulls_last(F.round("site_error_share", 9)), F.asc_nulls_last("site_label"))
-    return sites.withColumn("site_order", F.dense_rank().over(order))
+    return order_by_level(sites, "site_label", "site_error_share", "site_order", descending=False)
 
 
 def _area_totals(cells: DataFrame) -> DataFrame:
@@ -134,9 +133,8 @@ def _area_totals(cells: DataFrame) -> DataFrame:
         "area_label", F.concat(F.col("area"), F.lit("("), pct_label(F.col("area_error_share"), 1), F.lit(")"))
     )
     # Areas are ordered by their total summed over the rows that show it.
-    weight = F.round(F.col("area_errors") * F.col("_strata"), 6)
-    order = Window.orderBy(F.desc_nulls_last(weight), F.asc_nulls_last("area_label"))
-    return areas.withColumn("area_order", F.dense_rank().over(order)).drop("_strata")
+    areas = areas.withColumn("_shown", F.round(F.col("area_errors") * F.col("_strata"), 6))
+    return order_by_level(areas, "area_label", "_shown", "area_order").drop("_strata", "_shown")
 
 
 def area_errors_by_region(

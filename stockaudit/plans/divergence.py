@@ -35,6 +35,7 @@ from stockaudit.operators.windows import (
     cumulative_share,
     first_k,
     fixed_order,
+    order_by_level,
     order_index,
     share,
     top_flag,
@@ -107,7 +108,7 @@ def site_level_type(detail: DataFrame, market: str, area: str, site: str, month:
     )
     counts = counts.withColumn("site_errors", total_of("n", ["site_id"]))
     counts = counts.withColumn("site_label", _error_label("site_errors"))
-    counts = order_index(counts, "site_label", "n", "site_order")
+    counts = order_by_level(counts, "site_label", "site_errors", "site_order")
     return counts.withColumn("type_order", fixed_order(F.col("divergence_type"), fixed.DIVERGENCE_ORDER))
 
 
@@ -157,7 +158,7 @@ def density_frequency(detail: DataFrame, area: str, first: int = 7, top: int = 2
         "site_label": _error_label("site_errors"),
         "is_top": top_flag("errors", site, top),
     })
-    return order_index(counts, "site_label", "errors", "site_order")
+    return order_by_level(counts, "site_label", "site_errors", "site_order")
 
 
 def bucket_totals(detail: DataFrame, area: str, edge: int = 5) -> DataFrame:
@@ -186,7 +187,7 @@ def bucket_errors(detail: DataFrame, stock_share: DataFrame, area: str, edge: in
         ),
         "bucket_label": F.concat(F.col("errors").cast("string"), F.lit("\n "), pct_label(F.col("share"), 0)),
     })
-    return order_index(counts, "site_label", "errors", "site_order")
+    return order_by_level(counts, "site_label", "site_errors", "site_order")
 
 
 def _level_errors(detail: DataFrame, area: str, max_level: int, market: str | None) -> DataFrame:
@@ -212,7 +213,7 @@ def level_top(detail: DataFrame, area: str, max_level: int = 7, top: int = 2) ->
         "site_label": _error_label("site_errors"),
         "is_top": top_flag("errors", site, top),
     })
-    return order_index(levels, "site_label", "errors", "site_order")
+    return order_by_level(levels, "site_label", "site_errors", "site_order")
 
 
 def _address_flag() -> Column:
