@@ -124,4 +124,4 @@ def parse_timestamp(text: Column) -> Column:
 
 def month_label(month: Column, labels: Sequence[str] = fixed.MONTH_LABELS) -> Column:
     """Label of a month number, null for null."""
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), month)
+    return F.elt(month, *[F.lit(label) for label in labels])

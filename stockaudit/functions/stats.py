@@ -13,7 +13,8 @@ def pearson(x: Column, y: Column) -> Column:
     x = F.when(complete, x.cast("double"))
     y = F.when(complete, y.cast("double"))
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(F.count(x) >= 3, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    # Rounding may carry r past 1; least() and greatest() would turn a null r into a bound.
+    return F.when(F.count(x) >= 3, F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r))
 
 
 def pairs(x: Column, y: Column) -> Column:
