@@ -172,9 +172,14 @@ def insured_mean(stock: DataFrame) -> DataFrame:
 
 
 def insured_top_fraction(stock: DataFrame, fraction: float = 0.01) -> DataFrame:
-    """The most valuable part of all lines, ties kept, cheapest first."""
+    """The most valuable part of all lines, ties kept, cheapest first.
+
+    The further sort keys spread lines of one common value over several sorting tasks.
+    """
     lines = stock.select("seller_id", "insured_value", "sku_id", "units")
-    return top_fraction_ties(lines, "insured_value", fraction).orderBy(F.asc_nulls_last("insured_value"))
+    return top_fraction_ties(lines, "insured_value", fraction).orderBy(
+        F.asc_nulls_last("insured_value"), "sku_id", "seller_id", "units"
+    )
 
 
 def _totals(stock: DataFrame, by: str) -> DataFrame:
