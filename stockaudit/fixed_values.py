@@ -35,3 +35,61 @@ WORKING = "working"
 
 # A process is named by its leading run of non-space characters.
 FIRST_WORD = r"^[^\s]+"
+
+# Column names of the CSV extracts, by the input they fill. The names of the
+# cycle summary are as in its header; the others are after cleaning.
+EXTRACT_COLUMNS = {
+    "cycle_summary": {
+        "cycle_count_id": "cycle_count_id",
+        "warehouse_id": "site_id",
+        "area": "area",
+        "level": "level",
+        "region": "region",
+        "mes": "period",
+        "SHP_CC_CYCLE_COUNT_STATUS": "status",
+        "population_size": "population_size",
+        "p_hat": "p_hat",
+        "acuracidade": "accurate_tuples",
+        "tuplas_contadas_error": "error_tuples",
+        "TARGET_SITE": "target_site",
+        "TARGET_REGION": "target_region",
+    },
+    "count_detail": {
+        "warehouse_id": "site_id",
+        "area": "area",
+        "level": "level",
+        "shp_warehouse_address": "address_id",
+        "shp_inventory_id": "sku_id",
+        "qty_system": "qty_system",
+        "count_unit_ok": "qty_counted",
+        "data_criacao": "counted_on",
+        "categ_1": "category",
+    },
+    "address_stock": {
+        "address": "address_id",
+        "inventory_id": "sku_id",
+        "cantidad_total": "units",
+        "ultima_actualizacion": "updated_text",
+        "vendedor": "seller_id",
+        "valor_de_seguro": "insured_value",
+    },
+    "onhand": {
+        "fbm_adddress_id": "address_id",
+        "warehouse_id": "site_id",
+        "qtde": "units",
+    },
+    "address_density": {
+        "warehouse_id": "site_id",
+        "fbm_address_id": "address_id",
+        "sku": "sku_count",
+    },
+    "movements": {
+        "proceso": "process",
+        "cantidad": "units",
+        "codigo_ml": "item_id",
+        "origen": "origin",
+        "destino": "destination",
+        "fecha": "moved_text",
+        "responsable": "worker_id",
+    },
+}

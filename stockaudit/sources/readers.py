@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from stockaudit.fixed_values import EXTRACT_COLUMNS
+from stockaudit.sources import schemas
+
 MISSING = "NA"
 
 
@@ -49,6 +52,10 @@ def _typed(df: DataFrame, schema: T.StructType, rename: Mapping[str, str], text:
 
 def _cell(value: Column, kind: T.DataType, keep_empty: bool) -> Column:
     present = F.when(value != MISSING, value)
+    if isinstance(kind, T.IntegralType):
+        # A whole number may be written with decimals; a fraction is not a whole number.
+        number = F.trim(present).try_cast("decimal(38,6)")
+        return F.when(number == F.floor(number), number.try_cast(kind))
     if not isinstance(kind, T.StringType):
         return F.trim(present).try_cast(kind)
     # The reader gives null for an unquoted empty field and '' for a quoted one.
@@ -71,6 +78,18 @@ def read_extract(
     return _typed(clean_names(_read_text(spark, path)), schema, rename or {}, text=True)
 
 
+def read_input(spark: SparkSession, name: str, path: str | Sequence[str]) -> DataFrame:
+    """One of the six inputs from CSV files that have the original column names."""
+    read = read_summary if name == "cycle_summary" else read_extract
+    return read(spark, path, schemas.as_extracted(name), EXTRACT_COLUMNS[name])
+
+
+def read_address_stock(spark: SparkSession, paths: Mapping[str, str | Sequence[str]]) -> DataFrame:
+    """The stock of several sites from their extracts, given as site to path."""
+    stock = union_sources({site: read_input(spark, "address_stock", path) for site, path in paths.items()}, "site_id")
+    return relocate(stock, "site_id", before="address_id")
+
+
 def with_source(df: DataFrame, name: str, value: str) -> DataFrame:
     """Tag every row with where it came from."""
     return df.withColumn(name, F.lit(value))

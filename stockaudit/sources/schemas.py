@@ -40,3 +40,27 @@ ADDRESS_DENSITY = _struct(site_id=TEXT, address_id=TEXT, sku_count=LONG)
 MOVEMENTS = _struct(
     process=TEXT, units=LONG, item_id=LONG, origin=TEXT, destination=TEXT, moved_text=TEXT, worker_id=LONG,
 )
+
+TABLES = {
+    "cycle_summary": CYCLE_SUMMARY,
+    "count_detail": COUNT_DETAIL,
+    "address_stock": ADDRESS_STOCK,
+    "onhand": ONHAND,
+    "address_density": ADDRESS_DENSITY,
+    "movements": MOVEMENTS,
+}
+
+IDENTIFIERS = ("sku_id", "seller_id", "item_id", "worker_id")
+
+
+def as_extracted(name: str) -> T.StructType:
+    """Schema of an input when it is read from a CSV extract.
+
+    Identifiers are text there and accurate tuples may be fractional; the reports only
+    count, compare and add them. Stock extracts are one per site and do not name it.
+    """
+    kinds = {identifier: TEXT for identifier in IDENTIFIERS} | {"accurate_tuples": DOUBLE}
+    fields = {field.name: kinds.get(field.name, field.dataType) for field in TABLES[name]}
+    if name == "address_stock":
+        fields.pop("site_id")
+    return _struct(**fields)

@@ -98,3 +98,51 @@ def test_a_null_site_survives_landing(spark, tmp_path):
     got = derived.read_landed(spark, str(tmp_path / "onhand"), schemas.ONHAND)
     assert sorted(map(tuple, got.collect())) == [("MZ-a", None, 1), ("MZ-b", "BR01", 2)]
     assert got.where(F.col("site_id").startswith("BR")).count() == 1
+
+
+CSV = {
+    "cycle_summary": "cycle_count_id,warehouse_id,area,level,region,mes,SHP_CC_CYCLE_COUNT_STATUS,population_size,p_hat,"
+    "acuracidade,tuplas_contadas_error,TARGET_SITE,TARGET_REGION\nc1,BR01,MZ,1,BR,2024 | 02,working,100.0,0.1,90.5,10,0.8,0.7\n",
+    "count_detail": "warehouse_id,area,level,shp warehouse address,shp_inventory_id,qty_system,count_unit_ok,data_criacao,"
+    "categ_1\nBR01,MZ,1,MZ-0-000-000-01,AB12,5,6,2024-02-05,toys\nBR01,MZ,1,MZ-0-000-000-01,AB13,5,NA,2024-02-05,\n",
+    "onhand": "fbm_adddress_id,warehouse_id,qtde\nMZ-0-000-000-01,BR01,3.5\n",
+    "address_density": "Warehouse ID,FBM Address ID,SKU\nBR01,MZ-0-000-000-01,6\n",
+    "movements": "Proceso,Cantidad,Codigo ML,Origen,Destino,Fecha,Responsable\nPicking,2,AB12,MZ-1,,15/01/2024 10:00:00,ana\n",
+}
+
+
+def test_inputs_are_read_by_their_original_headers(spark, tmp_path):
+    got = {
+        name: [tuple(row) for row in readers.read_input(spark, name, write(tmp_path / f"{name}.csv", text)).collect()]
+        for name, text in CSV.items()
+    }
+    assert got == {
+        "cycle_summary": [("c1", "BR01", "MZ", 1, "BR", "2024 | 02", "working", 100, 0.1, 90.5, 10, 0.8, 0.7)],
+        "count_detail": [
+            ("BR01", "MZ", 1, "MZ-0-000-000-01", "AB12", 5, 6, "2024-02-05", "toys"),
+            ("BR01", "MZ", 1, "MZ-0-000-000-01", "AB13", 5, None, "2024-02-05", ""),
+        ],
+        "onhand": [("MZ-0-000-000-01", "BR01", None)],
+        "address_density": [("BR01", "MZ-0-000-000-01", 6)],
+        "movements": [("Picking", 2, "AB12", "MZ-1", "", "15/01/2024 10:00:00", "ana")],
+    }
+
+
+def test_reports_run_on_extracts(spark, tmp_path):
+    from stockaudit.plans import accuracy, divergence, layout, movement
+
+    read = {name: readers.read_input(spark, name, write(tmp_path / f"{name}.csv", text)) for name, text in CSV.items()}
+    row = divergence.density_frequency(read["count_detail"], "MZ").collect()[0]
+    assert (row["site_label"], row["density"], row["errors"]) == ("BR01 (Tuplas error 1)", 1, 1)
+    assert accuracy.site_table(read["cycle_summary"], "BR", "2024 | 02", "MZ", "BR").count() == 2
+    assert accuracy.impact(read["cycle_summary"], "BR", "2024 | 02").collect()[0]["site_label"] == (
+        "BR01    (100.0%)\nTarget 80.00%\n***** INAC 90.50%"
+    )
+    assert movement.touch_levels(read["movements"], "MZ").collect()[0]["touches"] == 1
+    header = "Address,Inventory ID,Cantidad Total,Última Actualización,Vendedor,Valor de seguro\n"
+    stock = readers.read_address_stock(spark, {
+        "sp02": write(tmp_path / "a.csv", header + "MZ-0-000-000-01,AB12,4,01/02/2024 00:00:00,9,1.5\n"),
+        "sp04": write(tmp_path / "b.csv", header + "MZ-0-000-000-01,AB12,6,01/02/2024 00:00:00,9,\n"),
+    })
+    assert {row["site_id"]: row["units"] for row in layout.site_units(stock).collect()} == {"sp02": 4, "sp04": 6}
+    assert layout.insured_mean(stock).collect()[0][0] == 1.5
