@@ -45,29 +45,30 @@ def site_table(summary: DataFrame, region: str, period: str, area: str, label: s
         (F.col("region") == region) & (F.col("period") == period) & (F.col("area") == area)
     )
     accurate = (1 - F.col("p_hat")) * F.col("population_size")
-    sites = (
+    # One pass gives the sites and their total, whose ratio is taken of its own sums.
+    table = (
         kept.withColumn("accurate", accurate)
         .where(F.col("accurate").isNotNull())
-        .groupBy("site_id")
+        .rollup("site_id")
         .agg(
             sum_or_zero("population_size").alias("population"),
             F.coalesce(F.sum("accurate"), F.lit(0.0)).alias("accurate"),
             max_strict("target_site").alias("target"),
+            F.grouping("site_id").alias("_total"),
         )
     )
+    is_site = F.col("_total") == 0
     accuracy = ratio(F.col("accurate"), F.col("population"))
-    table = sites.withColumns({
+    goal = flag(F.col("target") <= accuracy, fixed.TARGET_MET, fixed.TARGET_MISSED)
+    region_target = summary.agg(max_strict("target_region")).scalar()
+    table = table.withColumns({
+        "site_id": F.when(is_site, F.col("site_id")).otherwise(label),
+        "target": F.when(is_site, F.col("target")).otherwise(region_target),
         "accuracy": accuracy,
-        "goal": flag(F.col("target") <= accuracy, fixed.TARGET_MET, fixed.TARGET_MISSED),
-        "site_weight": share("population"),
+        "goal": F.when(is_site, goal),
+        "site_weight": F.when(is_site, share("population", ["_total"])),
     })
-    table = with_total_row(table, {"site_id": label}, {
-        "population": F.sum("population"),
-        "accurate": F.sum("accurate"),
-        "target": F.lit(summary.agg(max_strict("target_region")).scalar()),
-        "accuracy": ratio(F.sum("accurate"), F.sum("population")),
-    })
-    return table.orderBy(F.desc_nulls_last("population"))
+    return table.drop("_total").orderBy(F.desc_nulls_last("population"))
 
 
 def impact(summary: DataFrame, region: str, period: str) -> DataFrame:
