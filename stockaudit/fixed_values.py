@@ -36,6 +36,36 @@ WORKING = "working"
 # A process is named by its leading run of non-space characters.
 FIRST_WORD = r"^[^\s]+"
 
+# Text formats of dates and times, and the mark of a missing field.
+DATE_FORMAT = "yyyy-MM-dd"
+TIMESTAMP_FORMAT = "dd/MM/yyyy HH:mm:ss"
+MISSING = "NA"
+
+# Texts of labels, around the values shown in them.
+SITE_ERRORS_LABEL = "{site} (Tuplas error {errors})"
+SITE_STOCK_LABEL = "{site} (Tuplas error {errors})\nAddress stock >= {edge} tuplas {share}"
+BUCKET_LABEL = "{errors}\n {share}"
+SITE_IMPACT_LABEL = "{site}    ({error_share})\nTarget {target}\n{goal} INAC {accuracy}"
+AREA_IMPACT_LABEL = "{area}({error_share})"
+TOTAL_LABEL = "Total"
+
+# Default cuts and sizes of the reports.
+MAX_LEVEL = 7
+MAX_DENSITY = 7
+DENSE_FROM = 5
+FIRST_DENSITIES = 7
+FLAGGED_RANKS = 2
+FIRST_AISLES = 10
+TOP_FLOORS = 5
+TOP_SPREAD_SKUS = 123
+SKIPPED_SPREAD_ROWS = 10
+FIRST_SPREAD_ROWS = 20
+TOP_ADDRESSES = 50
+TOP_ONHAND_LINES = 6
+TOP_INSURED_FRACTION = 0.01
+BOX_UPPER = 20
+WHISKER_REACH = 1.5
+
 # Column names of the CSV extracts, by the input they fill. The names of the
 # cycle summary are as in its header; the others are after cleaning.
 EXTRACT_COLUMNS = {

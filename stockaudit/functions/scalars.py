@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -106,11 +107,11 @@ def first_word(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """``yyyy-MM-dd`` text as a date, null where it does not parse."""
-    return F.try_to_date(text, "yyyy-MM-dd")
+    return F.try_to_date(text, fixed.DATE_FORMAT)
 
 
 def parse_timestamp(text: Column) -> Column:
-    """``dd/MM/yyyy HH:mm:ss`` text as a zone-free timestamp, null where it does not parse.
+    """``TIMESTAMP_FORMAT`` text as a zone-free timestamp, null where it does not parse.
 
     The parts are re-ordered and cast rather than parsed with the session's zone, in which
     some wall-clock times do not exist.
@@ -119,9 +120,21 @@ def parse_timestamp(text: Column) -> Column:
         F.substring(text, 7, 4), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 1, 2),
         F.substring(text, 11, 9),
     )
-    return F.when(F.length(text) == 19, iso.try_cast("timestamp_ntz"))
+    return F.when(F.length(text) == len(fixed.TIMESTAMP_FORMAT), iso.try_cast("timestamp_ntz"))
 
 
 def month_label(month: Column, labels: Sequence[str] = fixed.MONTH_LABELS) -> Column:
     """Label of a month number, null for null."""
     return F.elt(month, *[F.lit(label) for label in labels])
+
+
+def label(template: str, **values: Column | str) -> Column:
+    """A label template with its ``{fields}`` filled; null as soon as one value is null."""
+    parts = []
+    for text, field, _, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if field:
+            value = values[field]
+            parts.append(F.lit(value) if isinstance(value, str) else value.cast("string"))
+    return F.concat(*parts)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stockaudit.fixed_values import WHISKER_REACH
+
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
@@ -58,12 +60,12 @@ def numeric_summary(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -
 def box_stats(df: DataFrame, by: Sequence[str], measure: str, upper: int | None = None) -> DataFrame:
     """Box-plot statistics per group: quartiles, whisker ends and outlier count.
 
-    Whiskers end at the extreme values within 1.5 interquartile ranges of the box; values
+    Whiskers end at the extreme values within ``WHISKER_REACH`` interquartile ranges of the box; values
     above ``upper`` are left out beforehand.
     """
     df = df.where(F.col(measure).isNotNull() if upper is None else F.col(measure) <= upper)
     counts = df.groupBy(*by, F.col(measure).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    reach = WHISKER_REACH * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return with_quantiles(counts, by).groupBy(*by).agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

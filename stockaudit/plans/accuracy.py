@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from stockaudit import fixed_values as fixed
-from stockaudit.functions.scalars import flag, pct_label, ratio
+from stockaudit.functions.scalars import flag, label, pct_label, ratio
 from stockaudit.operators.aggregates import (
     max_strict,
     pivot_wide,
@@ -36,7 +36,7 @@ def open_counts(summary: DataFrame) -> DataFrame:
     return working.select("cycle_count_id", "site_id", "region", "status").distinct()
 
 
-def site_table(summary: DataFrame, region: str, period: str, area: str, label: str) -> DataFrame:
+def site_table(summary: DataFrame, region: str, period: str, area: str, total_label: str) -> DataFrame:
     """Weighted accuracy per site against its target, with a re-derived total row.
 
     The total's target is the highest regional target of the whole table.
@@ -62,7 +62,7 @@ def site_table(summary: DataFrame, region: str, period: str, area: str, label: s
     goal = flag(F.col("target") <= accuracy, fixed.TARGET_MET, fixed.TARGET_MISSED)
     region_target = summary.agg(max_strict("target_region")).scalar()
     table = table.withColumns({
-        "site_id": F.when(is_site, F.col("site_id")).otherwise(label),
+        "site_id": F.when(is_site, F.col("site_id")).otherwise(total_label),
         "target": F.when(is_site, F.col("target")).otherwise(region_target),
         "accuracy": accuracy,
         "goal": F.when(is_site, goal),
@@ -119,10 +119,10 @@ def _site_totals(cells: DataFrame) -> DataFrame:
     })
     meets = F.col("site_accuracy") >= F.col("target_site")
     sites = sites.withColumns({"meets_target": meets, "goal_mark": flag(meets, fixed.GOAL_MARK, "")})
-    sites = sites.withColumn("site_label", F.concat(
-        F.col("site_id"), F.lit("    ("), pct_label(F.col("site_error_share"), 1), F.lit(")\nTarget "),
-        pct_label(F.col("target_site"), 2), F.lit("\n"), F.col("goal_mark"), F.lit(" INAC "),
-        pct_label(F.col("site_accuracy"), 2),
+    sites = sites.withColumn("site_label", label(
+        fixed.SITE_IMPACT_LABEL, site=F.col("site_id"), error_share=pct_label(F.col("site_error_share"), 1),
+        target=pct_label(F.col("target_site"), 2), goal=F.col("goal_mark"),
+        accuracy=pct_label(F.col("site_accuracy"), 2),
     ))
     return order_by_level(sites, "site_label", "site_error_share", "site_order", descending=False)
 
@@ -130,8 +130,9 @@ def _site_totals(cells: DataFrame) -> DataFrame:
 def _area_totals(cells: DataFrame) -> DataFrame:
     areas = cells.groupBy("area").agg(F.sum("errors").alias("area_errors"), F.sum("strata").alias("_strata"))
     areas = areas.withColumn("area_error_share", ratio(F.col("area_errors"), total_of("area_errors")))
+    share_label = pct_label(F.col("area_error_share"), 1)
     areas = areas.withColumn(
-        "area_label", F.concat(F.col("area"), F.lit("("), pct_label(F.col("area_error_share"), 1), F.lit(")"))
+        "area_label", label(fixed.AREA_IMPACT_LABEL, area=F.col("area"), error_share=share_label)
     )
     # Areas are ordered by their total summed over the rows that show it.
     areas = areas.withColumn("_shown", F.round(F.col("area_errors") * F.col("_strata"), 6))
@@ -143,7 +144,7 @@ def area_errors_by_region(
 ) -> DataFrame:
     """Wrong tuples per area, one column per region, with totals, shares and a total row."""
     kept = summary.where((F.col("period") == period) & (F.col("area") != without_area))
-    counts = weighted_count(kept.fillna({"area": "NA"}), ["region", "area"], "error_tuples")
+    counts = weighted_count(kept.fillna({"area": fixed.MISSING}), ["region", "area"], "error_tuples")
     names = {region: region.lower() for region in regions}
     wide = pivot_wide(counts, ["area"], "region", names, "n", fill=0)
     total = F.col(names[regions[0]])
@@ -152,8 +153,8 @@ def area_errors_by_region(
     wide = wide.withColumn("total_errors", total)
     wide = wide.withColumn("share", share("total_errors"))
     columns = [*names.values(), "total_errors"]
-    table = with_total_row(wide, {"area": "Total"}, {
+    table = with_total_row(wide, {"area": fixed.TOTAL_LABEL}, {
         **{name: sum_or_zero(name) for name in columns},
         "share": ratio(F.sum("total_errors"), F.sum("total_errors")),
     })
-    return table.orderBy(F.col("area") == "Total", F.desc("total_errors"))
+    return table.orderBy(F.col("area") == fixed.TOTAL_LABEL, F.desc("total_errors"))

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stockaudit import fixed_values as fixed
 from stockaudit.functions.scalars import density_bucket, in_market, ratio
 from stockaudit.operators.aggregates import pivot_wide, row_count
 from stockaudit.operators.windows import share
 
 
-def ge_share(extract: DataFrame, area: str, edge: int = 5) -> DataFrame:
+def ge_share(extract: DataFrame, area: str, edge: int = fixed.DENSE_FROM) -> DataFrame:
     """Part of a site's tuples held in addresses of at least ``edge`` SKUs."""
     buckets = extract.where(F.col("address_id").startswith(area)).withColumn(
         "bucket", density_bucket(F.col("sku_count"), edge)
@@ -26,7 +27,7 @@ def histogram(extract: DataFrame, site: str) -> DataFrame:
 
 
 def share_histogram(
-    extract: DataFrame, sites: Sequence[str], prefix: str, without: str, max_density: int = 7
+    extract: DataFrame, sites: Sequence[str], prefix: str, without: str, max_density: int = fixed.MAX_DENSITY
 ) -> DataFrame:
     """Addresses per site and density as parts of all the site's addresses, then the low densities.
 

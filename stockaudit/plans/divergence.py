@@ -15,6 +15,7 @@ from stockaudit.functions.scalars import (
     density_bucket,
     flag,
     in_market,
+    label,
     market_of,
     month_label,
     parse_date,
@@ -64,7 +65,7 @@ def _wrong(detail: DataFrame) -> DataFrame:
 
 
 def _error_label(total: str) -> Column:
-    return F.concat(F.col("site_id"), F.lit(" (Tuplas error "), F.col(total).cast("string"), F.lit(")"))
+    return label(fixed.SITE_ERRORS_LABEL, site=F.col("site_id"), errors=F.col(total))
 
 
 def count_base(detail: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def address_errors(detail: DataFrame, area: str | None = None, market: str | Non
     return _with_market(addresses).withColumn("density", F.col("error_skus") + F.col("ok_skus"))
 
 
-def density_frequency(detail: DataFrame, area: str, first: int = 7, top: int = 2) -> DataFrame:
+def density_frequency(detail: DataFrame, area: str, first: int = fixed.FIRST_DENSITIES, top: int = fixed.FLAGGED_RANKS) -> DataFrame:
     """Wrong tuples by address density, the first densities of each site, largest flagged."""
     site = ["market", "site_id"]
     counts = weighted_count(address_errors(detail, area), [*site, "density"], "error_skus", "errors")
@@ -161,7 +162,7 @@ def density_frequency(detail: DataFrame, area: str, first: int = 7, top: int = 2
     return order_by_level(counts, "site_label", "site_errors", "site_order")
 
 
-def bucket_totals(detail: DataFrame, area: str, edge: int = 5) -> DataFrame:
+def bucket_totals(detail: DataFrame, area: str, edge: int = fixed.DENSE_FROM) -> DataFrame:
     """All tuples of a site in dense and in sparse addresses, and the dense part."""
     buckets = address_errors(detail, area).withColumn("bucket", density_bucket(F.col("density"), edge))
     wide = pivot_wide(
@@ -170,7 +171,7 @@ def bucket_totals(detail: DataFrame, area: str, edge: int = 5) -> DataFrame:
     return wide.withColumn("share_ge", ratio(F.col("tuples_ge"), F.col("tuples_lt") + F.col("tuples_ge")))
 
 
-def bucket_errors(detail: DataFrame, stock_share: DataFrame, area: str, edge: int = 5) -> DataFrame:
+def bucket_errors(detail: DataFrame, stock_share: DataFrame, area: str, edge: int = fixed.DENSE_FROM) -> DataFrame:
     """Wrong tuples of a site in dense and sparse addresses, next to the dense part of its stock.
 
     ``stock_share`` is the result of ``density.ge_share``.
@@ -181,11 +182,11 @@ def bucket_errors(detail: DataFrame, stock_share: DataFrame, area: str, edge: in
     counts = counts.withColumns({"share": share("errors", site), "site_errors": total_of("errors", ["site_id"])})
     counts = attach(counts, stock_share.withColumnRenamed("share_ge", "stock_share_ge"), ["site_id"])
     counts = counts.withColumns({
-        "site_label": F.concat(
-            _error_label("site_errors"), F.lit(f"\nAddress stock >= {edge} tuplas "),
-            pct_label(F.col("stock_share_ge"), 0),
+        "site_label": label(
+            fixed.SITE_STOCK_LABEL, site=F.col("site_id"), errors=F.col("site_errors"), edge=str(edge),
+            share=pct_label(F.col("stock_share_ge"), 0),
         ),
-        "bucket_label": F.concat(F.col("errors").cast("string"), F.lit("\n "), pct_label(F.col("share"), 0)),
+        "bucket_label": label(fixed.BUCKET_LABEL, errors=F.col("errors"), share=pct_label(F.col("share"), 0)),
     })
     return order_by_level(counts, "site_label", "site_errors", "site_order")
 
@@ -197,13 +198,13 @@ def _level_errors(detail: DataFrame, area: str, max_level: int, market: str | No
     return _with_market(distinct_then_count(lines, ["site_id", "level"], ["address_id", "sku_id"], "errors"))
 
 
-def level_share(detail: DataFrame, market: str, area: str, max_level: int = 7) -> DataFrame:
+def level_share(detail: DataFrame, market: str, area: str, max_level: int = fixed.MAX_LEVEL) -> DataFrame:
     """Wrong tuples per site and level of one market, as parts of the site."""
     levels = _level_errors(detail, area, max_level, market).withColumn("share", share("errors", ["site_id"]))
     return order_index(levels, "site_id", "errors", "site_order", aggregate=F.avg, descending=False)
 
 
-def level_top(detail: DataFrame, area: str, max_level: int = 7, top: int = 2) -> DataFrame:
+def level_top(detail: DataFrame, area: str, max_level: int = fixed.MAX_LEVEL, top: int = fixed.FLAGGED_RANKS) -> DataFrame:
     """Wrong tuples per site and level of all markets, the largest levels flagged."""
     site = ["market", "site_id"]
     levels = _level_errors(detail, area, max_level, None)
@@ -220,7 +221,7 @@ def _address_flag() -> Column:
     return flag(F.col("error_skus") != 0, ERROR, MATCH)
 
 
-def density_accuracy(detail: DataFrame, area: str, market: str, first: int = 7) -> DataFrame:
+def density_accuracy(detail: DataFrame, area: str, market: str, first: int = fixed.FIRST_DENSITIES) -> DataFrame:
     """Tuples in addresses with and without errors by density, and the accuracy.
 
     The first rows per site are taken with densities that have errors ahead of the rest.
@@ -235,7 +236,7 @@ def density_accuracy(detail: DataFrame, area: str, market: str, first: int = 7)
     return first_k(wide, site, [F.asc(F.col("error_tuples") == 0), F.asc("density")], first)
 
 
-def density_error_share(detail: DataFrame, area: str, market: str, site: str, first: int = 7) -> DataFrame:
+def density_error_share(detail: DataFrame, area: str, market: str, site: str, first: int = fixed.FIRST_DENSITIES) -> DataFrame:
     """The densities of one site with their parts of its tuples in error."""
     rows = density_accuracy(detail, area, market, first).where(F.col("site_id") == site)
     return rows.withColumn("error_share", share("error_tuples")).withColumnRenamed("density", "sku_per_address")
@@ -251,7 +252,7 @@ def level_type_tuples(detail: DataFrame, market: str, area: str) -> DataFrame:
     return order_index(tuples, "site_id", "tuples", "site_order")
 
 
-def density_tuples(detail: DataFrame, area: str, market: str | None = None, max_density: int = 7) -> DataFrame:
+def density_tuples(detail: DataFrame, area: str, market: str | None = None, max_density: int = fixed.MAX_DENSITY) -> DataFrame:
     """Tuples and addresses with and without errors per site and density, side by side."""
     flagged = address_errors(detail, area, market).where(F.col("density") <= max_density)
     flagged = flagged.withColumn("outcome", _address_flag())
@@ -262,7 +263,7 @@ def density_tuples(detail: DataFrame, area: str, market: str | None = None, max_
     )
 
 
-def density_error_correlation(detail: DataFrame, area: str, max_density: int = 7) -> DataFrame:
+def density_error_correlation(detail: DataFrame, area: str, max_density: int = fixed.MAX_DENSITY) -> DataFrame:
     """Correlation of density with tuples in error per site, and its p-value."""
     x, y = F.col("tuples_error"), F.col("density")
     sites = density_tuples(detail, area, max_density=max_density).groupBy("site_id").agg(
@@ -275,7 +276,7 @@ def density_error_correlation(detail: DataFrame, area: str, max_density: int = 7
     )
 
 
-def density_flag_counts(detail: DataFrame, area: str, market: str, max_density: int = 7) -> DataFrame:
+def density_flag_counts(detail: DataFrame, area: str, market: str, max_density: int = fixed.MAX_DENSITY) -> DataFrame:
     """Tuples per site, error flag of the address and density."""
     flagged = address_errors(detail, area, market).where(F.col("density") <= max_density)
     return weighted_count(

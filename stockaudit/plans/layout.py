@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stockaudit import fixed_values as fixed
 from stockaudit.functions.scalars import address_part, parse_address, parse_timestamp
 from stockaudit.operators.aggregates import (
     distinct_then_count,
@@ -76,19 +77,19 @@ def box_skus_per_address(stock: DataFrame, area: str) -> DataFrame:
     return box_stats(address_summary(stock, area), ["site_id"], "skus")
 
 
-def box_units_per_address(stock: DataFrame, area: str, upper: int = 20) -> DataFrame:
+def box_units_per_address(stock: DataFrame, area: str, upper: int = fixed.BOX_UPPER) -> DataFrame:
     return box_stats(address_summary(stock, area), ["site_id"], "units", upper)
 
 
-def box_units_per_sku(stock: DataFrame, area: str, upper: int = 20) -> DataFrame:
+def box_units_per_sku(stock: DataFrame, area: str, upper: int = fixed.BOX_UPPER) -> DataFrame:
     return box_stats(sku_rollup(stock, area), ["site_id"], "units", upper)
 
 
-def box_addresses_per_sku(stock: DataFrame, area: str, upper: int = 20) -> DataFrame:
+def box_addresses_per_sku(stock: DataFrame, area: str, upper: int = fixed.BOX_UPPER) -> DataFrame:
     return box_stats(sku_rollup(stock, area), ["site_id"], "addresses", upper)
 
 
-def aisle_top(stock: DataFrame, area: str, first: int = 10) -> DataFrame:
+def aisle_top(stock: DataFrame, area: str, first: int = fixed.FIRST_AISLES) -> DataFrame:
     """The first aisles of each site by code: tuples, shares and running shares among them."""
     lines = _in_area(stock, area).select("site_id", "address_id", "sku_id", _part("aisle"))
     aisles = distinct_then_count(lines, ["site_id", "aisle"], ["address_id", "sku_id"], "skus")
@@ -117,19 +118,19 @@ def sku_spread(stock: DataFrame, areas: DataFrame) -> DataFrame:
     return distinct_then_count(_in_areas(stock, areas), ["sku_id"], ["address_id"], "addresses")
 
 
-def sku_spread_top(stock: DataFrame, areas: DataFrame, k: int = 123) -> DataFrame:
+def sku_spread_top(stock: DataFrame, areas: DataFrame, k: int = fixed.TOP_SPREAD_SKUS) -> DataFrame:
     """The most spread SKUs, ties kept."""
     return top_n_ties(sku_spread(stock, areas), "addresses", k)
 
 
-def spread_area_counts(stock: DataFrame, areas: DataFrame, k: int = 123) -> DataFrame:
+def spread_area_counts(stock: DataFrame, areas: DataFrame, k: int = fixed.TOP_SPREAD_SKUS) -> DataFrame:
     """Lines per area of the most spread SKUs."""
     top = sku_spread_top(stock, areas, k).select("sku_id")
     lines = keep_matching(stock.select("sku_id", _part("area")), "sku_id", top)
     return row_count(lines, ["area"], "lines").orderBy(F.desc("lines"), F.asc_nulls_last("area"))
 
 
-def spread_tail(stock: DataFrame, areas: DataFrame, skip: int = 10) -> DataFrame:
+def spread_tail(stock: DataFrame, areas: DataFrame, skip: int = fixed.SKIPPED_SPREAD_ROWS) -> DataFrame:
     """SKUs per number of addresses with shares of all, without the first ``skip`` rows."""
     counts = row_count(sku_spread(stock, areas), ["addresses"], "skus")
     order = [F.asc("addresses")]
@@ -150,7 +151,7 @@ def tuple_base(stock: DataFrame) -> DataFrame:
     return addresses.withColumn("area", address_part(F.col("address_id"), "area"))
 
 
-def tuple_top(stock: DataFrame, k: int = 50) -> DataFrame:
+def tuple_top(stock: DataFrame, k: int = fixed.TOP_ADDRESSES) -> DataFrame:
     """The densest addresses, ties kept, densest first.
 
     The addresses are stored, since they are read for the cutoff and for the rows.
@@ -158,7 +159,7 @@ def tuple_top(stock: DataFrame, k: int = 50) -> DataFrame:
     return top_n_ties(stored(tuple_base(stock)), "skus", k).orderBy(F.desc("skus"), "address_id")
 
 
-def floor_top(stock: DataFrame, areas: DataFrame, k: int = 5) -> DataFrame:
+def floor_top(stock: DataFrame, areas: DataFrame, k: int = fixed.TOP_FLOORS) -> DataFrame:
     """The floors with most units and their parts of the units on these floors."""
     lines = _in_areas(stock, areas).select("units", _part("floor"))
     floors = weighted_count(lines, ["floor"], "units", "units")
@@ -171,7 +172,7 @@ def insured_mean(stock: DataFrame) -> DataFrame:
     return stock.agg(F.avg("insured_value").alias("insured_mean"))
 
 
-def insured_top_fraction(stock: DataFrame, fraction: float = 0.01) -> DataFrame:
+def insured_top_fraction(stock: DataFrame, fraction: float = fixed.TOP_INSURED_FRACTION) -> DataFrame:
     """The most valuable part of all lines, ties kept, cheapest first.
 
     The further sort keys spread lines of one common value over several sorting tasks.
@@ -249,7 +250,7 @@ def sku_summary_stats(stock: DataFrame, area: str) -> DataFrame:
     return numeric_summary(sku_summary(stock, area), [], ["addresses", "units"])
 
 
-def sku_histogram(stock: DataFrame, area: str, first: int = 20) -> DataFrame:
+def sku_histogram(stock: DataFrame, area: str, first: int = fixed.FIRST_SPREAD_ROWS) -> DataFrame:
     """SKUs per number of addresses, the first values, with shares among them."""
     spread = distinct_then_count(_in_area(stock, area), ["sku_id"], ["address_id"], "addresses")
     order = [F.asc("addresses")]
@@ -281,7 +282,7 @@ def onhand_site_stats(onhand: DataFrame) -> DataFrame:
     )
 
 
-def onhand_top(onhand: DataFrame, k: int = 6) -> DataFrame:
+def onhand_top(onhand: DataFrame, k: int = fixed.TOP_ONHAND_LINES) -> DataFrame:
     """The largest stock lines, ties kept."""
     return top_n_ties(onhand_parsed(onhand), "units", k)
 

@@ -80,7 +80,7 @@ REPORTS: dict[str, Query] = {
     "acc_areas": _summary(accuracy.areas),
     "acc_levels": _summary(accuracy.levels),
     "acc_status": _summary(accuracy.open_counts),
-    "acc_site_table": _summary(accuracy.site_table, region=MARKET, period=PERIOD, area=AREA, label="TOTAL"),
+    "acc_site_table": _summary(accuracy.site_table, region=MARKET, period=PERIOD, area=AREA, total_label="TOTAL"),
     "acc_impact": _summary(accuracy.impact, region=MARKET, period=PERIOD),
     "err_area_by_region": _summary(accuracy.area_errors_by_region, period=PERIOD, without_area=AREA),
     # Count divergence

@@ -8,11 +8,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from stockaudit.fixed_values import EXTRACT_COLUMNS
+from stockaudit.fixed_values import EXTRACT_COLUMNS, MISSING
 from stockaudit.sources import schemas
 
-MISSING = "NA"
-
 
 def snake_case(name: str) -> str:
     """A header as a lower-case identifier: accents dropped, words joined by underscores."""

@@ -14,7 +14,7 @@ def spark():
     session = build_session(
         "stockaudit-tests",
         master="local[4]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")
