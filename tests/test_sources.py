@@ -78,7 +78,7 @@ def test_relocate(spark):
 
 def test_landed_tables_have_their_schema_and_all_rows(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    for name, (_, schema, _) in derived.BUILDERS.items():
+    for name, (_, schema, _, _) in derived.BUILDERS.items():
         table = derived.table(spark, sf_dir, name)
         assert [(f.name, f.dataType) for f in table.schema] == [(f.name, f.dataType) for f in schema], name
         if name in ("count_detail", "address_stock", "onhand"):
