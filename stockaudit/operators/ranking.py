@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stockaudit.operators.aggregates import sum_or_zero
 from stockaudit.operators.joins import stored
 
+SKETCH_ERROR = 0.001
+
 
 def top_n_ties(df: DataFrame, column: str, k: int) -> DataFrame:
     """Rows whose value is among the ``k`` largest, ties with the last one kept.
@@ -21,31 +26,45 @@ def top_n_ties(df: DataFrame, column: str, k: int) -> DataFrame:
 def top_fraction_ties(df: DataFrame, column: str, fraction: float) -> DataFrame:
     """Rows whose minimum descending rank is at most ``fraction`` of the row count.
 
-    Row count includes nulls, which never qualify themselves. Equal values are collapsed
-    to counts, range-partitioned and stored; the count of each range tells which single
-    range holds the cutoff, and only that one is put in order.
+    Row count includes nulls, which never qualify themselves. ``df`` should be a scan or a
+    stored table, as its one column is read several times: for the counts, for a quantile
+    sketch that leaves out almost all rows below the cutoff, and for the exact cutoff among
+    the rest. The driver sees single numbers only, and the final filter can reach the scan.
+    """
+    value = F.col(column)
+    total, known = df.agg(F.count(F.lit(1)), F.count(column)).first()
+    allowed = math.floor(fraction * total)
+    if allowed == 0:
+        return df.where(F.lit(False))
+    if allowed >= known:
+        return df.where(value.isNotNull())
+    below = max(0.0, 1 - allowed / known - 2 * SKETCH_ERROR)
+    bound = df.approxQuantile(column, [below], SKETCH_ERROR)[0]
+    counts = _value_ranges(df.where(value >= bound), column)
+    if counts.agg(sum_or_zero("n")).first()[0] < allowed:
+        # The sketch promises enough rows above its bound; should it ever not, use them all.
+        counts = _value_ranges(df.where(value.isNotNull()), column)
+    return df.where(value >= _cutoff(counts, allowed))
+
+
+def _value_ranges(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values with their counts, range-partitioned downwards, numbered and stored.
+
+    Counting first collapses a value that many rows share, so no range is heavy.
+    """
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return stored(counts.repartitionByRange(F.desc("value")).withColumn("range", F.spark_partition_id()))
+
+
+def _cutoff(counts: DataFrame, allowed: int):
+    """The smallest value with fewer than ``allowed`` rows above it.
+
+    The totals of the ranges, one row each, tell which range holds it; only the distinct
+    values of that range are put in order.
     """
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    values = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .repartitionByRange(F.desc("value"))
-        .withColumn("range", F.spark_partition_id())
-    )
-    values = stored(values)
-    # One row per range, so the window below is as small as the number of partitions.
-    ranges = values.groupBy("range").agg(F.sum("n").alias("n"))
     above = F.sum("n").over(Window.orderBy("range")) - F.col("n")
-    allowed = F.floor(F.lit(fraction) * rows.scalar())
-    ranges = ranges.select("range", above.alias("above")).where(F.col("above") < allowed)
-    last = ranges.agg(F.max(F.struct("range", "above")).alias("last")).select("last.*")
-
-    larger = F.sum("n").over(Window.orderBy(F.desc("value"))) - F.col("n")
-    cutoff = (
-        values.where(F.col("range") == last.select("range").scalar())
-        .withColumn("larger", larger + last.select("above").scalar())
-        .where(F.col("larger") < allowed)
-        .agg(F.min("value"))
-    )
-    return df.where(F.col(column) >= cutoff.scalar())
+    ranges = counts.groupBy("range").agg(F.sum("n").alias("n")).withColumn("above", above)
+    last = ranges.where(F.col("above") < allowed).orderBy(F.desc("range")).first()
+    larger = F.sum("n").over(Window.orderBy(F.desc("value"))) - F.col("n") + last["above"]
+    candidates = counts.where(F.col("range") == last["range"]).withColumn("larger", larger)
+    return candidates.where(F.col("larger") < allowed).agg(F.min("value")).first()[0]

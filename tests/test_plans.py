@@ -94,6 +94,10 @@ def test_distinct_counts_shuffle_on_the_value_too(plans):
     assert any("sku_id" in keys for keys in exchanges)
 
 
+def test_top_fraction_is_a_filter_on_the_scan(plans):
+    assert all("GreaterThanOrEqual(insured_value," in scan for scan in scans(plans("insured_top_frac")))
+
+
 def test_touches_scan_once(plans):
     assert len(scans(plans("mov_touch"))) == 1
 

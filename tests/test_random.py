@@ -98,3 +98,10 @@ def test_top_fraction_with_ties(df, groups, fraction):
     want = sorted(groups.loc[ranks <= fraction * len(groups), "w"].astype(int))
     spread = df.repartition(7)
     assert sorted(r["w"] for r in ranking.top_fraction_ties(spread, "w", fraction).collect()) == want
+
+
+def test_top_fraction_survives_a_wrong_sketch(df, groups, monkeypatch):
+    """With a bound far too high, the count check sends the search to all rows."""
+    monkeypatch.setattr(type(df), "approxQuantile", lambda self, column, probabilities, error: [1e9])
+    want = (groups["w"].rank(ascending=False, method="min") <= 0.2 * len(groups)).sum()
+    assert ranking.top_fraction_ties(df, "w", 0.2).count() == want
