@@ -148,7 +148,9 @@ def address_errors(detail: DataFrame, area: str | None = None, market: str | Non
     return _with_market(addresses).withColumn("density", F.col("error_skus") + F.col("ok_skus"))
 
 
-def density_frequency(detail: DataFrame, area: str, first: int = fixed.FIRST_DENSITIES, top: int = fixed.FLAGGED_RANKS) -> DataFrame:
+def density_frequency(
+    detail: DataFrame, area: str, first: int = fixed.FIRST_DENSITIES, top: int = fixed.FLAGGED_RANKS
+) -> DataFrame:
     """Wrong tuples by address density, the first densities of each site, largest flagged."""
     site = ["market", "site_id"]
     counts = weighted_count(address_errors(detail, area), [*site, "density"], "error_skus", "errors")
@@ -204,7 +206,9 @@ def level_share(detail: DataFrame, market: str, area: str, max_level: int = fixe
     return order_index(levels, "site_id", "errors", "site_order", aggregate=F.avg, descending=False)
 
 
-def level_top(detail: DataFrame, area: str, max_level: int = fixed.MAX_LEVEL, top: int = fixed.FLAGGED_RANKS) -> DataFrame:
+def level_top(
+    detail: DataFrame, area: str, max_level: int = fixed.MAX_LEVEL, top: int = fixed.FLAGGED_RANKS
+) -> DataFrame:
     """Wrong tuples per site and level of all markets, the largest levels flagged."""
     site = ["market", "site_id"]
     levels = _level_errors(detail, area, max_level, None)
@@ -236,7 +240,9 @@ def density_accuracy(detail: DataFrame, area: str, market: str, first: int = fix
     return first_k(wide, site, [F.asc(F.col("error_tuples") == 0), F.asc("density")], first)
 
 
-def density_error_share(detail: DataFrame, area: str, market: str, site: str, first: int = fixed.FIRST_DENSITIES) -> DataFrame:
+def density_error_share(
+    detail: DataFrame, area: str, market: str, site: str, first: int = fixed.FIRST_DENSITIES
+) -> DataFrame:
     """The densities of one site with their parts of its tuples in error."""
     rows = density_accuracy(detail, area, market, first).where(F.col("site_id") == site)
     return rows.withColumn("error_share", share("error_tuples")).withColumnRenamed("density", "sku_per_address")
@@ -252,7 +258,9 @@ def level_type_tuples(detail: DataFrame, market: str, area: str) -> DataFrame:
     return order_index(tuples, "site_id", "tuples", "site_order")
 
 
-def density_tuples(detail: DataFrame, area: str, market: str | None = None, max_density: int = fixed.MAX_DENSITY) -> DataFrame:
+def density_tuples(
+    detail: DataFrame, area: str, market: str | None = None, max_density: int = fixed.MAX_DENSITY
+) -> DataFrame:
     """Tuples and addresses with and without errors per site and density, side by side."""
     flagged = address_errors(detail, area, market).where(F.col("density") <= max_density)
     flagged = flagged.withColumn("outcome", _address_flag())
