@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockaudit.llm import (
     html_regions,
     language_zstd,
+    pii_boosting,
     prefix_forest,
     rans_tokens,
     sentencepiece_agenda,
+    url_boosting,
 )
 from stockaudit.llm.tables import read
 
@@ -56,6 +58,14 @@ def language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_zstd.identify(read(spark, sf_dir, "documents"))
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_boosting.judge(read(spark, sf_dir, "pages"))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boosting.digests(read(spark, sf_dir, "documents"))
+
+
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_regions.main_texts(read(spark, sf_dir, "pages"))
 
@@ -68,7 +78,9 @@ def hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece_agenda": sentencepiece_codec,
     "op5_rans_tokens": rans_output,
+    "op6_url_boosting": url_filter,
     "op7_language_zstd": language_compression,
+    "op8_pii_boosting": personal_data,
     "op9_html_regions": html_text,
     "op10_prefix_forest": hash_prefix_forest,
 }
