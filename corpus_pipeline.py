@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockaudit.llm import language_zstd, sentencepiece_agenda
+from stockaudit.llm import language_zstd, pii_boosting, sentencepiece_agenda, string_tiling, weighted_minhash
 from stockaudit.llm.queries import PIECE_MODEL, ship
 from stockaudit.llm.tables import fresh_folder, read
 
@@ -16,6 +16,23 @@ def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return language_zstd.keep_identified(docs)
 
 
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates, that with the smallest ``doc_id``."""
+    ship(spark)
+    return weighted_minhash.one_of_each(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item."""
+    ship(spark)
+    return string_tiling.without(docs, read(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their personal data replaced by its kind, and ``n_chars`` that of the new text."""
+    return pii_boosting.redact(docs)
+
+
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of each document's SentencePiece ids and of their decoded text."""
     ship(spark)
@@ -24,6 +41,9 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language identification", told_language),
+    ("near duplicates", one_of_each_class),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("personal data", redacted),
     ("sentencepiece encoding and decoding", piece_ids),
 ]
 

@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockaudit.llm import (
     html_regions,
     language_zstd,
+    masked_lm,
     pii_boosting,
     prefix_forest,
     rans_tokens,
     sentencepiece_agenda,
+    string_tiling,
     url_boosting,
+    weighted_minhash,
 )
 from stockaudit.llm.tables import read
 
@@ -50,6 +53,20 @@ def sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.learn(docs))
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.assigned(read(spark, sf_dir, "documents"))
+
+
+def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = string_tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "tiles", "covered", "item_words", "coverage")
+
+
 def rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_tokens.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
 
@@ -77,6 +94,9 @@ def hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece_agenda": sentencepiece_codec,
+    "op2_masked_lm": masked_scores,
+    "op3_weighted_minhash": near_duplicates,
+    "op4_string_tiling": benchmark_overlap,
     "op5_rans_tokens": rans_output,
     "op6_url_boosting": url_filter,
     "op7_language_zstd": language_compression,
