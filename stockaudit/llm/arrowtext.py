@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 # Bytes of text that are worked on at once, and pieces whose numbers are kept between batches.
 SLICE_BYTES = 4 << 20
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 600_000
 
 
 def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
@@ -90,9 +90,10 @@ class PieceTable:
 
     def gather(self, codes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces in order, and how many each piece has."""
-        if len(self.places) + len(pieces) > self.limit:
-            self._clear()
         fresh = [piece for piece in pieces if piece not in self.places]
+        if len(self.places) + len(fresh) > self.limit:
+            self._clear()
+            fresh = pieces
         if fresh:
             self._add(fresh)
         index = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))[codes]

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -131,7 +132,14 @@ def unpack(block: bytes, table: Table, part: int | None = None) -> np.ndarray:
 
 
 class WordTokenizer:
-    """A tokenizers file whose pre-tokenizer never joins what a space parts; equal pieces are encoded once."""
+    """A tokenizers file whose pre-tokenizer keeps words, runs of other signs and white space apart.
+
+    So a text may be cut at spaces, and between letters and other signs unless it has apostrophes (which
+    begin short forms), marks that join a letter, or special tokens. Equal pieces are encoded once.
+    """
+
+    # Apostrophe, marks, the capital whose small form has a mark, and how special tokens begin.
+    JOINED = r"['\pM\x{130}]|<\|"
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,8 +149,18 @@ class WordTokenizer:
         self.table = arrowtext.PieceTable(self._encode, np.uint32)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return arrowtext.flattened([e.ids for e in found], np.uint32)
+        # Ids of distinct pieces, by the library; it holds much for each piece, so a few at a time.
+        found: list[list[int]] = []
+        for at in range(0, len(pieces), 4096):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
+        return arrowtext.flattened(found, np.uint32)
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text begins."""
+        apart = pc.replace_substring_regex(texts, r"([^\s\pL]+)", r" \1 ")
+        codes, offsets, pieces = arrowtext.pieces_of(pc.if_else(pc.match_substring_regex(texts, self.JOINED), texts, apart))
+        values, lengths = self.table.gather(codes, pieces)
+        return values, arrowtext.bounds(offsets, lengths)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -154,31 +172,34 @@ def tokenizer(file: str) -> WordTokenizer:
     return _tokenizers[file]
 
 
-def _tokenized(batches: Iterator[pa.RecordBatch], file: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _tokenized(batches: Iterator[pa.RecordBatch], file: str, end_id: int, kind: str) -> Iterator[pa.RecordBatch]:
     t = tokenizer(file)
-    for batch in arrowtext.slices(batches, "text", 8 << 20):
-        codes, offsets, pieces = arrowtext.pieces_of(arrowtext.text_of(batch, "text"))
-        values, lengths = t.table.gather(codes, pieces)
-        starts = arrowtext.bounds(offsets, lengths)
-        out = np.full(len(values) + batch.num_rows, end_id, "<u4")
+    for batch in arrowtext.slices(batches, "text"):
+        values, starts = t.encode_batch(arrowtext.text_of(batch, "text"))
+        out = np.full(len(values) + batch.num_rows, end_id, kind)
         keep = np.ones(len(out), bool)
         keep[starts[1:] + np.arange(batch.num_rows)] = False
         out[keep] = values
-        ends = 4 * (starts + np.arange(batch.num_rows + 1))
+        ends = out.itemsize * (starts + np.arange(batch.num_rows + 1))
         ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids.cast(pa.binary())], names=["doc_id", "ids"])
 
 
-def tokenize(docs: DataFrame, file: str, end_id: int) -> DataFrame:
-    """``doc_id, ids``: the ids of each whole text and ``end_id``, as little-endian unsigned 32-bit integers."""
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _tokenized(b, file, end_id), "doc_id long, ids binary")
+def id_kind(file: str, end_id: int) -> str:
+    """Little-endian unsigned integers of 16 bits if all ids fit, else of 32."""
+    return "<u2" if max(tokenizer(file).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tokenize(docs: DataFrame, file: str, end_id: int, kind: str = "<u4") -> DataFrame:
+    """``doc_id, ids``: the ids of each whole text and ``end_id``, as integers of ``kind``."""
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _tokenized(b, file, end_id, kind), "doc_id long, ids binary")
+
+
+def _counted(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
     for batch in batches:
         for slice_ in arrowtext.slices([batch], "ids"):
-            ids = np.frombuffer(b"".join(slice_.column("ids").to_pylist()), "<u4")
+            ids = np.frombuffer(b"".join(slice_.column("ids").to_pylist()), kind)
             counts = np.bincount(ids)
             if len(counts) > len(total):
                 total = np.concatenate((total, np.zeros(len(counts) - len(total), np.int64)))
@@ -187,13 +208,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
 
-def frequencies(tokens: DataFrame) -> Table:
+def frequencies(tokens: DataFrame, kind: str) -> Table:
     """The shared table, counted over all ids; as large as the vocabulary, so it fits the driver and a closure."""
-    rows = tokens.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    rows = tokens.select("ids").mapInArrow(lambda b: _counted(b, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     return Table.from_counts(np.array([r.id for r in rows], np.int64), np.array([r.n for r in rows], np.float64))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, scaled: np.ndarray, block_ids: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, scaled: np.ndarray, kind: str, block_ids: int) -> Iterator[pa.RecordBatch]:
     table = Table(symbols, scaled)
     part = TaskContext.get().partitionId()
     number = before = held = 0
@@ -208,7 +229,7 @@ def _packed(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, scaled: np.n
 
     for batch in batches:
         for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-            ids = np.frombuffer(ids.as_buffer(), "<u4")
+            ids = np.frombuffer(ids.as_buffer(), kind)
             docs.append(doc)
             sizes.append(len(ids))
             parts.append(ids)
@@ -225,14 +246,14 @@ BLOCK_SCHEMA = "part int, number int, before_in_part long, n_ids long, doc_ids a
 TABLE_SCHEMA = "id long, frequency long"
 
 
-def write(tokens: DataFrame, folder: str, block_ids: int = BLOCK_IDS) -> None:
+def write(tokens: DataFrame, folder: str, kind: str = "<u4", block_ids: int = BLOCK_IDS) -> None:
     """Write tokenised documents in ascending ``doc_id`` order (null first, equal ids by a hash of their tokens).
 
     Range partitions follow each other; within one, blocks are numbered. Repeated ids are split over
     partitions by the hash, so no key grows a task. A block ends with the document that fills it.
     """
     spark = tokens.sparkSession
-    table = frequencies(tokens)
+    table = frequencies(tokens, kind)
     rows = list(zip(table.symbols.tolist(), table.frequencies.astype(int).tolist()))
     spark.createDataFrame(rows, TABLE_SCHEMA).coalesce(1).write.parquet(f"{folder}/table")
     symbols, scaled = table.symbols, table.frequencies
@@ -242,29 +263,33 @@ def write(tokens: DataFrame, folder: str, block_ids: int = BLOCK_IDS) -> None:
         .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
         .sortWithinPartitions(*order)
         .select("doc_id", "ids")
-        .mapInArrow(lambda b: _packed(b, symbols, scaled, block_ids), BLOCK_SCHEMA)
+        .mapInArrow(lambda b: _packed(b, symbols, scaled, kind, block_ids), BLOCK_SCHEMA)
         .write.parquet(f"{folder}/blocks")
     )
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, scaled: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _unpacked(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, scaled: np.ndarray, digest: bool) -> Iterator[pa.RecordBatch]:
     table = Table(symbols, scaled)
     for batch in batches:
         for row in range(batch.num_rows):
-            ids = unpack(batch.column("payload")[row].as_py(), table).astype("<u4").tobytes()
+            raw = memoryview(unpack(batch.column("payload")[row].as_py(), table).astype("<u4").tobytes())
             docs, sizes = batch.column("doc_ids")[row].as_py(), np.array(batch.column("sizes")[row].as_py(), np.int64)
             ends = np.cumsum(sizes)
-            first = batch.column("before")[row].as_py()
-            values = pa.array([ids[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist())], pa.binary())
-            columns = [pa.array(docs, pa.int64()), pa.array(first + ends - sizes), values]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids"])
+            cuts = zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist())
+            columns = [pa.array(docs, pa.int64()), pa.array(batch.column("before")[row].as_py() + ends - sizes)]
+            if digest:
+                columns += [pa.array(sizes), pa.array([zlib.crc32(raw[a:b]) for a, b in cuts], pa.int64())]
+            else:
+                columns.append(pa.array([bytes(raw[a:b]) for a, b in cuts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", *(["n_tokens", "ids_crc32"] if digest else ["ids"])])
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, start, ids`` from written files: every block is decoded on its own.
+def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """``doc_id, start, ids`` from written files, or ``n_tokens, ids_crc32`` in place of the ids.
 
-    ``start`` counts the ids of all documents before. Only one total per range partition is summed up in
-    order; there are at most ``spark.sql.shuffle.partitions`` of them, so that table is broadcast.
+    Every block is decoded on its own. ``start`` counts the ids of all documents before. Only one total per
+    range partition is summed up in order; there are at most ``spark.sql.shuffle.partitions`` of them, so
+    that table is broadcast. Ids and checksums are of little-endian unsigned 32-bit integers.
     """
     rows = spark.read.schema(TABLE_SCHEMA).parquet(f"{folder}/table").orderBy("id").collect()
     symbols, scaled = np.array([r.id for r in rows], np.int64), np.array([r.frequency for r in rows], np.int64)
@@ -272,11 +297,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return (
-        blocks.join(F.broadcast(bases), "part")
-        .select("doc_ids", "sizes", "payload", (F.col("base") + F.col("before_in_part")).alias("before"))
-        .mapInArrow(lambda b: _unpacked(b, symbols, scaled), "doc_id long, start long, ids binary")
+    placed = blocks.join(F.broadcast(bases), "part").select(
+        "doc_ids", "sizes", "payload", (F.col("base") + F.col("before_in_part")).alias("before")
     )
+    kept = "n_tokens long, ids_crc32 long" if digest else "ids binary"
+    return placed.mapInArrow(lambda b: _unpacked(b, symbols, scaled, digest), f"doc_id long, start long, {kept}")
 
 
 def round_trip(docs: DataFrame, file: str, end_id: int) -> DataFrame:
@@ -284,8 +309,6 @@ def round_trip(docs: DataFrame, file: str, end_id: int) -> DataFrame:
 
     Null text is empty and holds the end id alone; a null ``doc_id`` comes first; repeated rows stay.
     """
-    folder = fresh_folder(docs.sparkSession, "rans")
-    write(landed(tokenize(docs, file, end_id), "tokens"), folder)
-    return read(docs.sparkSession, folder).select(
-        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
-    )
+    folder, kind = fresh_folder(docs.sparkSession, "rans"), id_kind(file, end_id)
+    write(landed(tokenize(docs, file, end_id, kind), "tokens"), folder, kind)
+    return read(docs.sparkSession, folder, digest=True)
