@@ -32,7 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-FREQUENCY_BUCKETS = 1 << 17
+FREQUENCY_BITS = 16
+FREQUENCY_BUCKETS = 1 << FREQUENCY_BITS
 # Share of documents from which a shingle counts as frequent, and the least weight.
 FREQUENT_SHARE = 1e-3
 LEAST_WEIGHT = 0.5
@@ -48,12 +49,13 @@ def shingles(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of one text's words and their counts; a text of fewer words is one shingle."""
     if not len(values):
         return values, values.astype(np.int64)
-    runs = words.run_hashes(values, min(SHINGLE, len(values)))[: max(1, len(values) - SHINGLE + 1)]
-    return np.unique(runs, return_counts=True)
+    runs = np.sort(words.run_hashes(values, min(SHINGLE, len(values)))[: max(1, len(values) - SHINGLE + 1)])
+    begins = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
+    return runs[begins], np.diff(np.append(begins, len(runs)))
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 17)).astype(np.int64)
+    return (hashes >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, inverse: np.ndarray) -> np.ndarray:
@@ -67,39 +69,50 @@ def inverse_frequencies(buckets: np.ndarray, n_docs: int) -> np.ndarray:
         return np.clip(np.log(share) / np.log(FREQUENT_SHARE), LEAST_WEIGHT, 1.0)
 
 
-_SEEDS = words.mixed(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_UNIT = np.float32(2.0**-32)
+_SEEDS = words.mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_QUANTILES = 1 << 16
 
 
-def sample(hashes: np.ndarray, weight: np.ndarray, rows_at_once: int = 8192) -> np.ndarray:
+def _gamma_quantiles() -> np.ndarray:
+    """Of the gamma distribution with shape 2, at the middles of equal shares, by bisection."""
+    share = (np.arange(_QUANTILES) + 0.5) / _QUANTILES
+    low, high = np.zeros(_QUANTILES), np.full(_QUANTILES, 40.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        below = 1 - np.exp(-middle) * (1 + middle) < share
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return low
+
+
+_R = _gamma_quantiles()
+_LOG_C, _INVERSE_R, _R = np.log(_R).astype(np.float32), (1 / _R).astype(np.float32), _R.astype(np.float32)
+
+
+def sample(hashes: np.ndarray, weight: np.ndarray, rows_at_once: int = 2048) -> np.ndarray:
     """The improved consistent weighted sample: a hash of (shingle, level) for each of ``SAMPLES`` draws.
 
-    A shingle and a draw give two gamma variables and a uniform one; the shingle whose quantised weight
-    makes the smallest value wins. Texts agree in a draw with the probability of their weighted similarity.
+    A shingle and a draw give 64 bits: 16 each for two gamma variables, r and c, by their quantiles, and 32
+    for a shift. The shingle whose quantised weight makes the smallest value wins. Texts agree in a draw
+    with the probability of their weighted similarity.
     """
     best = np.full(SAMPLES, np.inf, np.float32)
     found = np.zeros(SAMPLES, np.uint64)
     log_weight = np.log(weight).astype(np.float32)[:, None]
+    draw = np.arange(SAMPLES)
     for at in range(0, len(hashes), rows_at_once):
-        own = hashes[at : at + rows_at_once, None]
-        first, second = words.mixed(own ^ _SEEDS[:SAMPLES]), words.mixed(own ^ _SEEDS[SAMPLES:])
-        high = lambda x: ((x >> np.uint64(32)).astype(np.uint32).astype(np.float32) + np.float32(0.5)) * _UNIT
-        low = lambda x: (x.astype(np.uint32).astype(np.float32) + np.float32(0.5)) * _UNIT
-        r = -np.log(high(first) * low(first))
-        # Of the second number, 24 bits each for the two factors of c, and 16 for the shift.
-        mask = np.uint64((1 << 24) - 1)
-        c1 = ((second >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-        c2 = ((second >> np.uint64(16) & mask).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-        shift = (second & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
-        level = np.floor(log_weight[at : at + rows_at_once] / r + shift)
-        value = np.log(-np.log(c1 * c2)) - r * (level - shift) - r
+        own = hashes[at : at + rows_at_once]
+        bits = words.mixed(own[:, None] ^ _SEEDS)
+        by_r = (bits >> np.uint64(48)).astype(np.int32)
+        by_c = (bits >> np.uint64(32)).astype(np.uint16)
+        shift = bits.astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
+        level = np.floor(log_weight[at : at + rows_at_once] * np.take(_INVERSE_R, by_r) + shift)
+        value = np.take(_LOG_C, by_c) - np.take(_R, by_r) * (level - shift + 1)
         place = value.argmin(axis=0)
-        draw = np.arange(SAMPLES)
         least = value[place, draw]
         wins = least < best
         best = np.where(wins, least, best)
         levels = level[place, draw].astype(np.int64).astype(np.uint64)
-        found = np.where(wins, words.mixed(own[place, 0] + levels * np.uint64(0x9E3779B97F4A7C15)), found)
+        found = np.where(wins, words.mixed(own[place] + levels * np.uint64(0x9E3779B97F4A7C15)), found)
     return found
 
 
@@ -128,10 +141,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_weights(docs: DataFrame) -> np.ndarray:
     """Bucket weights counted over all documents; the number of buckets bounds what reaches the driver."""
-    rows = docs.select("text").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(FREQUENCY_BUCKETS + 1)
-    for row in rows:
-        counts[row.bucket] = row.n
+    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return inverse_frequencies(counts[:-1], int(counts[-1])).astype(np.float32)
 
 

@@ -43,7 +43,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words, as if all texts were one; the last ones are short and mean nothing."""
     total = np.zeros(len(values), np.uint64)
-    factor = np.uint64(1)
+    factor = np.ones(1, np.uint64)
     for j in range(min(size, len(values))):
         factor = factor * _STEP
         total[: len(values) - j] += values[j:] * factor
