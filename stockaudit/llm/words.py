@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from stockaudit.llm import arrowtext
 
-_WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+# What parts words: runs of anything but letters, digits, marks and underscores.
+_APART = r"[^\pL\pN\pM_]+"
 
 
 def words(text: str) -> list[str]:
-    """Lower-case runs of letters, digits and underscores."""
-    return _WORD.findall(text.lower())
+    """Lower-case runs of letters, digits, marks and underscores."""
+    return [w for w in _spaced(pa.array([text], pa.large_string()))[0].as_py().split(" ") if w]
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(pc.utf8_lower(texts), _APART, " ")
 
 
 def _hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return arrowtext.flattened([[xxhash.xxh3_64_intdigest(w) for w in words(piece)] for piece in pieces], np.uint64)
+    lengths = np.fromiter(map(bool, pieces), np.int64, len(pieces))
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in pieces if w], np.uint64), lengths
 
 
 _table = arrowtext.PieceTable(_hashes, np.uint64)
@@ -28,7 +33,7 @@ _table = arrowtext.PieceTable(_hashes, np.uint64)
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and where each text begins (and the last one ends)."""
-    codes, offsets, pieces = arrowtext.pieces_of(texts)
+    codes, offsets, pieces = arrowtext.pieces_of(_spaced(texts))
     values, lengths = _table.gather(codes, pieces)
     return values, arrowtext.bounds(offsets, lengths)
 
