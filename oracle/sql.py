@@ -186,7 +186,8 @@ def _top2(by: str) -> str:
 
 def _shares(column: str, order: str, by: str = "") -> tuple[str, str]:
     partition = f"PARTITION BY {by}" if by else ""
-    total = f"sum({column}) OVER ({partition})"
+    # Unknown as soon as one value is; where a measure is never null, the same as a plain sum.
+    total = f"CASE WHEN count({column}) OVER ({partition}) = count(*) OVER ({partition}) THEN sum({column}) OVER ({partition}) END"
     running = f"sum({column}) OVER ({partition} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
     return (
         f"round(CAST({column} AS DOUBLE) / nullif({total}, 0), 6)",
@@ -259,13 +260,16 @@ ORACLE["acc_impact"] = _sql(
 )
 ORACLE["err_area_by_region"] = _sql(
     "cycle_summary",
-    """SELECT area, br, mx, other, total_errors, round(CAST(total_errors AS DOUBLE) / sum(total_errors) OVER (), 6)
+    """SELECT area, br, mx, other, other_region, total_errors, round(CAST(total_errors AS DOUBLE) / sum(total_errors) OVER (), 6)
          AS share FROM areas
        UNION ALL SELECT 'Total', CAST(sum(br) AS BIGINT), CAST(sum(mx) AS BIGINT), CAST(sum(other) AS BIGINT),
+         CAST(sum(other_region) AS BIGINT),
          CAST(sum(total_errors) AS BIGINT), 1.0 FROM areas""",
     areas="""SELECT area, CAST(coalesce(sum(error_tuples) FILTER (region = 'BR'), 0) AS BIGINT) AS br,
                CAST(coalesce(sum(error_tuples) FILTER (region = 'MX'), 0) AS BIGINT) AS mx,
                CAST(coalesce(sum(error_tuples) FILTER (region = 'OTHER'), 0) AS BIGINT) AS other,
+               CAST(coalesce(sum(error_tuples) FILTER (coalesce(region NOT IN ('BR', 'MX', 'OTHER'), true)), 0) AS BIGINT)
+                 AS other_region,
                CAST(sum(error_tuples) AS BIGINT) AS total_errors
              FROM cycle_summary WHERE period = '2024 | 02' AND area <> 'MZ' GROUP BY area""",
 )
@@ -285,7 +289,7 @@ ORACLE["div_area_month"] = _sql(
     "detail",
     "SELECT area, "
     + ", ".join(f'nullif(count(*) FILTER (month = {n}), 0) AS "{m}"' for n, m in enumerate(MONTHS, start=1))
-    + " FROM detail GROUP BY area",
+    + ", nullif(count(*) FILTER (month IS NULL), 0) AS month_none FROM detail GROUP BY area",
 )
 ORACLE["div_level_type_share"] = _sql(
     "detail",
@@ -455,7 +459,8 @@ ORACLE["floor_share_wide"] = _sql(
     "address_units",
     "SELECT site_id, "
     + ", ".join(f"max(share) FILTER (floor = {n}) AS floor_{n}" for n in range(1, 10))
-    + ", max(share) FILTER (floor IS NULL) AS floor_none FROM shares GROUP BY site_id",
+    + ", max(share) FILTER (floor IS NULL) AS floor_none,"
+    + " sum(share) FILTER (floor NOT BETWEEN 1 AND 9 OR floor <> round(floor)) AS floor_other FROM shares GROUP BY site_id",
     shares="""SELECT site_id, floor, round(CAST(units AS DOUBLE) / sum(units) OVER (PARTITION BY site_id), 6) AS share
               FROM (SELECT site_id, TRY_CAST(substr(address_id, 14, 2) AS DOUBLE) AS floor, sum(units) AS units
                     FROM address_units GROUP BY ALL)""",
@@ -466,8 +471,8 @@ def _box(table: str, column: str, upper: int | None) -> str:
     kept = f"SELECT site_id, {column} AS value FROM {table}" + (f" WHERE {column} <= {upper}" if upper else "")
     return _sql(
         table,
-        """SELECT site_id, min(value) FILTER (inside) AS whisker_low, round(q1, 6) AS q1, round(median, 6) AS median,
-             round(q3, 6) AS q3, max(value) FILTER (inside) AS whisker_high, count(*) FILTER (NOT inside) AS outliers,
+        """SELECT site_id, round(least(min(value) FILTER (inside), q1), 6) AS whisker_low, round(q1, 6) AS q1, round(median, 6) AS median,
+             round(q3, 6) AS q3, round(greatest(max(value) FILTER (inside), q3), 6) AS whisker_high, count(*) FILTER (NOT inside) AS outliers,
              count(*) AS rows
            FROM (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
                  FROM kept JOIN quartiles USING (site_id)) GROUP BY site_id, q1, median, q3""",
@@ -539,8 +544,9 @@ ORACLE["insured_top_frac"] = _sql(
 
 
 def _totals(by: str, where: str) -> str:
-    return f"""SELECT {by}, CAST(sum(units) AS BIGINT) AS units, count(DISTINCT sku_id) AS skus,
-                 count(DISTINCT address_id) AS addresses FROM address_stock WHERE {where} GROUP BY {by}"""
+    return f"""SELECT {by}, CASE WHEN count(units) = count(*) THEN CAST(sum(units) AS BIGINT) END AS units,
+                 count(DISTINCT sku_id) + max(CAST(sku_id IS NULL AS INT)) AS skus,
+                 count(DISTINCT address_id) + max(CAST(address_id IS NULL AS INT)) AS addresses FROM address_stock WHERE {where} GROUP BY {by}"""
 
 
 ORACLE["stock_zone_summary"] = _sql("address_stock", _totals("zone", "area = 'MZ'"))

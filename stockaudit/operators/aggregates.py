@@ -72,21 +72,29 @@ def pivot_wide(
     columns: dict,
     value: str | Column,
     fill: int | None = None,
+    rest: str | None = None,
 ) -> DataFrame:
     """Spread ``value`` into one column per listed value of ``on``.
 
     ``columns`` maps values of ``on`` (None for null) to output names. Absent cells are null,
-    or ``fill``. Conditional sums need one shuffle and no job to discover the values.
+    or ``fill``. ``rest`` names a column for all other values of ``on``, so that none is lost; null is
+    among them unless listed. Conditional sums need one shuffle and no job to discover the values.
     """
-    return df.groupBy(*keys).agg(*[a.alias(n) for n, a in pivot_sums(on, columns, value, fill).items()])
+    return df.groupBy(*keys).agg(*[a.alias(n) for n, a in pivot_sums(on, columns, value, fill, rest).items()])
 
 
-def pivot_sums(on: str, columns: dict, value: str | Column, fill: int | None = None) -> dict[str, Column]:
+def pivot_sums(
+    on: str, columns: dict, value: str | Column, fill: int | None = None, rest: str | None = None
+) -> dict[str, Column]:
     """The conditional sums of ``pivot_wide``, to combine with other aggregates."""
     value = F.col(value) if isinstance(value, str) else value
+    cases = {name: F.col(on).isNull() if key is None else F.col(on) == key for key, name in columns.items()}
+    if rest is not None:
+        listed = F.coalesce(F.col(on).isin([key for key in columns if key is not None]), F.lit(None in columns))
+        cases[rest] = ~listed
     sums = {}
-    for key, name in columns.items():
-        cell = F.sum(F.when(F.col(on).isNull() if key is None else F.col(on) == key, value))
+    for name, case in cases.items():
+        cell = F.sum(F.when(case, value))
         sums[name] = cell if fill is None else F.coalesce(cell, F.lit(fill))
     return sums
 

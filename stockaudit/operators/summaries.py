@@ -60,19 +60,19 @@ def numeric_summary(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -
 def box_stats(df: DataFrame, by: Sequence[str], measure: str, upper: int | None = None) -> DataFrame:
     """Box-plot statistics per group: quartiles, whisker ends and outlier count.
 
-    Whiskers end at the extreme values within ``WHISKER_REACH`` interquartile ranges of the box; values
-    above ``upper`` are left out beforehand.
+    Whiskers end at the extreme values within ``WHISKER_REACH`` interquartile ranges of the box, but not
+    inside the box; values above ``upper`` are left out beforehand.
     """
     df = df.where(F.col(measure).isNotNull() if upper is None else F.col(measure) <= upper)
     counts = df.groupBy(*by, F.col(measure).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     reach = WHISKER_REACH * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return with_quantiles(counts, by).groupBy(*by).agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
+        F.least(F.min(F.when(inside, F.col("value"))), F.max("q1")).alias("whisker_low"),
         F.max("q1").alias("q1"),
         F.max("median").alias("median"),
         F.max("q3").alias("q3"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+        F.greatest(F.max(F.when(inside, F.col("value"))), F.max("q3")).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
         F.sum("n").alias("rows"),
     )

@@ -18,18 +18,27 @@ def total_of(column: str, by: Sequence[str] = ()) -> Column:
     return F.coalesce(F.sum(column).over(Window.partitionBy(*by)), F.lit(0))
 
 
-def share(column: str, by: Sequence[str] = ()) -> Column:
-    """A row's part of its group total (of the grand total without ``by``)."""
-    return ratio(F.col(column), F.sum(column).over(Window.partitionBy(*by)))
+def _group_total(column: str, by: Sequence[str], strict: bool) -> Column:
+    group = Window.partitionBy(*by)
+    total = F.sum(column).over(group)
+    return F.when(F.count(column).over(group) == F.count(F.lit(1)).over(group), total) if strict else total
 
 
-def cumulative_share(column: str, order: Sequence[Column], by: Sequence[str] = ()) -> Column:
+def share(column: str, by: Sequence[str] = (), strict: bool = False) -> Column:
+    """A row's part of its group total (of the grand total without ``by``).
+
+    ``strict`` makes all shares of a group null if one of its values is: its total is unknown.
+    """
+    return ratio(F.col(column), _group_total(column, by, strict))
+
+
+def cumulative_share(column: str, order: Sequence[Column], by: Sequence[str] = (), strict: bool = False) -> Column:
     """Running part of the group total, row by row. ``order`` must break all ties.
 
-    The running sum of the measure is divided once, so whole numbers stay exact.
+    The running sum of the measure is divided once, so whole numbers stay exact. ``strict`` as in ``share``.
     """
     running = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ratio(F.sum(column).over(running), F.sum(column).over(Window.partitionBy(*by)))
+    return ratio(F.sum(column).over(running), _group_total(column, by, strict))
 
 
 def first_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -68,7 +68,7 @@ def site_table(summary: DataFrame, region: str, period: str, area: str, total_la
         "goal": F.when(is_site, goal),
         "site_weight": F.when(is_site, share("population", ["_total"])),
     })
-    return table.drop("_total").orderBy(F.desc_nulls_last("population"))
+    return table.orderBy(F.desc_nulls_last("population"), "_total", F.asc_nulls_last("site_id")).drop("_total")
 
 
 def impact(summary: DataFrame, region: str, period: str) -> DataFrame:
@@ -142,19 +142,20 @@ def _area_totals(cells: DataFrame) -> DataFrame:
 def area_errors_by_region(
     summary: DataFrame, period: str, without_area: str, regions: Sequence[str] = fixed.MARKETS
 ) -> DataFrame:
-    """Wrong tuples per area, one column per region, with totals, shares and a total row."""
+    """Wrong tuples per area, one column per region and one for all others, with totals, shares and a total row."""
     kept = summary.where((F.col("period") == period) & (F.col("area") != without_area))
     counts = weighted_count(kept.fillna({"area": fixed.MISSING}), ["region", "area"], "error_tuples")
     names = {region: region.lower() for region in regions}
-    wide = pivot_wide(counts, ["area"], "region", names, "n", fill=0)
-    total = F.col(names[regions[0]])
-    for region in regions[1:]:
-        total = total + F.col(names[region])
+    rest = "other_region"
+    wide = pivot_wide(counts, ["area"], "region", names, "n", fill=0, rest=rest)
+    total = F.col(rest)
+    for name in names.values():
+        total = total + F.col(name)
     wide = wide.withColumn("total_errors", total)
     wide = wide.withColumn("share", share("total_errors"))
-    columns = [*names.values(), "total_errors"]
+    columns = [*names.values(), rest, "total_errors"]
     table = with_total_row(wide, {"area": fixed.TOTAL_LABEL}, {
         **{name: sum_or_zero(name) for name in columns},
         "share": ratio(F.sum("total_errors"), F.sum("total_errors")),
     })
-    return table.orderBy(F.col("area") == fixed.TOTAL_LABEL, F.desc("total_errors"))
+    return table.orderBy(F.col("area") == fixed.TOTAL_LABEL, F.desc("total_errors"), F.asc_nulls_last("area"))

@@ -82,9 +82,9 @@ def count_base(detail: DataFrame) -> DataFrame:
 
 
 def area_month(detail: DataFrame) -> DataFrame:
-    """Lines per area, one column per month."""
+    """Lines per area, one column per month and one for lines without a readable date."""
     lines = row_count(detail.withColumn("month", F.month(_count_date())), ["area", "month"])
-    return pivot_wide(lines, ["area"], "month", dict(enumerate(fixed.MONTH_LABELS, start=1)), "n")
+    return pivot_wide(lines, ["area"], "month", {**dict(enumerate(fixed.MONTH_LABELS, start=1)), None: "month_none"}, "n")
 
 
 def level_type_share(detail: DataFrame, market: str, month: int) -> DataFrame:

@@ -65,12 +65,12 @@ def sku_rollup(stock: DataFrame, area: str) -> DataFrame:
 
 
 def floor_share_wide(stock: DataFrame, area: str, floors: Sequence[int] = tuple(range(1, 10))) -> DataFrame:
-    """Part of each site's units per floor, one column per floor, the last for no floor number."""
+    """Part of each site's units per floor, one column per floor, and two for other floors and for no floor number."""
     # Summed per address first: an address with an unknown quantity counts for nothing.
     by_floor = weighted_count(address_rollup(stock, area), ["site_id", "floor"], "units", "units")
     shares = by_floor.withColumn("share", share("units", ["site_id"]))
     columns = {**{float(floor): f"floor_{floor}" for floor in floors}, None: "floor_none"}
-    return pivot_wide(shares, ["site_id"], "floor", columns, "share")
+    return pivot_wide(shares, ["site_id"], "floor", columns, "share", rest="floor_other")
 
 
 def box_skus_per_address(stock: DataFrame, area: str) -> DataFrame:
@@ -206,8 +206,8 @@ def floor_cumulative(stock: DataFrame, without_area: str) -> DataFrame:
     floors = _totals(stock.where(address_part(F.col("address_id"), "area") != without_area), "floor")
     order = [F.desc_nulls_last("units"), F.asc_nulls_last("floor")]
     return floors.withColumns({
-        "units_share": share("units"),
-        "units_running": cumulative_share("units", order),
+        "units_share": share("units", strict=True),
+        "units_running": cumulative_share("units", order, strict=True),
         "skus_share": share("skus"),
         "skus_running": cumulative_share("skus", order),
     }).orderBy(*order)
@@ -220,8 +220,8 @@ def area_floor_cumulative(stock: DataFrame, area: str) -> DataFrame:
     )
     order = [F.asc_nulls_last("floor")]
     return floors.withColumns({
-        "units_share": share("units"),
-        "units_running": cumulative_share("units", order),
+        "units_share": share("units", strict=True),
+        "units_running": cumulative_share("units", order, strict=True),
         "skus_share": share("skus"),
         "skus_running": cumulative_share("skus", order),
     }).orderBy(*order)

@@ -179,9 +179,10 @@ def address_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def address_stock_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The stock as one extract per site, without the site column; together, all rows."""
+    """The stock as one extract per site, without the site column; together, all rows that have a site."""
     stock = address_stock(spark, sf_dir)
-    return {site: stock.where(stock["site_id"] == site).drop("site_id") for site in SITES}
+    sites = sorted(row.site_id for row in stock.select("site_id").where("site_id IS NOT NULL").distinct().collect())
+    return {site: stock.where(stock["site_id"] == site).drop("site_id") for site in sites}
 
 
 def onhand(spark: SparkSession, sf_dir: str) -> DataFrame:

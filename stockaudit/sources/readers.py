@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from stockaudit.fixed_values import EXTRACT_COLUMNS, MISSING
 from stockaudit.sources import schemas
 
+# Separators an extract may have, the likeliest first.
+SEPARATORS = (",", ";", "\t", "|")
+
 
 def snake_case(name: str) -> str:
     """A header as a lower-case identifier: accents dropped, words joined by underscores."""
@@ -33,10 +36,22 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def _read_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def header_separator(spark: SparkSession, path: str | Sequence[str]) -> str:
+    """The separator that occurs most often in the first line, outside quotes; a comma if none does."""
+    first = spark.read.text(path).head()
+    header = re.sub(r'"[^"]*"', "", first[0]) if first else ""
+    return max(SEPARATORS, key=header.count)
+
+
+def _read_text(
+    spark: SparkSession, path: str | Sequence[str], separator: str | None = None, encoding: str = "UTF-8"
+) -> DataFrame:
     # Text columns only: each one is typed by the caller, so that a bad value becomes null
     # instead of failing the job, and no pass over the data infers types.
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"', enforceSchema=False)
+    separator = separator or header_separator(spark, path)
+    return spark.read.csv(
+        path, sep=separator, encoding=encoding, header=True, inferSchema=False, escape='"', enforceSchema=False
+    )
 
 
 def _typed(df: DataFrame, schema: T.StructType, rename: Mapping[str, str], text: bool) -> DataFrame:
@@ -63,17 +78,19 @@ def _cell(value: Column, kind: T.DataType, keep_empty: bool) -> Column:
 
 
 def read_summary(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, rename: Mapping[str, str] | None = None
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, rename: Mapping[str, str] | None = None,
+    separator: str | None = None, encoding: str = "UTF-8",
 ) -> DataFrame:
     """A CSV file whose empty and ``NA`` fields are null. Header names are kept as they are."""
-    return _typed(_read_text(spark, path), schema, rename or {}, text=False)
+    return _typed(_read_text(spark, path, separator, encoding), schema, rename or {}, text=False)
 
 
 def read_extract(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, rename: Mapping[str, str] | None = None
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, rename: Mapping[str, str] | None = None,
+    separator: str | None = None, encoding: str = "UTF-8",
 ) -> DataFrame:
     """A CSV extract whose empty text fields stay ``''``; names are cleaned before renaming."""
-    return _typed(clean_names(_read_text(spark, path)), schema, rename or {}, text=True)
+    return _typed(clean_names(_read_text(spark, path, separator, encoding)), schema, rename or {}, text=True)
 
 
 def read_input(spark: SparkSession, name: str, path: str | Sequence[str]) -> DataFrame:

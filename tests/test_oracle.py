@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as driver
+from oracle.sql import ORACLE
+from stockaudit.plans import registry
 from tests.compare import connect, differences
 
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+QUERIES = registry.queries()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +17,7 @@ def con(sf_dir):
 
 def test_every_report_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -103,7 +103,7 @@ def test_touches_scan_once(plans):
 
 
 def test_reports_are_registered_for_the_driver(spark, sf_dir):
-    assert set(driver.queries()) == set(registry.REPORTS)
+    assert set(registry.REPORTS) <= set(driver.queries())
     assert set(derived.BUILDERS) == {
         "count_detail", "cycle_summary", "address_stock", "onhand", "address_density", "movements"
     }

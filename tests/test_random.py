@@ -47,7 +47,7 @@ def test_box(df, groups):
         q1, q3 = np.percentile(values, [25, 75])
         inside = values[(values >= q1 - 1.5 * (q3 - q1)) & (values <= q3 + 1.5 * (q3 - q1))]
         got = (row["whisker_low"], row["whisker_high"], row["outliers"], row["rows"])
-        assert got == (inside.min(), inside.max(), len(values) - len(inside), len(values))
+        assert got == (min(inside.min(), q1), max(inside.max(), q3), len(values) - len(inside), len(values))
 
 
 def test_average_rank(df, groups):
