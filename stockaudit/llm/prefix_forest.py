@@ -21,11 +21,12 @@ from stockaudit.llm.tables import landed
 
 TREES = 64
 BITS = 32
-# Rows of a shard, queries of a block, and the share of a shard that the ranges of all trees hold together
-# before the ascent ends (a row counts once a tree).
+# Rows of a shard, queries of a block, and how many rows the ranges of all trees hold together before the
+# ascent ends: a share of the shard and a fixed number (a row counts once a tree).
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
-ASCENT = 0.5
+ASCENT = 0.6
+LEAST_REACHED = 2048
 SEED = 7
 
 PACK_SCHEMA = "pack long, dim int, ids binary, vectors binary"
@@ -96,7 +97,7 @@ class Forest:
     def candidates(self, queries: np.ndarray, ascent: float = ASCENT) -> np.ndarray:
         """Which rows (columns) each query (row) reaches."""
         keys = self._strings(queries @ self.planes)
-        wanted = min(ascent, TREES) * len(self.ids)
+        wanted = min(ascent * len(self.ids) + LEAST_REACHED, TREES * len(self.ids))
         low = np.zeros((len(queries), TREES), np.int64)
         high = np.zeros((len(queries), TREES), np.int64)
         # Descent: the longest prefix that a query shares with either neighbour of its place in a tree.

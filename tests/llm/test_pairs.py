@@ -1,0 +1,180 @@
+"""Duplicates, benchmark overlap, neighbours, the language model and the pipeline against plain versions."""
+
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from stockaudit.llm import masked_lm, prefix_forest, queries, string_tiling, weighted_minhash, words
+from stockaudit.llm.tables import read
+
+
+def shingle_sets(spark, sf_dir):
+    out = {}
+    for r in read(spark, sf_dir, "documents").collect():
+        w = words.words(r.text or "")
+        out[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    return out
+
+
+def test_classes_hold_all_similar_pairs(spark, sf_dir):
+    sets = shingle_sets(spark, sf_dir)
+    rows = queries.queries()["op3_weighted_minhash"](spark, sf_dir).collect()
+    of = {r.doc_id: r.class_id for r in rows}
+    assert len(rows) == len(sets) and sum(r.keep for r in rows) == len(set(of.values()))
+    similar = {d: 0.0 for d in sets}
+    for a, b in itertools.combinations(sets, 2):
+        shared = len(sets[a] & sets[b])
+        if shared:
+            s = shared / len(sets[a] | sets[b])
+            similar[a], similar[b] = max(similar[a], s), max(similar[b], s)
+            assert s < 0.83 or of[a] == of[b], (a, b, s)
+    sizes = {c: list(of.values()).count(c) for c in set(of.values())}
+    assert all(similar[d] > 0.75 for d in sets if sizes[of[d]] > 1)
+
+
+def test_odd_duplicates(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(5, text, 1), (3, text.upper() + "!", 1), (4, text.replace("word30", "other"), 2), (None, text, 1), (7, None, 1), (8, "", 1), (9, "!?", 1), (10, "a b", 1), (10, "a b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep int")
+    found = sorted(((r.doc_id, r.class_id, r.keep) for r in weighted_minhash.assigned(docs).collect()), key=str)
+    assert found == sorted([(5, 3, False), (3, 3, True), (4, 3, False), (None, 3, False), (7, 7, True), (8, 7, False), (9, 9, True), (10, 10, True), (10, 10, False)], key=str)
+    kept = weighted_minhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 7, 9, 10]
+    assert weighted_minhash.assigned(docs.limit(0)).count() == 0
+
+
+def test_sample_agrees_as_often_as_similar():
+    rng, gaps = np.random.default_rng(0), []
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.integers(0, 100) :], rng.integers(0, 2**63, 20, dtype=np.uint64))))
+        weight = lambda h: 0.5 + (h % np.uint64(7)).astype(float) / 7
+        agree = (weighted_minhash.sample(a, weight(a)) == weighted_minhash.sample(b, weight(b))).mean()
+        gaps.append(agree - weighted_minhash.similarity((a, weight(a)), (b, weight(b))))
+    assert abs(np.mean(gaps)) < 0.02
+
+
+def plain_tiles(doc, item, least):
+    """Longest common unmarked runs by trying every place."""
+    used_d, used_i, found = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                k = 0
+                while d + k < len(doc) and i + k < len(item) and doc[d + k] == item[i + k] and d + k not in used_d and i + k not in used_i:
+                    k += 1
+                if k > best[0]:
+                    best = (k, d, i)
+        if best[0] < least:
+            return found
+        found.append(best)
+        used_d.update(range(best[1], best[1] + best[0]))
+        used_i.update(range(best[2], best[2] + best[0]))
+
+
+def test_tiles_by_trying_all():
+    draw = random.Random(2)
+    for _ in range(60):
+        doc, item = ([draw.choice("abc") for _ in range(draw.randint(0, 40))] for _ in range(2))
+        n = string_tiling.MIN_TILE
+        seeds = [(d, i) for d in range(len(doc) - n + 1) for i in range(len(item) - n + 1) if doc[d : d + n] == item[i : i + n]]
+        got = string_tiling.tiles(seeds)
+        want = plain_tiles(doc, item, n)
+        assert [t[2] for t in got][:1] == [t[0] for t in want][:1]
+        marked = [x for d, i, k in got for x in range(d, d + k)]
+        assert len(marked) == len(set(marked)) and all(doc[d : d + k] == item[i : i + k] for d, i, k in got)
+
+
+def test_whole_items_are_found(spark, sf_dir):
+    items = {r.item_id: words.words(r.text or "") for r in read(spark, sf_dir, "benchmark").collect()}
+    found = {(r.doc_id, r.item_id) for r in queries.queries()["op4_string_tiling"](spark, sf_dir).collect()}
+    want = set()
+    for r in read(spark, sf_dir, "documents").collect():
+        text = f" {' '.join(words.words(r.text or ''))} "
+        want |= {(r.doc_id, i) for i, w in items.items() if len(w) >= 5 and f" {' '.join(w)} " in text}
+    assert want <= found and len(found) <= len(want) + 2
+
+
+def test_reordered_item(spark):
+    item = [f"w{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "too short"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, " ".join(item[10:] + ["x"] + item[:10])), (2, " ".join(item[:6])), (3, None), (4, "")], "doc_id long, text string"
+    ).selectExpr("*", "1 AS text_key")
+    assert [(r.doc_id, r.item_id, r.tiles, r.covered) for r in string_tiling.contaminated(docs, bench).collect()] == [(1, 1, 2, 20)]
+    kept = string_tiling.without(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+    assert string_tiling.without(docs, bench.limit(0)).count() == 4
+
+
+def test_neighbours_recall(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = {}
+    for r in queries.queries()["op10_prefix_forest"](spark, sf_dir).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in np.flatnonzero(ids % queries.QUERY_STEP == 0):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        best = set(ids[np.lexsort((ids, -scores))[: queries.NEIGHBOURS]].tolist())
+        got = sorted(found[ids[q]])
+        assert [g[0] for g in got] == list(range(1, queries.NEIGHBOURS + 1))
+        assert all(s == pytest.approx(scores[ids == v][0], abs=1e-12) for _, v, s in got)
+        hits += len(best & {g[1] for g in got})
+    assert hits >= 0.9 * queries.NEIGHBOURS * len(found)
+
+
+def test_odd_vectors(spark):
+    same = [1.0, 0.0]
+    rows = [(0, same), (3, same), (2, same), (1, [0.5, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, same), (20, [1.0, 2.0, 3.0]), (0, same)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in prefix_forest.search(df, df.where("vec_id % 20 = 0"), 20).collect())
+    assert found == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 1, 0.5)]
+    assert prefix_forest.search(df.limit(0), df, 20).count() == 0
+
+
+def test_gradient():
+    ids, starts = masked_lm.numbered(pa.array(["a b c d e f g h a b c", "x y z"], pa.large_string()))
+    near = masked_lm.windows(ids, starts)
+    flat = masked_lm.fresh().astype(np.float64)
+    g = masked_lm.gradient(masked_lm.views(flat), near, ids)
+    loss = lambda p: -masked_lm.log_probabilities(masked_lm.views(p), near, ids).mean()
+    for k in np.random.default_rng(0).choice(np.flatnonzero(np.abs(g) > 1e-4), 30):
+        step = np.zeros_like(flat)
+        step[k] = 1e-5
+        assert (loss(flat + step) - loss(flat - step)) / 2e-5 == pytest.approx(g[k], rel=1e-2, abs=1e-5)
+    p = masked_lm.views(flat)
+    every = np.arange(masked_lm.VOCABULARY)
+    one = masked_lm.log_probabilities(p, np.repeat(near[:, :1], len(every), axis=1), every)
+    assert np.exp(one).sum() == pytest.approx(1.0, abs=1e-5)
+
+
+def test_scores(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    flat = masked_lm.learn(docs)
+    rows = {r.doc_id: r for r in masked_lm.score(docs, flat).collect()}
+    for r in docs.limit(40).collect():
+        ids, starts = masked_lm.numbered(pa.array([r.text or ""], pa.large_string()))
+        want = masked_lm.log_probabilities(masked_lm.views(flat), masked_lm.windows(ids, starts), ids).sum()
+        assert rows[r.doc_id].n_tokens == len(ids) and rows[r.doc_id].log_prob == pytest.approx(float(want), rel=1e-3, abs=1e-3)
+    untrained = masked_lm.score(docs, masked_lm.fresh()).agg({"log_prob": "sum"}).first()[0]
+    assert sum(r.log_prob for r in rows.values()) > untrained
+    odd = spark.createDataFrame([(1, None), (1, "!"), (None, "a")], "doc_id long, text string")
+    assert sorted((r.n_tokens, r.mean_log_prob is None) for r in masked_lm.score(odd, flat).collect()) == [(0, True), (0, True), (1, False)]
+
+
+def test_pipeline(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, sf_dir)
+        assert after.columns == docs.columns
+        assert {r.doc_id for r in after.select("doc_id").collect()} <= {r.doc_id for r in kept.select("doc_id").collect()}
+        kept = after
+    assert corpus_pipeline.run(spark, sf_dir).count() == kept.count()
