@@ -3,7 +3,7 @@
 BENCH_SF_DIR   data folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_RUNS     timed runs per report after one warm-up run (default 3, the median counts)
-BENCH_QUERIES  comma-separated report names, or "all" (default: the headline reports)
+BENCH_QUERIES  comma-separated report names (default: all reports)
 """
 
 from __future__ import annotations
@@ -22,16 +22,6 @@ from stockaudit.session import build_session  # noqa: E402
 from stockaudit.sources import derived  # noqa: E402
 
 
-HEADLINE = (
-    "acc_site_table acc_impact err_area_by_region count_base div_market_totals div_level_type_share density_freq"
-    " density_bucket_errors div_level_top2 address_error_pivot density_inac level_type_tuples density_error_corr"
-    " category_pareto stock_parsed stock_address_rollup floor_share_wide box_units_per_address aisle_top10"
-    " stock_overview spread_area_counts spread_tail tuple_top50 insured_top_frac stock_area_summary"
-    " stock_floor_cumulative address_summary_stats onhand_site_stats onhand_top6 density_share_hist"
-    " mov_touch_levels mov_day_origin mov_count_daily mov_putaway_level"
-).split()
-
-
 def seconds(report, spark, sf_dir: str) -> float:
     start = time.perf_counter()
     report(spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -44,7 +34,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     reports = queries()
     chosen = os.environ.get("BENCH_QUERIES", "")
-    wanted = list(reports) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
+    wanted = chosen.split(",") if chosen else list(reports)
     spark = build_session(
         "stockaudit-bench",
         master=f"local[{cpus}]",
@@ -72,6 +62,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "load_tables": load,
+        "value_with_load": round(sum(times.values()) + load, 3),
         "sf": Path(sf_dir).name.removeprefix("sf"),
     }))
 

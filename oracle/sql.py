@@ -26,6 +26,8 @@ TABLES = {
           CAST(l_quantity AS INTEGER) AS qty_system,
           CASE WHEN h <> 4 THEN CAST(l_quantity AS INTEGER)
             + CASE h WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN -1 WHEN 3 THEN -2 ELSE 0 END END AS qty_counted,
+          CASE WHEN (l_orderkey + l_suppkey) % 31 = 0 THEN 0 WHEN h = 4 AND l_linenumber = 1 THEN -1 WHEN h = 0 THEN 1
+            WHEN h = 1 THEN 2 WHEN h = 2 THEN -1 WHEN h = 3 THEN -2 WHEN h <> 4 THEN 0 END AS divergence_stored,
           strftime(l_shipdate, '%Y-%m-%d') AS counted_on,
           CASE WHEN l_partkey % 50 <> 0 THEN p_type END AS category
         FROM placed LEFT JOIN part ON l_partkey = p_partkey""",
@@ -93,10 +95,10 @@ TABLES = {
     # Distinct SKUs counted wrong and right per address of area MZ.
     "address_errors": """
         SELECT market, site_id, address_id,
-          count(DISTINCT sku_id) FILTER (divergence <> 0)
-            + coalesce(max(CAST(sku_id IS NULL AS INTEGER)) FILTER (divergence <> 0), 0) AS error_skus,
-          count(DISTINCT sku_id) FILTER (divergence = 0)
-            + coalesce(max(CAST(sku_id IS NULL AS INTEGER)) FILTER (divergence = 0), 0) AS ok_skus
+          count(DISTINCT sku_id) FILTER (divergence_stored <> 0)
+            + coalesce(max(CAST(sku_id IS NULL AS INTEGER)) FILTER (divergence_stored <> 0), 0) AS error_skus,
+          count(DISTINCT sku_id) FILTER (divergence_stored = 0)
+            + coalesce(max(CAST(sku_id IS NULL AS INTEGER)) FILTER (divergence_stored = 0), 0) AS ok_skus
         FROM detail GROUP BY market, site_id, address_id""",
     "mz": """
         SELECT *, error_skus + ok_skus AS density, CASE WHEN error_skus <> 0 THEN 'error' ELSE 'ok' END AS outcome
@@ -281,7 +283,7 @@ MONTH_CASES = " ".join(f"WHEN {number} THEN '{label}'" for number, label in enum
 
 ORACLE["count_base"] = _sql(
     "detail",
-    f"""SELECT market, site_id, area, level, address_id, sku_id, qty_system, qty_counted, counted_on, category,
+    f"""SELECT market, site_id, area, level, address_id, sku_id, qty_system, qty_counted, divergence_stored, counted_on, category,
           divergence, divergence_type, counted_on AS count_date, month, CASE month {MONTH_CASES} END AS month_label
         FROM detail""",
 )
@@ -311,7 +313,7 @@ ORACLE["div_market_totals"] = _sql(
     "detail",
     f"""SELECT market, addresses, skus, round(CAST(skus AS DOUBLE) / sum(skus) OVER () * 100, 6) AS skus_pct
         FROM (SELECT market, {_nd('address_id')} AS addresses, {_nd('sku_id')} AS skus
-              FROM detail WHERE divergence <> 0 GROUP BY market)""",
+              FROM detail WHERE divergence_stored <> 0 GROUP BY market)""",
 )
 ORACLE["density_freq"] = _sql(
     "mz",
@@ -352,7 +354,7 @@ ORACLE["density_bucket_errors"] = _sql(
 LEVELS = """SELECT market, site_id, level, CAST(sum(skus) AS BIGINT) AS errors
             FROM (SELECT market, site_id, address_id, level,
                     count(DISTINCT sku_id) + max(CAST(sku_id IS NULL AS INTEGER)) AS skus
-                  FROM detail WHERE divergence <> 0 AND level <= 7 AND area = 'MZ' GROUP BY ALL)
+                  FROM detail WHERE divergence_stored <> 0 AND level <= 7 AND area = 'MZ' GROUP BY ALL)
             GROUP BY market, site_id, level"""
 ORACLE["div_level_share"] = _sql(
     "detail",
@@ -438,7 +440,7 @@ ORACLE["category_pareto"] = _sql(
     "detail",
     f"""SELECT category, site_id, n, {_share} AS share, {_running} AS running_share
         FROM (SELECT category, site_id, count(*) AS n FROM detail
-              WHERE divergence <> 0 AND area = 'MZ' AND site_id = 'MX01' GROUP BY ALL)""",
+              WHERE divergence_stored <> 0 AND area = 'MZ' AND site_id = 'MX01' GROUP BY ALL)""",
 )
 
 # --- stock layout -------------------------------------------------------------------------

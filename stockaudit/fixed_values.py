@@ -39,6 +39,14 @@ FIRST_WORD = r"^[^\s]+"
 # Text formats of dates and times, and the mark of a missing field.
 DATE_FORMAT = "yyyy-MM-dd"
 TIMESTAMP_FORMAT = "dd/MM/yyyy HH:mm:ss"
+STRICT_TIMESTAMP = r"^\d\d/\d\d/\d{4} \d\d:\d\d:\d\d$"
+# Year, month, day with any separators and without; day, month, year, hour, minute, second likewise.
+LOOSE_DATES = (r"^\s*(\d{4}|\d{2})\D+(\d{1,2})\D+(\d{1,2})\s*$", r"^\s*(\d{4}|\d{2})(\d{2})(\d{2})\s*$")
+LOOSE_TIMESTAMPS = (
+    r"^\s*(\d{1,2})\D+(\d{1,2})\D+(\d{4}|\d{2})\D+(\d{1,2})\D+(\d{1,2})\D+(\d{1,2})\s*$",
+    r"^\s*(\d{2})(\d{2})(\d{4}|\d{2})\D*(\d{2})(\d{2})(\d{2})\s*$",
+)
+LAST_SHORT_YEAR = 68
 MISSING = "NA"
 
 # Texts of labels, around the values shown in them.
@@ -92,6 +100,7 @@ EXTRACT_COLUMNS = {
         "shp_inventory_id": "sku_id",
         "qty_system": "qty_system",
         "count_unit_ok": "qty_counted",
+        "divergencia_tt": "divergence_stored",
         "data_criacao": "counted_on",
         "categ_1": "category",
     },

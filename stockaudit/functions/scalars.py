@@ -105,22 +105,46 @@ def first_word(text: Column) -> Column:
     return F.regexp_substr(text, F.lit(fixed.FIRST_WORD))
 
 
+def _full_year(year: Column) -> Column:
+    """A year of two digits in full: up to ``LAST_SHORT_YEAR`` of this century, the others of the last."""
+    short = F.when(year.try_cast("int") <= fixed.LAST_SHORT_YEAR, F.concat(F.lit("20"), year))
+    return F.when(F.length(year) == 2, F.coalesce(short, F.concat(F.lit("19"), year))).otherwise(year)
+
+
+def _iso_day(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    """``y-m-d`` from the groups of a pattern; parts that are no date fail when cast."""
+    part = [F.regexp_extract(text, pattern, group) for group in (year, month, day)]
+    return F.concat_ws("-", _full_year(part[0]), *[F.lpad(p, 2, "0") for p in part[1:]])
+
+
 def parse_date(text: Column) -> Column:
-    """``yyyy-MM-dd`` text as a date, null where it does not parse."""
-    return F.try_to_date(text, fixed.DATE_FORMAT)
+    """Year, month and day as a date, null where they do not parse.
+
+    ``yyyy-MM-dd`` is parsed as it is. Other separators, one-digit parts, years of two digits and parts
+    written without a separator are taken by the looser patterns.
+    """
+    loose = F.coalesce(*[_iso_day(text, pattern, 1, 2, 3).try_cast("date") for pattern in fixed.LOOSE_DATES])
+    return F.coalesce(F.try_to_date(text, fixed.DATE_FORMAT), loose)
 
 
 def parse_timestamp(text: Column) -> Column:
-    """``TIMESTAMP_FORMAT`` text as a zone-free timestamp, null where it does not parse.
+    """Day, month, year and time as a zone-free timestamp, null where they do not parse.
 
-    The parts are re-ordered and cast rather than parsed with the session's zone, in which
-    some wall-clock times do not exist.
+    ``TIMESTAMP_FORMAT`` is re-ordered and cast rather than parsed with the session's zone, in which some
+    wall-clock times do not exist; looser forms are taken as in ``parse_date``.
     """
     iso = F.concat(
         F.substring(text, 7, 4), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 1, 2),
         F.substring(text, 11, 9),
     )
-    return F.when(F.length(text) == len(fixed.TIMESTAMP_FORMAT), iso.try_cast("timestamp_ntz"))
+    strict = F.when(
+        (F.length(text) == len(fixed.TIMESTAMP_FORMAT)) & text.rlike(fixed.STRICT_TIMESTAMP), iso.try_cast("timestamp_ntz")
+    )
+    loose = []
+    for pattern in fixed.LOOSE_TIMESTAMPS:
+        clock = F.concat_ws(":", *[F.lpad(F.regexp_extract(text, pattern, group), 2, "0") for group in (4, 5, 6)])
+        loose.append(F.concat_ws(" ", _iso_day(text, pattern, 3, 2, 1), clock).try_cast("timestamp_ntz"))
+    return F.coalesce(strict, *loose)
 
 
 def month_label(month: Column, labels: Sequence[str] = fixed.MONTH_LABELS) -> Column:

@@ -6,10 +6,9 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stockaudit.operators.aggregates import sum_or_zero
-from stockaudit.operators.joins import stored
-
 SKETCH_ERROR = 0.001
+# Rows that one task may put in order.
+ORDERED_ROWS = 100_000
 
 
 def top_n_ties(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -23,13 +22,12 @@ def top_n_ties(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.where(F.col(column) >= threshold.scalar())
 
 
-def top_fraction_ties(df: DataFrame, column: str, fraction: float) -> DataFrame:
+def top_fraction_ties(df: DataFrame, column: str, fraction: float, in_order: int = ORDERED_ROWS) -> DataFrame:
     """Rows whose minimum descending rank is at most ``fraction`` of the row count.
 
-    Row count includes nulls, which never qualify themselves. ``df`` should be a scan or a
-    stored table, as its one column is read several times: for the counts, for a quantile
-    sketch that leaves out almost all rows below the cutoff, and for the exact cutoff among
-    the rest. The driver sees single numbers only, and the final filter can reach the scan.
+    Row count includes nulls, which never qualify themselves. ``df`` should be a scan or a stored table, as
+    its one column is read several times. Nothing is stored: the driver sees single numbers, at most
+    ``in_order`` rows are put in order by one task, and the final filter can reach the scan.
     """
     value = F.col(column)
     total, known = df.agg(F.count(F.lit(1)), F.count(column)).first()
@@ -38,33 +36,45 @@ def top_fraction_ties(df: DataFrame, column: str, fraction: float) -> DataFrame:
         return df.where(F.lit(False))
     if allowed >= known:
         return df.where(value.isNotNull())
-    below = max(0.0, 1 - allowed / known - 2 * SKETCH_ERROR)
-    bound = df.approxQuantile(column, [below], SKETCH_ERROR)[0]
-    counts = _value_ranges(df.where(value >= bound), column)
-    if counts.agg(sum_or_zero("n")).first()[0] < allowed:
-        # The sketch promises enough rows above its bound; should it ever not, use them all.
-        counts = _value_ranges(df.where(value.isNotNull()), column)
-    return df.where(value >= _cutoff(counts, allowed))
-
-
-def _value_ranges(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values with their counts, range-partitioned downwards, numbered and stored.
-
-    Counting first collapses a value that many rows share, so no range is heavy.
-    """
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return stored(counts.repartitionByRange(F.desc("value")).withColumn("range", F.spark_partition_id()))
+    return df.where(value >= _cutoff(df.select(column).where(value.isNotNull()), column, known, allowed, in_order))
 
 
-def _cutoff(counts: DataFrame, allowed: int):
-    """The smallest value with fewer than ``allowed`` rows above it.
+def _cutoff(values: DataFrame, column: str, known: int, allowed: int, in_order: int):
+    """The smallest value with fewer than ``allowed`` of the ``known`` rows above it.
 
-    The totals of the ranges, one row each, tell which range holds it; only the distinct
-    values of that range are put in order.
+    A bracket around it is narrowed from both sides: a quantile sketch of the values inside proposes two of
+    them, and counts of the rows above and at each tell on which side the cutoff lies, or that it is one of
+    them. Each proposed value leaves the bracket, so that many rows of one value do not hold it open.
     """
-    above = F.sum("n").over(Window.orderBy("range")) - F.col("n")
-    ranges = counts.groupBy("range").agg(F.sum("n").alias("n")).withColumn("above", above)
-    last = ranges.where(F.col("above") < allowed).orderBy(F.desc("range")).first()
-    larger = F.sum("n").over(Window.orderBy(F.desc("value"))) - F.col("n") + last["above"]
-    candidates = counts.where(F.col("range") == last["range"]).withColumn("larger", larger)
-    return candidates.where(F.col("larger") < allowed).agg(F.min("value")).first()[0]
+    value = F.col(column)
+    inside, above, below = values, 0, 0
+    while known - above - below > in_order:
+        rows = known - above - below
+        place = 1 - (allowed - above) / rows
+        proposed = inside.approxQuantile(
+            column, [max(0.0, place - 2 * SKETCH_ERROR), min(1.0, place + 2 * SKETCH_ERROR)], SKETCH_ERROR
+        )
+        if not proposed:
+            # The sketch leaves out what is not a number, and nothing else is left.
+            return float("nan")
+        counts = inside.agg(*[
+            F.count_if(test).alias(f"{name}{i}")
+            for i, p in enumerate(proposed) for name, test in (("more", value > p), ("equal", value == p))
+        ]).first()
+        low, high, over, under = None, None, above, below
+        for i, p in enumerate(proposed):
+            more, equal = counts[f"more{i}"], counts[f"equal{i}"]
+            if above + more >= allowed:
+                low, under = p, known - above - more
+            elif above + more + equal >= allowed:
+                return p
+            elif high is None:
+                high, over = p, above + more + equal
+        if low is not None:
+            inside = inside.where(value > low)
+        if high is not None:
+            inside = inside.where(value < high)
+        above, below = over, under
+    larger = above + F.sum("n").over(Window.orderBy(F.desc(column))) - F.col("n")
+    counted = inside.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("larger", larger)
+    return counted.where(F.col("larger") < allowed).agg(F.min(column)).first()[0]

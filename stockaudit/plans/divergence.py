@@ -18,7 +18,6 @@ from stockaudit.functions.scalars import (
     label,
     market_of,
     month_label,
-    parse_date,
     pct_label,
     ratio,
 )
@@ -42,6 +41,7 @@ from stockaudit.operators.windows import (
     top_flag,
     total_of,
 )
+from stockaudit.sources.dates import with_count_dates
 from stockaudit.sources.readers import relocate
 
 ERROR, MATCH = "error", "ok"
@@ -51,8 +51,9 @@ def _difference() -> Column:
     return divergence(F.col("qty_counted"), F.col("qty_system"))
 
 
-def _count_date() -> Column:
-    return parse_date(F.col("counted_on"))
+def _stored() -> Column:
+    """The divergence as the extract states it, which need not be counted minus system."""
+    return F.col("divergence_stored")
 
 
 def _with_market(df: DataFrame) -> DataFrame:
@@ -60,8 +61,13 @@ def _with_market(df: DataFrame) -> DataFrame:
 
 
 def _wrong(detail: DataFrame) -> DataFrame:
-    """Lines with a known, non-zero divergence."""
-    return detail.where(_difference() != 0)
+    """Lines whose stated divergence is known and not zero."""
+    return detail.where(_stored() != 0)
+
+
+def _counted_wrong(detail: DataFrame, month: int) -> DataFrame:
+    """Lines of a month counted above or below the system."""
+    return with_count_dates(detail).where((_difference() != 0) & (F.col("month") == month))
 
 
 def _error_label(total: str) -> Column:
@@ -70,26 +76,24 @@ def _error_label(total: str) -> Column:
 
 def count_base(detail: DataFrame) -> DataFrame:
     """Every counted line with market, divergence, its type, the count date and month."""
-    base = detail.withColumns({
+    base = with_count_dates(detail).withColumns({
         "market": market_of(F.col("site_id")),
         "divergence": _difference(),
         "divergence_type": divergence_type(_difference()),
-        "count_date": _count_date(),
-        "month": F.month(_count_date()),
-        "month_label": month_label(F.month(_count_date())),
+        "month_label": month_label(F.col("month")),
     })
     return relocate(base, "market", before="site_id")
 
 
 def area_month(detail: DataFrame) -> DataFrame:
     """Lines per area, one column per month and one for lines without a readable date."""
-    lines = row_count(detail.withColumn("month", F.month(_count_date())), ["area", "month"])
+    lines = row_count(with_count_dates(detail), ["area", "month"])
     return pivot_wide(lines, ["area"], "month", {**dict(enumerate(fixed.MONTH_LABELS, start=1)), None: "month_none"}, "n")
 
 
 def level_type_share(detail: DataFrame, market: str, month: int) -> DataFrame:
     """Lost and found lines per site and level, and their parts of the level."""
-    lines = _wrong(detail).where(in_market(F.col("site_id"), market) & (F.month(_count_date()) == month))
+    lines = _counted_wrong(detail, month).where(in_market(F.col("site_id"), market))
     counts = row_count(
         lines.withColumn("divergence_type", divergence_type(_difference())), ["site_id", "level", "divergence_type"]
     )
@@ -98,11 +102,8 @@ def level_type_share(detail: DataFrame, market: str, month: int) -> DataFrame:
 
 def site_level_type(detail: DataFrame, market: str, area: str, site: str, month: int) -> DataFrame:
     """Lost and found lines per level of one site, with display orders."""
-    lines = _wrong(detail).where(
-        in_market(F.col("site_id"), market)
-        & (F.col("area") == area)
-        & (F.col("site_id") == site)
-        & (F.month(_count_date()) == month)
+    lines = _counted_wrong(detail, month).where(
+        in_market(F.col("site_id"), market) & (F.col("area") == area) & (F.col("site_id") == site)
     )
     counts = row_count(
         lines.withColumn("divergence_type", divergence_type(_difference())), ["site_id", "level", "divergence_type"]
@@ -126,7 +127,7 @@ def market_totals(detail: DataFrame) -> DataFrame:
 def address_errors(detail: DataFrame, area: str | None = None, market: str | None = None) -> DataFrame:
     """Distinct SKUs counted wrong and right per address, and their sum, the density.
 
-    A SKU counted both ways counts twice; lines without a count leave a density of 0.
+    A SKU counted both ways counts twice; lines without a stated divergence leave a density of 0.
     The distinct shuffles on the whole row, so a hot address is spread out, and the second
     step combines partial counts.
     """
@@ -135,7 +136,7 @@ def address_errors(detail: DataFrame, area: str | None = None, market: str | Non
         lines = lines.where(F.col("address_id").startswith(area))
     if market is not None:
         lines = lines.where(in_market(F.col("site_id"), market))
-    outcome = flag(_difference() != 0, ERROR, MATCH).alias("outcome")
+    outcome = flag(_stored() != 0, ERROR, MATCH).alias("outcome")
     addresses = (
         lines.select("site_id", "address_id", outcome, "sku_id")
         .distinct()

@@ -19,7 +19,7 @@ from stockaudit.operators.aggregates import (
     sum_strict,
     weighted_count,
 )
-from stockaudit.operators.joins import keep_matching, stored
+from stockaudit.operators.joins import keep_matching
 from stockaudit.operators.ranking import top_fraction_ties, top_n_ties
 from stockaudit.operators.summaries import box_stats, numeric_summary
 from stockaudit.operators.windows import cumulative_share, first_k, share
@@ -152,11 +152,8 @@ def tuple_base(stock: DataFrame) -> DataFrame:
 
 
 def tuple_top(stock: DataFrame, k: int = fixed.TOP_ADDRESSES) -> DataFrame:
-    """The densest addresses, ties kept, densest first.
-
-    The addresses are stored, since they are read for the cutoff and for the rows.
-    """
-    return top_n_ties(stored(tuple_base(stock)), "skus", k).orderBy(F.desc("skus"), "address_id")
+    """The densest addresses, ties kept, densest first. The cutoff needs SKUs alone, so it reads no update."""
+    return top_n_ties(tuple_base(stock), "skus", k).orderBy(F.desc("skus"), "address_id")
 
 
 def floor_top(stock: DataFrame, areas: DataFrame, k: int = fixed.TOP_FLOORS) -> DataFrame:

@@ -7,17 +7,11 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockaudit import fixed_values as fixed
-from stockaudit.functions.scalars import address_part, first_word, parse_timestamp
+from stockaudit.functions.scalars import address_part, first_word
 from stockaudit.operators.aggregates import n_distinct, row_count, sum_strict, weighted_count
 from stockaudit.operators.windows import share
-
-
-def _moved_at() -> Column:
-    return parse_timestamp(F.col("moved_text"))
-
-
-def _moved_on() -> Column:
-    return _moved_at().cast("date")
+from stockaudit.sources import schemas
+from stockaudit.sources.dates import with_move_times
 
 
 def _from(area: str) -> Column:
@@ -32,19 +26,17 @@ def process_totals(moves: DataFrame) -> DataFrame:
 
 def parsed(moves: DataFrame) -> DataFrame:
     """Every movement with areas, quantity, time and day."""
-    return moves.withColumns({
+    return with_move_times(moves).withColumns({
         "origin_area": address_part(F.col("origin"), "area"),
         "destination_area": address_part(F.col("destination"), "area"),
         "quantity": F.col("units"),
-        "moved_at": _moved_at(),
-        "moved_on": _moved_on(),
     })
 
 
 def unassigned_origin(moves: DataFrame, area: str) -> DataFrame:
     """Units and days of moves out of an area that name no destination, per origin."""
-    kept = moves.where((F.col("destination") == "") & _from(area))
-    return kept.withColumn("moved_on", _moved_on()).groupBy("origin").agg(
+    kept = with_move_times(moves).where((F.col("destination") == "") & _from(area))
+    return kept.groupBy("origin").agg(
         sum_strict("units").alias("units"), n_distinct("moved_on").alias("days")
     )
 
@@ -68,7 +60,7 @@ def touch_levels(moves: DataFrame, area: str) -> DataFrame:
 
 def day_origin(moves: DataFrame, day: datetime.date, area: str) -> DataFrame:
     """Units, items and moves of one day out of an area, per origin and process."""
-    kept = moves.where((_moved_on() == F.lit(day)) & _from(area))
+    kept = with_move_times(moves).where((F.col("moved_on") == F.lit(day)) & _from(area))
     origins = kept.groupBy("origin", "process").agg(
         sum_strict("units").alias("units"), n_distinct("item_id").alias("items"), F.count(F.lit(1)).alias("moves")
     )
@@ -83,13 +75,13 @@ def level_process(moves: DataFrame, day: datetime.date, area: str) -> DataFrame:
 
 
 def count_lines(moves: DataFrame) -> DataFrame:
-    """The movements that are cycle counts."""
-    return moves.where(F.col("process") == fixed.CYCLE_COUNT)
+    """The movements that are cycle counts, in the columns of the extract."""
+    return moves.where(F.col("process") == fixed.CYCLE_COUNT).select(*schemas.MOVEMENTS.names)
 
 
 def count_daily(moves: DataFrame) -> DataFrame:
     """Items counted and people counting per day."""
-    return count_lines(moves).withColumn("moved_on", _moved_on()).groupBy("moved_on").agg(
+    return with_move_times(moves).where(F.col("process") == fixed.CYCLE_COUNT).groupBy("moved_on").agg(
         n_distinct("item_id").alias("items"), n_distinct("worker_id").alias("people")
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -32,8 +30,15 @@ def build_session(name: str = "stockaudit", **overrides: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Make an existing folder go when the application ends."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; a private one only in local mode."""
+    """Use the folder named by ``spark.checkpoint.dir``; below the warehouse if local mode names none."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -41,6 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         context.setCheckpointDir(configured)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="stockaudit-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch")
+        delete_at_end(spark, context.getCheckpointDir())
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from stockaudit.fixed_values import EXTRACT_COLUMNS, MISSING
 from stockaudit.sources import schemas
+from stockaudit.sources.dates import typed
 
 # Separators an extract may have, the likeliest first.
 SEPARATORS = (",", ";", "\t", "|")
@@ -94,9 +95,9 @@ def read_extract(
 
 
 def read_input(spark: SparkSession, name: str, path: str | Sequence[str]) -> DataFrame:
-    """One of the six inputs from CSV files that have the original column names."""
+    """One of the six inputs from CSV files that have the original column names, its dates typed."""
     read = read_summary if name == "cycle_summary" else read_extract
-    return read(spark, path, schemas.as_extracted(name), EXTRACT_COLUMNS[name])
+    return typed(read(spark, path, schemas.as_extracted(name), EXTRACT_COLUMNS[name]), name)
 
 
 def read_address_stock(spark: SparkSession, paths: Mapping[str, str | Sequence[str]]) -> DataFrame:

@@ -21,7 +21,7 @@ CYCLE_SUMMARY = _struct(
 # One counted (address, SKU).
 COUNT_DETAIL = _struct(
     site_id=TEXT, area=TEXT, level=INT, address_id=TEXT, sku_id=LONG, qty_system=INT, qty_counted=INT,
-    counted_on=TEXT, category=TEXT,
+    divergence_stored=INT, counted_on=TEXT, category=TEXT,
 )
 
 # One (address, SKU) on hand; one extract per site or system.
@@ -50,6 +50,18 @@ TABLES = {
     "movements": MOVEMENTS,
 }
 
+# Columns typed from text when a table is read or landed, so that reports filter on them at the scan.
+TYPED = {
+    "count_detail": _struct(count_date=T.DateType(), month=INT),
+    "movements": _struct(moved_at=T.TimestampNTZType(), moved_on=T.DateType()),
+}
+
+
+def with_typed(name: str) -> T.StructType:
+    """Schema of a landed input: the table's columns and those typed from its texts."""
+    return T.StructType([*TABLES[name].fields, *TYPED.get(name, T.StructType()).fields])
+
+
 IDENTIFIERS = ("sku_id", "seller_id", "item_id", "worker_id")
 
 

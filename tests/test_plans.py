@@ -22,6 +22,8 @@ def scans(text: str) -> list[str]:
 @pytest.fixture(scope="module")
 def plans(spark, sf_dir):
     built = {}
+    # Shows filters of a scan in full.
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
 
     def get(name):
         if name not in built:
@@ -69,7 +71,7 @@ def test_site_filter_prunes_partitions(name, partition, plans):
     ("insured_mean", "struct<insured_value:double>"),
     ("mov_process_totals", "struct<process:string,units:bigint,item_id:bigint>"),
     ("stock_site_units", "struct<units:int>"),
-    ("density_freq", "struct<address_id:string,sku_id:bigint,qty_system:int,qty_counted:int>"),
+    ("density_freq", "struct<address_id:string,sku_id:bigint,divergence_stored:int>"),
 ])
 def test_scan_reads_only_needed_columns(name, columns, plans):
     assert all(f"ReadSchema: {columns}" in scan for scan in scans(plans(name)))
@@ -98,6 +100,22 @@ def test_top_fraction_is_a_filter_on_the_scan(plans):
     assert all("GreaterThanOrEqual(insured_value," in scan for scan in scans(plans("insured_top_frac")))
 
 
+@pytest.mark.parametrize("name", ["div_level_type_share", "div_site_level_type"])
+def test_month_filter_reaches_the_scan(name, plans):
+    assert all("EqualTo(month,2)" in scan for scan in scans(plans(name)))
+
+
+@pytest.mark.parametrize("name", ["mov_day_origin", "mov_level_process"])
+def test_day_filter_prunes_partitions(name, plans):
+    found = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plans(name))
+    assert found and all("moved_on" in filters and "2024-01-15" in filters for filters in found)
+
+
+@pytest.mark.parametrize("name", ["tuple_top50", "insured_top_frac"])
+def test_cutoffs_store_nothing(name, plans):
+    assert "Scan ExistingRDD" not in plans(name)
+
+
 def test_touches_scan_once(plans):
     assert len(scans(plans("mov_touch"))) == 1
 

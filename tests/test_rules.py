@@ -27,8 +27,8 @@ def column(df, *names):
 
 
 def detail(spark, *rows):
-    """Rows of (site, area, level, address, sku, system, counted)."""
-    full = [(*row, "2024-02-05", "c") for row in rows]
+    """Rows of (site, area, level, address, sku, system, counted); the stated divergence is counted minus system."""
+    full = [(*row, None if None in row[5:7] else row[6] - row[5], "2024-02-05", "c") for row in rows]
     return spark.createDataFrame(full, schemas.COUNT_DETAIL)
 
 
@@ -115,14 +115,45 @@ def test_number_parse(spark, text, number):
 @pytest.mark.parametrize("text,moment", [
     ("15/01/2024 10:11:12", datetime.datetime(2024, 1, 15, 10, 11, 12)),
     ("n/a", None), ("", None), ("31/02/2024 00:00:00", None), ("2024-01-15 10:11:12", None), (None, None),
+    ("1/2/2024 3:04:05", datetime.datetime(2024, 2, 1, 3, 4, 5)), ("01-02-24 03.04.05", datetime.datetime(2024, 2, 1, 3, 4, 5)),
+    ("01022024 030405", datetime.datetime(2024, 2, 1, 3, 4, 5)), ("01/02/69 00:00:00", datetime.datetime(1969, 2, 1)),
+    ("1/2/2024 25:00:00", None),
 ])
 def test_timestamp_parse(spark, text, moment):
     assert one(spark.range(1), scalars.parse_timestamp(F.lit(text).cast("string"))) == moment
 
 
-@pytest.mark.parametrize("text,date", [("2024-02-29", datetime.date(2024, 2, 29)), ("2023-02-29", None), ("x", None)])
+@pytest.mark.parametrize("text,date", [
+    ("2024-02-29", datetime.date(2024, 2, 29)), ("2023-02-29", None), ("x", None), ("", None), (None, None),
+    ("20240201", datetime.date(2024, 2, 1)), ("2024/02/01", datetime.date(2024, 2, 1)), ("2024.2.1", datetime.date(2024, 2, 1)),
+    ("24-02-01", datetime.date(2024, 2, 1)), ("690201", datetime.date(1969, 2, 1)), ("2024/13/01", None),
+])
 def test_date_parse(spark, text, date):
-    assert one(spark.range(1), scalars.parse_date(F.lit(text))) == date
+    assert one(spark.range(1), scalars.parse_date(F.lit(text).cast("string"))) == date
+
+
+def test_error_reports_follow_the_stated_divergence(spark):
+    rows = [
+        ("BR01", "MZ", 1, "MZ-a", 1, 5, 5, 2, "2024-02-05", "c"), ("BR01", "MZ", 1, "MZ-a", 2, 5, 9, 0, "2024-02-05", "c"),
+        ("BR01", "MZ", 1, "MZ-a", 3, 5, None, -1, "2024-02-05", "c"), ("BR01", "MZ", 1, "MZ-a", 4, 5, 6, None, "2024-02-05", "c"),
+    ]
+    df = spark.createDataFrame(rows, schemas.COUNT_DETAIL)
+    assert column(divergence.address_errors(df), "error_skus", "ok_skus") == [(2, 1)]
+    assert column(divergence.market_totals(df), "addresses", "skus") == [(1, 2)]
+    found = divergence.level_type_share(df, "BR", 2)
+    assert column(found, "divergence_type", "n") == [("Found", 2)]
+
+
+@pytest.mark.parametrize("fraction", [0.001, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0])
+@pytest.mark.parametrize("in_order", [1, 7, 100_000])
+def test_top_fraction_by_brackets(spark, fraction, in_order):
+    """Heavy ties at both ends and in the middle, nulls, and brackets down to one row."""
+    values = [None] * 50 + [1.0] * 400 + [500.5] * 300 + [9000.0] * 200 + [float(i * 37 % 1009) for i in range(1050)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = sorted(r.v for r in ranking.top_fraction_ties(df, "v", fraction, in_order).collect())
+    known = sorted((v for v in values if v is not None), reverse=True)
+    allowed = math.floor(fraction * len(values))
+    assert got == sorted(v for v in known if known.index(v) + 1 <= allowed)
 
 
 @pytest.mark.parametrize("text,word", [("Put away", "Put"), (" adjustment", None), ("", None), ("One", "One")])

@@ -1,5 +1,7 @@
 """CSV extracts, column names, tagging and the landed tables."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -103,8 +105,8 @@ def test_a_null_site_survives_landing(spark, tmp_path):
 CSV = {
     "cycle_summary": "cycle_count_id,warehouse_id,area,level,region,mes,SHP_CC_CYCLE_COUNT_STATUS,population_size,p_hat,"
     "acuracidade,tuplas_contadas_error,TARGET_SITE,TARGET_REGION\nc1,BR01,MZ,1,BR,2024 | 02,working,100.0,0.1,90.5,10,0.8,0.7\n",
-    "count_detail": "warehouse_id,area,level,shp warehouse address,shp_inventory_id,qty_system,count_unit_ok,data_criacao,"
-    "categ_1\nBR01,MZ,1,MZ-0-000-000-01,AB12,5,6,2024-02-05,toys\nBR01,MZ,1,MZ-0-000-000-01,AB13,5,NA,2024-02-05,\n",
+    "count_detail": "warehouse_id,area,level,shp warehouse address,shp_inventory_id,qty_system,count_unit_ok,divergencia_tt,"
+    "data_criacao,categ_1\nBR01,MZ,1,MZ-0-000-000-01,AB12,5,6,1,2024-02-05,toys\nBR01,MZ,1,MZ-0-000-000-01,AB13,5,NA,NA,2024/3/5,\n",
     "onhand": "fbm_adddress_id,warehouse_id,qtde\nMZ-0-000-000-01,BR01,3.5\n",
     "address_density": "Warehouse ID,FBM Address ID,SKU\nBR01,MZ-0-000-000-01,6\n",
     "movements": "Proceso,Cantidad,Codigo ML,Origen,Destino,Fecha,Responsable\nPicking,2,AB12,MZ-1,,15/01/2024 10:00:00,ana\n",
@@ -119,12 +121,12 @@ def test_inputs_are_read_by_their_original_headers(spark, tmp_path):
     assert got == {
         "cycle_summary": [("c1", "BR01", "MZ", 1, "BR", "2024 | 02", "working", 100, 0.1, 90.5, 10, 0.8, 0.7)],
         "count_detail": [
-            ("BR01", "MZ", 1, "MZ-0-000-000-01", "AB12", 5, 6, "2024-02-05", "toys"),
-            ("BR01", "MZ", 1, "MZ-0-000-000-01", "AB13", 5, None, "2024-02-05", ""),
+            ("BR01", "MZ", 1, "MZ-0-000-000-01", "AB12", 5, 6, 1, "2024-02-05", "toys", datetime.date(2024, 2, 5), 2),
+            ("BR01", "MZ", 1, "MZ-0-000-000-01", "AB13", 5, None, None, "2024/3/5", "", datetime.date(2024, 3, 5), 3),
         ],
         "onhand": [("MZ-0-000-000-01", "BR01", None)],
         "address_density": [("BR01", "MZ-0-000-000-01", 6)],
-        "movements": [("Picking", 2, "AB12", "MZ-1", "", "15/01/2024 10:00:00", "ana")],
+        "movements": [("Picking", 2, "AB12", "MZ-1", "", "15/01/2024 10:00:00", "ana", datetime.datetime(2024, 1, 15, 10), datetime.date(2024, 1, 15))],
     }
 
 
