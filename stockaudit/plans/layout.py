@@ -145,8 +145,12 @@ def spread_tail(stock: DataFrame, areas: DataFrame, skip: int = fixed.SKIPPED_SP
 def tuple_base(stock: DataFrame) -> DataFrame:
     """Distinct SKUs and last update per address; an unreadable update makes it unknown."""
     lines = stock.select("address_id", "sku_id", parse_timestamp(F.col("updated_text")).alias("updated"))
-    addresses = lines.groupBy("address_id").agg(
-        n_distinct("sku_id").alias("skus"), max_strict("updated").alias("last_update")
+    # One row a SKU first: both measures then come from one shuffle by address and SKU and one of partial results.
+    skus = lines.groupBy("address_id", "sku_id").agg(
+        F.max("updated").alias("updated"), F.bool_or(F.col("updated").isNull()).alias("unknown")
+    )
+    addresses = skus.groupBy("address_id").agg(
+        F.count(F.lit(1)).alias("skus"), F.when(~F.bool_or("unknown"), F.max("updated")).alias("last_update")
     )
     return addresses.withColumn("area", address_part(F.col("address_id"), "area"))
 
