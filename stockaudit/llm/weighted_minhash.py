@@ -9,11 +9,13 @@ counted over all documents in hash buckets; a bucket shows what share of the doc
 frequent shingle once the even load of rare ones is taken off, at every size of the corpus. The bound below
 keeps copies linked whose shared shingles are frequent just because there are so many copies.
 
-Leaders avoid comparing all pairs of a bucket. In the first round every member is compared with a random
-one of its bucket. Buckets that still span several classes are led by the member with most links in the
-second; in the third, members outside a bucket's largest class are compared with one of each other class. Only
-pairs whose size and sampled agreement allow 0.8 are compared. A pair is missed if it shares no band, or if
-in each bucket that it shares neither text led and no chain of links joins them.
+Leaders avoid comparing most pairs of a bucket. In the first round every member is compared with a random
+one of its bucket; buckets that still span several classes are led by the member with most links in the
+second. Of what then still spans several classes, every pair of different classes is compared that was not
+yet: members outside a bucket's largest class with each other and with that class, in blocks of two parts of
+bounded size, so that a text is sent and hashed once a block and not once a pair. Only pairs whose size and
+sampled agreement allow 0.8 are compared. So classes are those of all pairs that share a band; this last step
+grows with the square of a group whose members are alike but not linked.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -40,9 +43,13 @@ FREQUENT_SHARE = 1e-3
 LEAST_WEIGHT = 0.9
 # Of 24 samples kept to two bits each, two texts of similarity 0.8 agree in 20.4 on average, deviation 1.75.
 LEAST_AGREEMENT = 13
-FINAL_AGREEMENT = 16
-# Who leads a bucket in each round: a random member, the one with most links, one of each other class.
-ROUNDS = ("random", "linked", "classes")
+LEADER_ROUNDS = 2
+# Texts in a part of a bucket on average, and the weight (about the number of shingles) of all its texts.
+PART_ROWS = 64
+PART_WEIGHT = 1 << 19
+# Which half of a block's two parts a row is in, or that the block is one part, compared with itself.
+LEFT, RIGHT, WITHIN = 0, 1, 2
+_PAIRS_AT_ONCE = 1 << 16
 
 SIGNED = "key_high long, key_low long, weight double, agreement long, bands array<long>"
 CARRIED = "c_"
@@ -212,6 +219,128 @@ def linked(pairs: DataFrame, signed: DataFrame, inverse: np.ndarray) -> DataFram
     return found.where(F.col("similarity") >= SIMILARITY).select("lead", "row")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block after the other; they lie together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks = batch.column("block").to_numpy()
+        if held and held[0].column("block")[0].as_py() != blocks[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes in each block that size and samples allow, in the first band they share."""
+    out: list[np.ndarray] = []
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=["block", "lead", "row"])
+
+    for table in _grouped(batches):
+        row, label, side, weight = (table.column(c).to_numpy() for c in ("row", "label", "side", "weight"))
+        agreement = table.column("agreement").to_numpy().view(np.uint64)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        if side[0] == WITHIN:
+            a, b = np.triu_indices(len(row), 1)
+        else:
+            left, right = np.flatnonzero(side == LEFT), np.flatnonzero(side == RIGHT)
+            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+        keep = (label[a] != label[b]) & (np.minimum(weight[a], weight[b]) >= SIMILARITY * np.maximum(weight[a], weight[b]) - 1e-6)
+        a, b = a[keep], b[keep]
+        odd = agreement[a] ^ agreement[b]
+        keep = SAMPLES - np.bitwise_count((odd | odd >> np.uint64(1)) & np.uint64(0x5555555555555555)) >= LEAST_AGREEMENT
+        a, b = a[keep], b[keep]
+        if len(a):
+            keep = (bands[a] == bands[b]).argmax(axis=1) == table.column("band")[0].as_py()
+            a, b = row[a[keep]], row[b[keep]]
+            if len(a):
+                out.append(np.stack([np.full(len(a), table.column("block")[0].as_py()), np.minimum(a, b), np.maximum(a, b)]))
+        if sum(x.shape[1] for x in out) >= _PAIRS_AT_ONCE:
+            yield packed()
+            out = []
+    if out:
+        yield packed()
+
+
+def similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``similarity`` of one text with each of the others, none of them empty."""
+    hashes, weight = np.concatenate([o[0] for o in others]), np.concatenate([o[1] for o in others])
+    at = np.minimum(np.searchsorted(one[0], hashes), len(one[0]) - 1)
+    shared = np.where(one[0][at] == hashes, np.minimum(one[1][at], weight), 0.0)
+    begins = np.cumsum([0, *[len(o[0]) for o in others[:-1]]])
+    both = np.add.reduceat(shared, begins)
+    return both / (one[1].sum() + np.add.reduceat(weight, begins) - both)
+
+
+def _checked(batches: Iterator[pa.RecordBatch], inverse: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for table in _grouped(batches):
+        texts = table.filter(pc.is_valid(table.column("row"))).combine_chunks()
+        values, starts = words.hashed_words(pc.cast(texts.column("text").combine_chunks(), pa.large_string()))
+        known = {}
+        for row, a, b in zip(texts.column("row").to_pylist(), starts.tolist(), starts[1:].tolist()):
+            hashes, counts = shingles(values[a:b])
+            known[row] = (hashes, weights(hashes, counts, inverse))
+        listed = pc.list_flatten(table.column("pairs").combine_chunks())
+        pairs = np.stack([pc.struct_field(listed, name).to_numpy() for name in ("lead", "row")], axis=1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        found = []
+        for own in np.split(pairs, np.flatnonzero(pairs[1:, 0] != pairs[:-1, 0]) + 1):
+            found.append(own[similarities(known[int(own[0, 0])], [known[r] for r in own[:, 1].tolist()]) >= SIMILARITY])
+        lead, row = np.concatenate(found).T
+        yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(row)], names=["lead", "row"])
+
+
+def open_pairs(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """``block, lead, row``: each pair of texts of one bucket and different classes that may be similar, once.
+
+    A bucket's members in and outside its largest class are dealt into parts by a hash. Every part outside
+    meets every part, itself among them; a block holds the rows of two parts, or of one.
+    """
+    parts = lambda n, w: F.ceil(F.greatest(n / PART_ROWS, w / PART_WEIGHT)).cast("int")
+    sizes = state.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    most = F.max(F.struct("n", "label", "w"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), most.alias("most")).where(F.col("n") > F.col("most.n"))
+    sizes = sizes.select(
+        "bucket", F.col("most.label").alias("largest"), parts(F.col("most.n"), F.col("most.w")).alias("inner"),
+        F.greatest(F.lit(1), parts(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"))).alias("outer"),
+    )
+    dealt = state.join(stored(sizes), "bucket").join(texts.select("row", "bands"), "row").withColumn("inside", F.col("label") == F.col("largest"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("row", "bucket"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    part = F.col("part")
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = lambda inside, a, b, side: F.struct(F.lit(inside).alias("inside"), a.alias("a"), b.alias("b"), side.alias("side"))
+    among = F.transform(
+        up_to("outer"),
+        lambda q: block(False, F.least(part, q), F.greatest(part, q), F.when(part < q, LEFT).when(part > q, RIGHT).otherwise(WITHIN)),
+    )
+    across = F.transform(up_to("inner"), lambda q: block(True, part, q, F.lit(LEFT)))
+    inside = F.transform(up_to("outer"), lambda q: block(True, q, part, F.lit(RIGHT)))
+    dealt = dealt.withColumn("b", F.explode(F.when(F.col("inside"), inside).otherwise(F.concat(among, across))))
+    dealt = dealt.select(
+        F.xxhash64("bucket", "b.inside", "b.a", "b.b").alias("block"), "b.side", "band", "row", "label", "weight", "agreement", "bands"
+    )
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates, "block long, lead long, row long")
+
+
+def linked_in_blocks(pairs: DataFrame, signed: DataFrame, inverse: np.ndarray) -> DataFrame:
+    """The pairs ``lead, row`` whose whole texts are similar enough; a block gets each of its texts once."""
+    lists = pairs.groupBy("block").agg(F.collect_list(F.struct("lead", "row")).alias("pairs"))
+    needed = pairs.select("block", F.col("lead").alias("row")).union(pairs.select("block", "row")).distinct()
+    needed = needed.join(signed.select("row", F.col(f"{CARRIED}text").alias("text")), "row")
+    both = needed.select("block", "row", "text").unionByName(lists, allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _checked(b, inverse), "lead long, row long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``row, label``: the smallest row of each linked row's component, by passing on minima until none changes."""
     both = stored(links.select("lead", "row").union(links.select("row", "lead")).toDF("a", "b").distinct())
@@ -244,7 +373,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         signed.select("row", "weight", "agreement", "bands").where(F.size("bands") > 0).join(firsts.select("row"), "row", "left_semi"), "texts"
     )
     exploded = texts.select("row", "weight", "agreement", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("bucket"), "row", "weight", "agreement"
+        F.xxhash64("band", "value").alias("bucket"), "band", "row", "weight", "agreement"
     )
     crowded = stored(exploded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket"))
     members = landed(exploded.join(crowded, "bucket"), "members")
@@ -252,29 +381,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links: DataFrame | None = None
     tested: DataFrame | None = None
     labels = degrees = None
-    for turn in ROUNDS:
-        state = members
-        if links is not None:
-            state = state.join(labels, "row", "left").join(degrees, "row", "left")
-            state = state.withColumns({"label": F.coalesce("label", "row"), "degree": F.coalesce("degree", F.lit(0))})
-        else:
-            state = state.withColumns({"label": F.col("row"), "degree": F.lit(0)})
-        by = ["bucket", "label"] if turn == "classes" else ["bucket"]
+
+    def placed() -> DataFrame:
+        if links is None:
+            return members.withColumns({"label": F.col("row"), "degree": F.lit(0)})
+        state = members.join(labels, "row", "left").join(degrees, "row", "left")
+        return state.withColumns({"label": F.coalesce("label", "row"), "degree": F.coalesce("degree", F.lit(0))})
+
+    for _ in range(LEADER_ROUNDS):
+        # Before there are links the draw alone decides.
         order = F.struct(F.col("degree"), F.xxhash64("row", "bucket").alias("draw"), "row", "label", "weight", "agreement")
-        state = stored(state)
+        state = stored(placed())
         spread = state.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") != F.col("b"))
-        leads = state.groupBy(*by).agg(F.max(order).alias("lead")).join(spread.select("bucket"), "bucket", "left_semi")
+        leads = state.groupBy("bucket").agg(F.max(order).alias("lead")).join(spread.select("bucket"), "bucket", "left_semi")
         mine = stored(leads.select("bucket", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("row", "label", "weight", "agreement")]))
         near = (
             (F.col("label") != F.col("lead_label"))
             & (F.least("weight", "lead_weight") >= SIMILARITY * F.greatest("weight", "lead_weight") - 1e-6)
-            & (_agree(F.col("agreement"), F.col("lead_agreement")) >= (FINAL_AGREEMENT if turn == "classes" else LEAST_AGREEMENT))
+            & (_agree(F.col("agreement"), F.col("lead_agreement")) >= LEAST_AGREEMENT)
         )
-        if turn == "classes":
-            sizes = state.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"))
-            largest = stored(sizes.join(spread.select("bucket"), "bucket", "left_semi").select("bucket", F.col("most.label").alias("largest")))
-            state = state.join(largest, "bucket").where(F.col("label") != F.col("largest"))
-        pairs = state.join(mine, "bucket").where(near).select(F.col("lead_row").alias("lead"), "row").distinct()
+        pairs = state.join(mine, "bucket").where(near).select(F.least("lead_row", "row").alias("lead"), F.greatest("lead_row", "row").alias("row")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["lead", "row"], "left_anti")
         pairs = stored(pairs)
@@ -283,6 +409,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = fresh if links is None else links.union(fresh)
         labels = components(links)
         degrees = stored(links.select("lead").union(links.select("row")).groupBy(F.col("lead").alias("row")).agg(F.count("*").alias("degree")))
+    rest = landed(open_pairs(stored(placed()), texts).join(tested, ["lead", "row"], "left_anti"), "rest")
+    links = links.union(stored(linked_in_blocks(rest, signed, inverse)))
+    labels = components(links)
     owners = firsts.join(labels, "row", "left")
     return signed, owners.select(*key, F.coalesce("label", "row").alias("class_row"))
 

@@ -36,6 +36,32 @@ def test_classes_hold_all_similar_pairs(spark, sf_dir):
     assert all(similar[d] > 0.75 for d in sets if sizes[of[d]] > 1)
 
 
+@pytest.mark.parametrize("part_rows", [weighted_minhash.PART_ROWS, 20])
+def test_classes_of_all_pairs_in_groups_of_far_copies(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(weighted_minhash, "PART_ROWS", part_rows)
+    draw, rows = random.Random(4), []
+    for group, rate in enumerate((0.013, 0.017, 0.02)):
+        base = [f"g{group}w{i}" for i in range(300)]
+        rows += [(len(rows) + i, " ".join(f"x{draw.random()}".replace(".", "") if draw.random() < rate else w for w in base)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    inverse = weighted_minhash.learn_weights(docs)
+    values, starts = words.hashed_words(pa.array([t for _, t in rows], pa.large_string()))
+    sets = []
+    for a, b in zip(starts, starts[1:]):
+        hashes, counts = weighted_minhash.shingles(values[a:b])
+        sets.append((hashes, weighted_minhash.weights(hashes, counts, inverse)))
+    bands = [weighted_minhash.sample(*s).reshape(weighted_minhash.BANDS, -1) for s in sets]
+    label, links = list(range(len(rows))), 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if a // 150 == b // 150 and (bands[a] == bands[b]).all(axis=1).any() and weighted_minhash.similarity(sets[a], sets[b]) >= 0.8:
+            links += 1
+            if label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert links > 1000 and len(set(label)) > 5
+    assert {r.doc_id: r.class_id for r in weighted_minhash.assigned(docs).collect()} == dict(enumerate(label))
+
+
 def test_odd_duplicates(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(5, text, 1), (3, text.upper() + "!", 1), (4, text.replace("word30", "other"), 2), (None, text, 1), (7, None, 1), (8, "", 1), (9, "!?", 1), (10, "a b", 1), (10, "a b", 1)]
