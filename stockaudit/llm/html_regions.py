@@ -5,6 +5,10 @@ its characters over the tags met in it. Ratios are smoothed by a Gaussian over n
 lines above a threshold (a share of the standard deviation) form the clusters that hold the article. The
 content region is then the marked article if the page has one that holds such a line, else the stretch of
 lines from the first cluster to the last. Menus, forms, notices and the like are left out of every region.
+
+A class or an id leaves an element out only by a whole name, and never an article or main element. If a page
+has no article or main element (or, without any, no main heading) outside the elements left out by name, one
+that holds such and at least half of the text is a wrapper of the page and stays.
 """
 
 from __future__ import annotations
@@ -34,6 +38,24 @@ OFF_NAMES = frozenset(
     " header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies respond"
     " share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Compounds of these, joined by a hyphen or underscore, are such names too.
+_COMPOUNDS = (
+    ("site page-top global top left right blog", "header footer nav navbar navigation menu sidebar banner masthead"),
+    ("main primary secondary", "nav navbar navigation menu sidebar"),
+    ("comment comments", "list area section form thread wrapper block box container respond"),
+    ("cookie cookies gdpr consent", "notice banner bar popup consent modal message overlay"),
+    ("social share sharing", "links buttons icons bar box list media menu"),
+    ("related", "posts articles links stories content items"),
+    ("newsletter subscribe", "signup form box popup banner"),
+    ("ad ads advert", "container wrapper slot banner unit box block"),
+    ("nav menu", "bar menu list items links wrapper container"),
+    ("breadcrumb breadcrumbs", "nav list trail wrapper container"),
+    ("sidebar widget", "area wrapper container left right"),
+    ("header footer", "nav menu links widgets"),
+)
+OFF_COMPOUNDS = frozenset(f"{a}-{b}" for first, second in _COMPOUNDS for a in first.split() for b in second.split())
+# Articles below these are comments or teasers, not the page's own.
+_OTHERS = re.compile(r"(comments?|replies|respond|related|promoted|sponsored|disqus)(-|$)")
 # Elements whose start ends an open element of the same kind.
 CLOSES = {
     "p": frozenset({"p"}),
@@ -45,7 +67,6 @@ CLOSES = {
     "th": frozenset({"td", "th", "p"}),
     "option": frozenset({"option"}),
 }
-_NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 # Standard deviation of the smoothing in lines, and the share of the ratios' deviation that a line must pass.
@@ -54,19 +75,23 @@ THRESHOLD = 0.3
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags met, and the number of the article they lie in (0: none)."""
+    """Collects lines: text, tags met, and the number of the article they lie in (0: none).
+
+    Text below an element left out by name is kept apart until the end shows whether it wraps the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # element, left out, article
-        self.lines: list[tuple[str, int, int]] = []
-        self.parts: list[str] = []
+        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, left out, article, left out by name
+        self.raw: list[tuple[list[tuple[str, tuple[int, ...]]], int, int]] = []
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
         self.tags = self.articles = 0
+        self.others: list[bool] = []  # of each element left out by name, whether its articles are not the page's own
+        self.marks: dict[bool, set[tuple[int, ...]]] = {True: set(), False: set()}  # where articles and main headings are
 
     def _border(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
+        if any(data.strip() for data, _ in self.parts):
+            self.raw.append((self.parts, self.tags, self.open[-1][2] if self.open else 0))
             self.tags = 0
         self.parts = []
 
@@ -78,14 +103,40 @@ class Lines(HTMLParser):
             value = (value or "").lower()
             if name == "role" and value.strip() in OFF_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id") and tag not in ("html", "body", "main"):
-                if any(w in OFF_NAMES for w in _NAME.findall(value)):
-                    return True
         return False
 
+    def _off_name(self, tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
+        """The whole class or id that leaves an element out."""
+        if tag not in ("html", "body", "main", "article") and ("role", "main") not in attrs and ("role", "article") not in attrs:
+            for name, value in attrs:
+                if name in ("class", "id"):
+                    for token in (value or "").lower().replace("_", "-").split():
+                        if token in OFF_NAMES or token in OFF_COMPOUNDS:
+                            return token
+        return None
+
+    def _wrappers(self) -> set[int]:
+        """Elements left out by name that stay, as they hold the page's article, main element or heading."""
+        stay: set[int] = set()
+        marks = self.marks[True] or self.marks[False]
+        while True:
+            inside = {tuple(n for n in mark if n not in stay) for mark in marks}
+            if not inside or () in inside:
+                return stay
+            sizes: dict[int, int] = {}
+            for parts, _, _ in self.raw:
+                for data, around in parts:
+                    if stay.issubset(around):
+                        left = [n for n in around if n not in stay]
+                        sizes[left[0] if left else -1] = sizes.get(left[0] if left else -1, 0) + len(data.strip())
+            most = max(sizes, key=sizes.__getitem__, default=-1)
+            if most < 0 or most not in {mark[0] for mark in inside} or 2 * sizes[most] < sum(sizes.values()):
+                return stay
+            stay.add(most)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", ()))
         if tag in BLOCKS:
             self._border()
             closed = CLOSES.get(tag, frozenset({"p"}))
@@ -94,13 +145,19 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        before = self.open[-1] if self.open else ("", False, 0)
+        before = self.open[-1] if self.open else ("", False, 0, ())
         off = before[1] or self._off(tag, attrs)
-        article = before[2]
-        if not off and not article and (tag in ("article", "main") or ("role", "main") in attrs or ("role", "article") in attrs):
+        article, around = before[2], before[3]
+        own = tag in ("article", "main") or ("role", "main") in attrs or ("role", "article") in attrs
+        if not off and (own or tag == "h1") and not any(self.others[n] for n in around):
+            self.marks[own].add(around)
+        if not off and not article and own:
             self.articles += 1
             article = self.articles
-        self.open.append((tag, off, article))
+        if not off and (name := self._off_name(tag, attrs)):
+            around = (*around, len(self.others))
+            self.others.append(bool(_OTHERS.match(name)))
+        self.open.append((tag, off, article, around))
 
     def _end_open(self, kinds: frozenset[str]) -> None:
         """End open elements of these kinds, down to the nearest container; formatting inside them ends too."""
@@ -123,13 +180,22 @@ class Lines(HTMLParser):
                 return  # a stray end of formatting closes no block
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
-            self.parts.append(data)
+        if not self.open:
+            self.parts.append((data, ()))
+        elif not self.open[-1][1]:
+            self.parts.append((data, self.open[-1][3]))
 
     def finish(self) -> list[tuple[str, int, int]]:
         self.close()
         self._border()
-        return self.lines
+        stay, lines, carried = self._wrappers() if self.others else set(), [], 0
+        for parts, tags, article in self.raw:
+            text = _SPACE.sub(" ", "".join(data for data, around in parts if not around or stay.issuperset(around))).strip()
+            if text:
+                lines.append((text, tags + carried, article))
+            # Tags of lines left out count for the next line.
+            carried = 0 if text else carried + tags
+        return lines
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

@@ -142,3 +142,23 @@ def test_article_of_pages(spark, sf_dir):
 ])
 def test_main_text(page, want):
     assert html_regions.extract(page) == want
+
+
+BODY = "<h1>Title</h1><p>First long paragraph of the text, with words.</p><p>Second long paragraph of the text, with words.</p>"
+BODY_TEXT = "Title\n\nFirst long paragraph of the text, with words.\n\nSecond long paragraph of the text, with words."
+COMMENTS = "<div id='comments' class='comments-area'><ol class='comment-list'><li><article class='comment'><p>nice</article></ol></div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article class='post has-comments'>{BODY}</article>", BODY_TEXT),
+    (f"<div id='page' class='no-sidebar'><article>{BODY}</article></div>", BODY_TEXT),
+    (f"<div class='content with-sidebar'>{BODY}</div>", BODY_TEXT),
+    (f"<article><div class='article-header'><h1>T</h1></div>{BODY}</article>", f"T\n\n{BODY_TEXT}"),
+    (f"<article class='sponsored'>{BODY}</article>", BODY_TEXT),
+    (f"<div class='widget'><div class='menu'>Home</div><main>{BODY}{COMMENTS}</main></div>", BODY_TEXT),
+    (f"<div class='site_header'>Site</div><div class='widget'>{BODY}</div>{COMMENTS}", BODY_TEXT),
+    (f"<div class='sidebar'><article>teaser</article></div><article>{BODY}<span class='ad'>buy</span></article>", BODY_TEXT),
+    (f"<div class='site-header'><h1>Site</h1></div><div>{BODY}</div><div class='related-posts'>more</div>{COMMENTS}", BODY_TEXT),
+])
+def test_names_leave_out_whole_tokens_and_no_article(page, want):
+    assert html_regions.extract(page) == want
