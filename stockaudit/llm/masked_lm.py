@@ -1,9 +1,11 @@
 """Masked pseudo-likelihood: every word is predicted from the words on both sides of it.
 
 A small network in numpy: the embeddings of the words in a window, weighted by their place, make a hidden
-vector; it predicts the masked word in two steps, first the high and then the low part of its number. Words
-are numbered by a hash, so no dictionary has to be gathered and no word lacks a number. A document's score
-is the sum of the log-probabilities of its words, each given the others around it.
+vector; it predicts the class of the masked word in two steps, first the high and then the low part of its
+number. A class is a 1024th of all word hashes, so no word lacks one. Within its class a word has the
+probability of its share in all words of the class, counted over the whole corpus; these counts are a Spark
+table with a row per distinct word. A document's score is the sum of the log-probabilities of its words: of
+the class given the words around it, and of the word given its class.
 
 Training sees every document once. In each round the tasks start from the same network, train on their own
 rows of that round, and send what they reached; Spark averages it, weighted by words.
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stockaudit.llm import arrowtext, words
+from stockaudit.llm.tables import landed
 
 PARTS = 32
 VOCABULARY = PARTS * PARTS
@@ -27,6 +30,8 @@ ROUNDS = 2
 BATCH = 4096
 RATE = 0.1
 SEED = 11
+# Words that make up at least this share of all are at most so many that every task can hold their counts.
+FREQUENT_SHARE = 1 / 65_536
 
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 SHAPES = {
@@ -172,6 +177,72 @@ def learn(docs: DataFrame) -> np.ndarray:
     return flat
 
 
+def _words_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrowtext.slices(batches, "text"):
+        values, n = np.unique(words.hashed_words(arrowtext.text_of(batch, "text"))[0].view(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["word", "n"])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n``: how often each word, by its hash, occurs in the corpus; landed."""
+    each = docs.select("text").mapInArrow(_words_counted, "word long, n long")
+    return landed(each.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+
+
+def class_totals(counts: DataFrame) -> np.ndarray:
+    """Words in each class; as many numbers as classes reach the driver."""
+    # A hash is unsigned; the classes are a power of two, so its last bits tell the class.
+    rows = counts.groupBy(F.col("word").bitwiseAND(F.lit(VOCABULARY - 1)).alias("class")).agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(VOCABULARY)
+    for r in rows:
+        out[r["class"]] = r.n
+    return out
+
+
+def _scored_words(batches: Iterator[pa.RecordBatch], flat: np.ndarray, totals: np.ndarray, known: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums without the counts of rare words, whose hashes and -log of their class's words go along."""
+    p = views(flat)
+    log_totals = np.log(np.maximum(totals, 1))
+    for batch in arrowtext.slices(batches, "text"):
+        values, starts = words.hashed_words(arrowtext.text_of(batch, "text"))
+        ids = (values % np.uint64(VOCABULARY)).astype(np.int64)
+        near = windows(ids, starts)
+        each = [log_probabilities(p, near[:, at : at + BATCH], ids[at : at + BATCH]) for at in range(0, len(ids), BATCH)]
+        each = np.concatenate(each, dtype=np.float64) if each else np.zeros(0)
+        signed = values.view(np.int64)
+        at = np.minimum(np.searchsorted(known, signed), max(0, len(known) - 1))
+        frequent = known[at] == signed if len(known) else np.zeros(len(signed), bool)
+        each -= log_totals[ids]
+        each[frequent] += shares[at[frequent]]
+        running = np.concatenate(([0.0], np.cumsum(each)))
+        rare = np.concatenate(([0], np.cumsum(~frequent)))[starts]
+        lists = pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(signed[~frequent]))
+        columns = [batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.array(running[starts[1:]] - running[starts[:-1]]), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "sum", "rare"])
+
+
+def score_words(docs: DataFrame, flat: np.ndarray) -> DataFrame:
+    """As ``score``, but of the words themselves and not of their classes, with counts over all of ``docs``.
+
+    Frequent words, a bounded number, are counted where they are met; the rare ones are joined to the table
+    of counts, in which none of them has many rows.
+    """
+    counts = word_counts(docs)
+    totals = class_totals(counts)
+    bound = totals.sum() * FREQUENT_SHARE
+    held = counts.where(F.col("n") >= bound).toArrow().sort_by("word")
+    known, shares = held["word"].to_numpy(), np.log(held["n"].to_numpy().astype(np.float64))
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    fields = "row long, doc_id long, n_tokens long, sum double, rare array<long>"
+    found = landed(rows.mapInArrow(lambda b: _scored_words(b, flat, totals, known, shares), fields), "scored")
+    rare = found.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    rare = rare.join(counts.where(F.col("n") < bound), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    out = found.drop("rare").join(rare, "row", "left")
+    total = F.col("sum") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))
+
+
 def _scored(batches: Iterator[pa.RecordBatch], flat: np.ndarray) -> Iterator[pa.RecordBatch]:
     p = views(flat)
     for batch in arrowtext.slices(batches, "text"):
@@ -185,7 +256,7 @@ def _scored(batches: Iterator[pa.RecordBatch], flat: np.ndarray) -> Iterator[pa.
 
 
 def score(docs: DataFrame, flat: np.ndarray) -> DataFrame:
-    """``doc_id, n_tokens, log_prob, mean_log_prob`` of each row.
+    """``doc_id, n_tokens, log_prob, mean_log_prob`` of each row, of the classes of its words.
 
     Null text is empty; without a word the sum is 0 and the mean null. Equal texts score alike.
     """

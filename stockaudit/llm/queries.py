@@ -55,7 +55,7 @@ def sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.learn(docs))
+    return masked_lm.score_words(docs, masked_lm.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

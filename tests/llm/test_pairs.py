@@ -195,6 +195,29 @@ def test_scores(spark, sf_dir):
     assert sorted((r.n_tokens, r.mean_log_prob is None) for r in masked_lm.score(odd, flat).collect()) == [(0, True), (0, True), (1, False)]
 
 
+@pytest.mark.parametrize("share", [masked_lm.FREQUENT_SHARE, 0.01, 2.0])
+def test_words_are_scored_and_not_their_classes(spark, sf_dir, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(masked_lm, "FREQUENT_SHARE", share)
+    number = lambda w: int(masked_lm.numbered(pa.array([w], pa.large_string()))[0][0])
+    twin = next(w for w in (f"zq{i}x" for i in range(100_000)) if number(w) == number("the"))
+    common = "and the dog saw the cat by the river"
+    texts = [common] * 30 + [common.replace("the", twin), None, "!"]
+    folder = tmp_path / "documents.parquet"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(folder))
+    rows = {r.doc_id: r for r in queries.queries()["op2_masked_lm"](spark, str(tmp_path)).collect()}
+    flat = masked_lm.learn(read(spark, str(tmp_path), "documents"))
+    plain = {r.doc_id: r for r in masked_lm.score(docs, flat).collect()}
+    every = [w for t in texts for w in words.words(t or "")]
+    in_class = {}
+    for w in every:
+        in_class[number(w)] = in_class.get(number(w), 0) + 1
+    assert len(rows) == len(texts) and rows[30].log_prob < rows[0].log_prob - 9
+    for d, t in enumerate(texts):
+        more = sum(np.log(every.count(w) / in_class[number(w)]) for w in words.words(t or ""))
+        assert rows[d].n_tokens == plain[d].n_tokens and rows[d].log_prob == pytest.approx(plain[d].log_prob + more, rel=1e-3, abs=1e-3)
+
+
 def test_pipeline(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     kept = docs
