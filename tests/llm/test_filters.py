@@ -58,6 +58,24 @@ def test_personal_data_of_hard_texts(spark):
     check_personal_data(pii_boosting.digests(docs).collect(), dict(enumerate(HARD)))
 
 
+def test_spelled_addresses_and_national_numbers_are_added(spark):
+    def luhn_card(n):
+        return next(c for c in (f"4111 1111 {n:04d} {k:04d}" for k in range(10)) if valid("card", c))
+
+    texts = [f"Mail ann{i}@site{i % 7}.org or call +49 {30 + i % 9} {1234567 + i}, paid by {luhn_card(i)}" for i in range(120)]
+    texts += [f"We sold {12345678 + 11 * i} of {1 + i % 9} 000 {100 + i} pieces on 2021-03-{10 + i % 20}, card 4111 1111 1111 {1000 + i}" for i in range(120)]
+    planted = {"email": "jo (at) ex (dot) org", "phone": "030 1234567", "card": "4111.1111.1111.1111"}
+    first = len(texts)
+    texts += [f"Mail {planted['email']} or call {planted['phone']}, paid by {planted['card']}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii_boosting.digests(docs).collect()}
+    check_personal_data(rows.values(), dict(enumerate(texts)))
+    want = [f"{k}:{texts[first].index(m)}:{texts[first].index(m) + len(m)}" for k, m in planted.items()]
+    assert sorted(rows[first].spans.split(",")) == sorted(want)
+    for d in range(120, 240):
+        assert rows[d].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(texts[d])), (texts[d], rows[d].spans)
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cd or +1 (650) 555-0000!", "x"), (2, None, "y"), (3, "none", "z"), (3, "none", "z")]
     out = pii_boosting.redact(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()
