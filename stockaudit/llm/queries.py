@@ -15,10 +15,12 @@ from stockaudit.llm import (
     language_zstd,
     line_dedup,
     masked_lm,
+    merkle_manifest,
     pii_boosting,
     prefix_forest,
     rans_tokens,
     sentencepiece_agenda,
+    spelling_bloom,
     string_tiling,
     url_boosting,
     weighted_minhash,
@@ -97,6 +99,14 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.digests(read(spark, sf_dir, "documents"))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_bloom.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece_agenda": sentencepiece_codec,
     "op2_masked_lm": masked_scores,
@@ -109,10 +119,14 @@ QUERIES: dict[str, Query] = {
     "op9_html_regions": html_text,
     "op10_prefix_forest": hash_prefix_forest,
     "op11_line_dedup": repeated_lines,
+    "op12_merkle_manifest": merkle_proofs,
+    "op13_spelling_bloom": spelling_variants,
 }
 
 SQL = {
     "op11_line_dedup": line_dedup.SQL,
+    "op12_merkle_manifest": merkle_manifest.SQL,
+    "op13_spelling_bloom": spelling_bloom.SQL,
 }
 
 
