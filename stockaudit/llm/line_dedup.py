@@ -2,7 +2,8 @@
 
 Texts are exploded into normalised lines, lines into 128-bit hashes. One aggregation with partial results tells for
 each hash whether it occurs in enough documents and which of them comes first. The places of repeated lines are
-then found by a join and taken out of each text by position.
+then found by a join and taken out of each text by position. Lines become keys and hashes in Arrow batches, once; the
+table of places that is stored has a few bytes a line.
 
 Nothing depends on how often a line occurs: the aggregation meets a hot line with one partial row per task, and the
 join sends the few lines that hold a large part of all places to the places, not the places to one task.
@@ -10,12 +11,18 @@ join sends the few lines that hold a large part of all places to the places, not
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stockaudit.llm import arrowtext
 from stockaudit.llm.tables import free_name, landed
 
 WHITE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 10
 MIN_DOCUMENTS = 2
 # A line is hot if it holds more than this part of all places of repeated lines: there are at most as many such lines.
@@ -28,25 +35,36 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at both ends, A to Z in lower case and all other letters as they are."""
-    bare = F.btrim(line, F.lit(WHITE))
-    plain = F.octet_length(bare) == F.char_length(bare)
-    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
-
-
 def _identity(docs: DataFrame) -> list[Column]:
     # Rows of one id and one text have the same answer, so they need not be told apart.
     text = F.coalesce(F.col("text"), F.lit(""))
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("version")]
 
 
+def line_keys(lines: pa.Array) -> pa.Array:
+    """Lines without white space at both ends, A to Z in lower case and all other letters as they are."""
+    return pc.ascii_lower(pc.ascii_trim(lines, characters=WHITE))
+
+
+def _placed(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    for batch in arrowtext.slices(batches, "text"):
+        lists = pc.split_pattern(arrowtext.text_of(batch, "text"), "\n")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        position = np.arange(offsets[-1] - offsets[0]) - (offsets - offsets[0])[row]
+        keys = line_keys(lists.flatten())
+        long_enough = np.flatnonzero(pc.utf8_length(keys).to_numpy() >= min_chars)
+        hashes = [xxhash.xxh3_128_digest(key) for key in keys.take(pa.array(long_enough)).cast(pa.large_binary()).to_pylist()]
+        row = pa.array(row[long_enough])
+        columns = [batch.column("id").take(row), batch.column("version").take(row), pa.array(position[long_enough], pa.int32()), pa.array(hashes, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "position", "line"])
+
+
 def line_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``id, version, position, line``: the hash of every line whose key has at least ``min_chars`` code points."""
-    placed = docs.select(*_identity(docs), F.posexplode(_lines(F.col("text"))).alias("position", "line"))
-    key = line_key(F.col("line"))
-    long_enough = placed.withColumn("key", key).where(F.char_length("key") >= min_chars)
-    return long_enough.select("id", "version", "position", F.unhex(F.md5("key")).alias("line"))
+    return docs.select(*_identity(docs), "text").mapInArrow(
+        lambda b: _placed(b, min_chars), "id long, version long, position int, line binary"
+    )
 
 
 def repeated_lines(places: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -69,7 +87,7 @@ def repeated_lines(places: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Dat
 def repeated_places(places: DataFrame, repeated: DataFrame) -> DataFrame:
     """``id, version, position`` of the repeated lines outside the first document that holds them.
 
-    ``repeated`` is a stored table. Its hot lines, at most ``HOT_PARTS``, are broadcast. Every other line has less
+    Both are stored tables. The hot lines, at most ``HOT_PARTS``, are broadcast. Every other line has less
     than that part of the places, so the shuffled join of the rest has no large key.
     """
     total = repeated.agg(F.sum("places")).first()[0] or 0
@@ -93,7 +111,7 @@ def drop_repeated_lines(
     A null ``doc_id`` is one document before all others. Other columns are kept; if ``docs`` has one of the names
     of the two counts, the count has an underscore in front. An empty table gives an empty one.
     """
-    places = line_places(docs, min_chars)
+    places = landed(line_places(docs, min_chars), "places")
     repeated = landed(repeated_lines(places, min_documents), "lines")
     dropped = repeated_places(places, repeated).groupBy("id", "version").agg(F.collect_set("position").alias("gone"))
     names = {name: free_name(docs.columns, name) for name in ("id", "version", "gone", "lines", "n_lines", "n_dropped")}
