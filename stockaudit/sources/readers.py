@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from stockaudit.fixed_values import EXTRACT_COLUMNS, MISSING
 from stockaudit.sources import schemas
 from stockaudit.sources.dates import typed
-
-# Separators an extract may have, the likeliest first.
-SEPARATORS = (",", ";", "\t", "|")
+from stockaudit.sources.dialects import BYTE_ORDER_MARK, Dialect, files_by_dialect, plain_number
 
 
 def snake_case(name: str) -> str:
@@ -37,39 +35,33 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def header_separator(spark: SparkSession, path: str | Sequence[str]) -> str:
-    """The separator that occurs most often in the first line, outside quotes; a comma if none does."""
-    first = spark.read.text(path).head()
-    header = re.sub(r'"[^"]*"', "", first[0]) if first else ""
-    return max(SEPARATORS, key=header.count)
-
-
-def _read_text(
-    spark: SparkSession, path: str | Sequence[str], separator: str | None = None, encoding: str = "UTF-8"
-) -> DataFrame:
+def _read_text(spark: SparkSession, files: list[str], dialect: Dialect) -> DataFrame:
     # Text columns only: each one is typed by the caller, so that a bad value becomes null
     # instead of failing the job, and no pass over the data infers types.
-    separator = separator or header_separator(spark, path)
-    return spark.read.csv(
-        path, sep=separator, encoding=encoding, header=True, inferSchema=False, escape='"', enforceSchema=False
+    df = spark.read.csv(
+        files, sep=dialect.separator, encoding=dialect.encoding, header=True, inferSchema=False, escape='"',
+        enforceSchema=False,
     )
+    return df.withColumnRenamed(df.columns[0], df.columns[0].removeprefix(BYTE_ORDER_MARK))
 
 
-def _typed(df: DataFrame, schema: T.StructType, rename: Mapping[str, str], text: bool) -> DataFrame:
+def _typed(df: DataFrame, schema: T.StructType, rename: Mapping[str, str], text: bool, decimal: str) -> DataFrame:
     """Select the schema's columns by name, typed; ``rename`` maps extract to schema names."""
     source = {rename.get(column, column): column for column in df.columns}
     missing = [field.name for field in schema if field.name not in source]
     if missing:
         raise ValueError(f"extract lacks columns {missing}; it has {df.columns}")
-    return df.select(*[_cell(F.col(source[f.name]), f.dataType, text).alias(f.name) for f in schema])
+    return df.select(*[_cell(F.col(source[f.name]), f.dataType, text, decimal).alias(f.name) for f in schema])
 
 
-def _cell(value: Column, kind: T.DataType, keep_empty: bool) -> Column:
+def _cell(value: Column, kind: T.DataType, keep_empty: bool, decimal: str) -> Column:
     present = F.when(value != MISSING, value)
     if isinstance(kind, T.IntegralType):
         # A whole number may be written with decimals; a fraction is not a whole number.
-        number = F.trim(present).try_cast("decimal(38,6)")
+        number = plain_number(present, decimal).try_cast("decimal(38,6)")
         return F.when(number == F.floor(number), number.try_cast(kind))
+    if isinstance(kind, T.NumericType):
+        return plain_number(present, decimal).try_cast(kind)
     if not isinstance(kind, T.StringType):
         return F.trim(present).try_cast(kind)
     # The reader gives null for an unquoted empty field and '' for a quoted one.
@@ -78,20 +70,39 @@ def _cell(value: Column, kind: T.DataType, keep_empty: bool) -> Column:
     return F.nullif(present, F.lit(""))
 
 
+def _read(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, rename: Mapping[str, str] | None,
+    text: bool, **known: str | None,
+) -> DataFrame:
+    """Files of each dialect and header read together and typed, then stacked."""
+    stacked = None
+    for dialect, files in files_by_dialect(spark, path, **known).items():
+        df = _read_text(spark, files, dialect)
+        df = _typed(clean_names(df) if text else df, schema, rename or {}, text, dialect.decimal)
+        stacked = df if stacked is None else stacked.unionByName(df)
+    if stacked is None:
+        raise ValueError(f"no file with a header in {path}")
+    return stacked
+
+
 def read_summary(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType, rename: Mapping[str, str] | None = None,
-    separator: str | None = None, encoding: str = "UTF-8",
+    separator: str | None = None, encoding: str | None = None, decimal: str | None = None,
 ) -> DataFrame:
-    """A CSV file whose empty and ``NA`` fields are null. Header names are kept as they are."""
-    return _typed(_read_text(spark, path, separator, encoding), schema, rename or {}, text=False)
+    """CSV files whose empty and ``NA`` fields are null. Header names are kept as they are.
+
+    ``path`` may name several files and folders. Each file's separator, decimal sign, encoding (UTF-8, else Latin-1)
+    and column order are told from its beginning; those given here hold for all files.
+    """
+    return _read(spark, path, schema, rename, False, separator=separator, encoding=encoding, decimal=decimal)
 
 
 def read_extract(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType, rename: Mapping[str, str] | None = None,
-    separator: str | None = None, encoding: str = "UTF-8",
+    separator: str | None = None, encoding: str | None = None, decimal: str | None = None,
 ) -> DataFrame:
-    """A CSV extract whose empty text fields stay ``''``; names are cleaned before renaming."""
-    return _typed(clean_names(_read_text(spark, path, separator, encoding)), schema, rename or {}, text=True)
+    """CSV extracts whose empty text fields stay ``''``; names are cleaned before renaming. Otherwise like ``read_summary``."""
+    return _read(spark, path, schema, rename, True, separator=separator, encoding=encoding, decimal=decimal)
 
 
 def read_input(spark: SparkSession, name: str, path: str | Sequence[str]) -> DataFrame:
@@ -106,9 +117,9 @@ def read_address_stock(spark: SparkSession, paths: Mapping[str, str | Sequence[s
     return relocate(stock, "site_id", before="address_id")
 
 
-def with_source(df: DataFrame, name: str, value: str) -> DataFrame:
-    """Tag every row with where it came from."""
-    return df.withColumn(name, F.lit(value))
+def with_source(df: DataFrame, name: str, value: str | None) -> DataFrame:
+    """Tag every row with where it came from, null where that is unknown."""
+    return df.withColumn(name, F.lit(value).cast("string"))
 
 
 def union_sources(sources: Mapping[str, DataFrame], tag: str) -> DataFrame:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from stockaudit.operators import aggregates, summaries, windows
 from stockaudit.plans import accuracy
-from stockaudit.sources import readers
 
 
 def test_rest_column_holds_unlisted_and_null(spark):
@@ -38,15 +37,3 @@ def test_whiskers_reach_the_hinges(spark):
     df = spark.createDataFrame([("s", v) for v in (1, 10, 10, 10)], "g string, v int")
     row = summaries.box_stats(df, ["g"], "v").first()
     assert (row.q1, row.whisker_low, row.outliers) == (7.75, 7.75, 1)
-
-
-def test_separator_from_the_header(spark, tmp_path):
-    columns = readers.EXTRACT_COLUMNS["onhand"]
-    header = list(columns)
-    found = []
-    for separator in ",;\t|":
-        path = tmp_path / f"{ord(separator)}.csv"
-        path.write_text(separator.join(f'"{h}"' for h in header) + "\n" + separator.join(f"v{i}" for i in range(len(header))) + "\n")
-        assert readers.header_separator(spark, str(path)) == separator
-        found.append(readers._read_text(spark, str(path)).collect())
-    assert all(rows == found[0] for rows in found)
