@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from stockaudit.operators.joins import size_checked
 
 SKETCH_ERROR = 0.001
 # Rows that one task may put in order.
@@ -22,6 +24,20 @@ def top_n_ties(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.where(F.col(column) >= threshold.scalar())
 
 
+def top_groups_ties(
+    counts: DataFrame, by: str, column: str, k: int, lines: DataFrame, rest: dict[str, Column]
+) -> DataFrame:
+    """The groups whose ``column`` is among the ``k`` largest, ties kept, with aggregates of their lines.
+
+    ``counts`` has a row per group, all that the cutoff and the choice need, so that both come from one computation
+    of it. The chosen groups are stored and counted, for as many may tie as there are groups; where they are few they
+    are sent to the lines, and only theirs are aggregated. Null is a group like others.
+    """
+    chosen = size_checked(top_n_ties(counts, column, k).select(F.col(by).alias("_group"), column))
+    found = lines.join(chosen, F.col(by).eqNullSafe(F.col("_group")))
+    return found.groupBy(by, column).agg(*[aggregate.alias(name) for name, aggregate in rest.items()])
+
+
 def top_fraction_ties(df: DataFrame, column: str, fraction: float, in_order: int = ORDERED_ROWS) -> DataFrame:
     """Rows whose minimum descending rank is at most ``fraction`` of the row count.
 

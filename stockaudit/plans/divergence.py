@@ -24,13 +24,13 @@ from stockaudit.functions.scalars import (
 from stockaudit.functions.stats import corr_pvalue, pairs, pearson
 from stockaudit.operators.aggregates import (
     distinct_then_count,
-    n_distinct,
     pivot_sums,
     pivot_wide,
     row_count,
     weighted_count,
 )
 from stockaudit.operators.joins import attach
+from stockaudit.operators.sets import numbered, side_by_side, united, value_sets
 from stockaudit.operators.windows import (
     cumulative_share,
     first_k,
@@ -41,6 +41,7 @@ from stockaudit.operators.windows import (
     top_flag,
     total_of,
 )
+from stockaudit.sources import schemas
 from stockaudit.sources.dates import with_count_dates
 from stockaudit.sources.readers import relocate
 
@@ -82,7 +83,7 @@ def count_base(detail: DataFrame) -> DataFrame:
         "divergence_type": divergence_type(_difference()),
         "month_label": month_label(F.col("month")),
     })
-    return relocate(base, "market", before="site_id")
+    return relocate(base, "market", before="site_id").drop(*schemas.NUMBERS.values())
 
 
 def area_month(detail: DataFrame) -> DataFrame:
@@ -116,9 +117,12 @@ def site_level_type(detail: DataFrame, market: str, area: str, site: str, month:
 
 def market_totals(detail: DataFrame) -> DataFrame:
     """Distinct addresses and SKUs with a divergence per market, SKUs as percent of all."""
-    totals = _with_market(_wrong(detail)).groupBy("market").agg(
-        n_distinct("address_id").alias("addresses"), n_distinct("sku_id").alias("skus")
-    )
+    lines = _wrong(numbered(detail, schemas.NUMBERS))
+    sets = {
+        name: united(_with_market(value_sets(lines, ["site_id"], number)), ["market"])
+        for name, number in (("addresses", "address_no"), ("skus", "sku_no"))
+    }
+    totals = side_by_side(["market"], sets)
     return totals.withColumn("skus_pct", share("skus") * 100).orderBy(
         F.asc_nulls_last("market"), F.desc_nulls_last("skus")
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockaudit import fixed_values as fixed
-from stockaudit.functions.scalars import address_part, parse_address, parse_timestamp
+from stockaudit.functions.scalars import address_part, parse_address
 from stockaudit.operators.aggregates import (
     distinct_then_count,
     max_strict,
@@ -20,12 +20,19 @@ from stockaudit.operators.aggregates import (
     weighted_count,
 )
 from stockaudit.operators.joins import keep_matching
-from stockaudit.operators.ranking import top_fraction_ties, top_n_ties
+from stockaudit.operators.ranking import top_fraction_ties, top_groups_ties, top_n_ties
+from stockaudit.operators.sets import distinct_totals, numbered
 from stockaudit.operators.summaries import box_stats, numeric_summary
 from stockaudit.operators.windows import cumulative_share, first_k, share
+from stockaudit.sources import schemas
+from stockaudit.sources.dates import with_update_times
 from stockaudit.sources.readers import union_sources
 
 
+# Counts of distinct values and the columns that number them.
+DISTINCT = {"skus": schemas.NUMBERS["sku_id"], "addresses": schemas.NUMBERS["address_id"]}
+
+
 def _part(name: str) -> Column:
     return address_part(F.col("address_id"), name).alias(name)
 
@@ -106,11 +113,8 @@ def _in_areas(stock: DataFrame, areas: DataFrame) -> DataFrame:
 
 def overview(stock: DataFrame, areas: DataFrame) -> DataFrame:
     """Units, distinct SKUs and addresses within the areas listed in a one-column table."""
-    return _in_areas(stock, areas).agg(
-        sum_strict("units").alias("units"),
-        n_distinct("sku_id").alias("skus"),
-        n_distinct("address_id").alias("addresses"),
-    )
+    lines = _in_areas(numbered(stock, schemas.NUMBERS), areas)
+    return distinct_totals(lines, [], DISTINCT, strict_sum="units")
 
 
 def sku_spread(stock: DataFrame, areas: DataFrame) -> DataFrame:
@@ -144,7 +148,7 @@ def spread_tail(stock: DataFrame, areas: DataFrame, skip: int = fixed.SKIPPED_SP
 
 def tuple_base(stock: DataFrame) -> DataFrame:
     """Distinct SKUs and last update per address; an unreadable update makes it unknown."""
-    lines = stock.select("address_id", "sku_id", parse_timestamp(F.col("updated_text")).alias("updated"))
+    lines = with_update_times(stock).select("address_id", "sku_id", F.col("updated_at").alias("updated"))
     # One row a SKU first: both measures then come from one shuffle by address and SKU and one of partial results.
     skus = lines.groupBy("address_id", "sku_id").agg(
         F.max("updated").alias("updated"), F.bool_or(F.col("updated").isNull()).alias("unknown")
@@ -156,8 +160,13 @@ def tuple_base(stock: DataFrame) -> DataFrame:
 
 
 def tuple_top(stock: DataFrame, k: int = fixed.TOP_ADDRESSES) -> DataFrame:
-    """The densest addresses, ties kept, densest first. The cutoff needs SKUs alone, so it reads no update."""
-    return top_n_ties(tuple_base(stock), "skus", k).orderBy(F.desc("skus"), "address_id")
+    """The densest addresses, ties kept, densest first. Cutoff and choice need SKUs alone; only the chosen ones' updates are read."""
+    stock = numbered(with_update_times(stock), schemas.NUMBERS)
+    counts = distinct_then_count(stock, ["address_no"], ["sku_no"], "skus")
+    # A number stands for one address.
+    rest = {"address_id": F.max("address_id"), "last_update": max_strict("updated_at")}
+    top = top_groups_ties(counts, "address_no", "skus", k, stock.select("address_no", "address_id", "updated_at"), rest)
+    return top.drop("address_no").withColumn("area", address_part(F.col("address_id"), "area")).orderBy(F.desc("skus"), "address_id")
 
 
 def floor_top(stock: DataFrame, areas: DataFrame, k: int = fixed.TOP_FLOORS) -> DataFrame:
@@ -185,11 +194,8 @@ def insured_top_fraction(stock: DataFrame, fraction: float = fixed.TOP_INSURED_F
 
 
 def _totals(stock: DataFrame, by: str) -> DataFrame:
-    return stock.select("sku_id", "address_id", "units", _part(by)).groupBy(by).agg(
-        sum_strict("units").alias("units"),
-        n_distinct("sku_id").alias("skus"),
-        n_distinct("address_id").alias("addresses"),
-    )
+    lines = numbered(stock, schemas.NUMBERS).withColumn(by, _part(by))
+    return distinct_totals(lines, [by], DISTINCT, strict_sum="units")
 
 
 def zone_summary(stock: DataFrame, area: str) -> DataFrame:

@@ -28,8 +28,16 @@ def with_move_times(moves: DataFrame) -> DataFrame:
     return moves.withColumns({"moved_at": moment, "moved_on": moment.cast("date")})
 
 
+def with_update_times(stock: DataFrame) -> DataFrame:
+    """Add ``updated_at`` to stock lines that lack it."""
+    if not _lacking(stock, "address_stock"):
+        return stock
+    return stock.withColumn("updated_at", parse_timestamp(F.col("updated_text")))
+
+
+TYPING = {"count_detail": with_count_dates, "address_stock": with_update_times, "movements": with_move_times}
+
+
 def typed(df: DataFrame, name: str) -> DataFrame:
     """An input with the columns that are typed from its texts."""
-    if name == "count_detail":
-        return with_count_dates(df)
-    return with_move_times(df) if name == "movements" else df
+    return TYPING[name](df) if name in TYPING else df

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from stockaudit.operators import sets
 from stockaudit.session import delete_at_end, ensure_checkpoint_dir
 from stockaudit.sources import schemas
 from stockaudit.sources.dates import typed
@@ -127,7 +129,7 @@ def _movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUILDERS = {
     "count_detail": (_count_detail, schemas.with_typed("count_detail"), "site_id", "address_id"),
     "cycle_summary": (_cycle_summary, schemas.CYCLE_SUMMARY, None, None),
-    "address_stock": (_address_stock, schemas.ADDRESS_STOCK, "site_id", "address_id"),
+    "address_stock": (_address_stock, schemas.with_typed("address_stock"), "site_id", "address_id"),
     "onhand": (_onhand, schemas.ONHAND, "site_id", None),
     "address_density": (_address_density, schemas.ADDRESS_DENSITY, "site_id", "address_id"),
     "movements": (_movements, schemas.with_typed("movements"), "moved_on", "origin"),
@@ -153,19 +155,41 @@ def land(df: DataFrame, path: str, partition_by: str | None, sort_by: str | None
     balanced.write.partitionBy(partition_by).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, derived and written on first use by this application."""
-    build, schema, partition_by, sort_by = BUILDERS[name]
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of a table that ``write`` fills on first use by this application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     with _writing:
         if key not in _written:
             ensure_checkpoint_dir(spark)
             folder = f"{spark.sparkContext.getCheckpointDir()}/stockaudit-{uuid.uuid4().hex}"
-            path = f"{folder}/{name}"
-            land(typed(build(spark, sf_dir), name), path, partition_by, sort_by)
+            write(f"{folder}/{name}")
             delete_at_end(spark, folder)
-            _written[key] = path
-    return read_landed(spark, _written[key], schema)
+            _written[key] = f"{folder}/{name}"
+    return _written[key]
+
+
+def numbers(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """The dictionary of the addresses or SKUs of all lines."""
+
+    def write(path: str) -> None:
+        values = _lines(spark, sf_dir).selectExpr("address_id", "l_partkey AS sku_id")
+        sets.dictionary(values, column).write.parquet(path)
+
+    return spark.read.parquet(_once(spark, sf_dir, f"{column}_numbers", write))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, derived and written on first use by this application."""
+    build, schema, partition_by, sort_by = BUILDERS[name]
+
+    def write(path: str) -> None:
+        df = typed(build(spark, sf_dir), name)
+        if name in schemas.NUMBERED:
+            for column, number in schemas.NUMBERS.items():
+                df = sets.with_number(df, column, number, numbers(spark, sf_dir, column))
+        land(df, path, partition_by, sort_by)
+
+    return read_landed(spark, _once(spark, sf_dir, name, write), schema)
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -185,11 +209,12 @@ def address_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "address_stock")
 
 
-def address_stock_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The stock as one extract per site, without the site column; together, all rows that have a site."""
-    stock = address_stock(spark, sf_dir)
-    sites = sorted(row.site_id for row in stock.select("site_id").where("site_id IS NOT NULL").distinct().collect())
-    return {site: stock.where(stock["site_id"] == site).drop("site_id") for site in sites}
+def address_stock_sources(spark: SparkSession, sf_dir: str) -> dict[str | None, DataFrame]:
+    """The stock as one extract per site, without the site column; together, all rows, also those without a site."""
+    stock = address_stock(spark, sf_dir).select(*schemas.ADDRESS_STOCK.names)
+    sites = sorted((row.site_id for row in stock.select("site_id").distinct().collect()), key=lambda s: (s is None, s))
+    here = {site: stock["site_id"].isNull() if site is None else stock["site_id"] == site for site in sites}
+    return {site: stock.where(condition).drop("site_id") for site, condition in here.items()}
 
 
 def onhand(spark: SparkSession, sf_dir: str) -> DataFrame:

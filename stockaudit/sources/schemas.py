@@ -53,13 +53,19 @@ TABLES = {
 # Columns typed from text when a table is read or landed, so that reports filter on them at the scan.
 TYPED = {
     "count_detail": _struct(count_date=T.DateType(), month=INT),
+    "address_stock": _struct(updated_at=T.TimestampNTZType()),
     "movements": _struct(moved_at=T.TimestampNTZType(), moved_on=T.DateType()),
 }
 
+# Columns whose distinct values are counted together, and the columns of landed inputs that number them.
+NUMBERS = {"address_id": "address_no", "sku_id": "sku_no"}
+NUMBERED = ("count_detail", "address_stock")
+
 
 def with_typed(name: str) -> T.StructType:
-    """Schema of a landed input: the table's columns and those typed from its texts."""
-    return T.StructType([*TABLES[name].fields, *TYPED.get(name, T.StructType()).fields])
+    """Schema of a landed input: the table's columns, those typed from its texts and its numbers."""
+    numbers = [T.StructField(number, LONG) for number in NUMBERS.values()] if name in NUMBERED else []
+    return T.StructType([*TABLES[name].fields, *TYPED.get(name, T.StructType()).fields, *numbers])
 
 
 IDENTIFIERS = ("sku_id", "seller_id", "item_id", "worker_id")

