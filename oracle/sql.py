@@ -1,14 +1,28 @@
-"""One SQL statement per registered report, written independently of the Spark code."""
+"""One SQL statement per registered report, written independently of the Spark code.
+
+Fixed values, which results must carry exactly, stand in the statements as plain text: the labels of sites, areas and
+buckets, the month labels, the goal mark and verdicts, the divergence types, the first-word pattern, and the cuts of the
+reports.
+"""
 
 from __future__ import annotations
 
+def _nd(column: str) -> str:
+    return f"(count(DISTINCT {column}) + coalesce(max(CAST({column} IS NULL AS INTEGER)), 0))"
+
+
+# Units of a group, unknown as soon as those of one line are.
+UNITS = "CASE WHEN count(units) = count(*) THEN CAST(sum(units) AS BIGINT) END"
+
 # --- input tables -------------------------------------------------------------------------
 
 TABLES = {
     "lines": """
         SELECT *,
-          CASE l_orderkey % 8 WHEN 0 THEN 'BR01' WHEN 1 THEN 'BR02' WHEN 2 THEN 'BR03' WHEN 3 THEN 'BRTR1'
-            WHEN 4 THEN 'MX01' WHEN 5 THEN 'MX02' WHEN 6 THEN 'AR01' ELSE 'CL01' END AS site_id,
+          CASE WHEN l_orderkey % 12 < 4 THEN 'BR01' WHEN l_orderkey % 12 = 4 THEN 'BR02' WHEN l_orderkey % 12 = 5 THEN 'BR03'
+            WHEN l_orderkey % 12 = 6 THEN 'BRTR1' WHEN l_orderkey % 12 = 7 THEN 'MX01' WHEN l_orderkey % 12 = 8 THEN 'MX02'
+            WHEN l_orderkey % 12 = 9 THEN 'AR01' WHEN l_orderkey % 12 = 10 THEN 'CL01' END AS site_id,
+          CASE WHEN (l_orderkey + l_linenumber) % 101 <> 0 THEN l_partkey END AS sku,
           CASE (l_orderkey // 8) % 6 WHEN 0 THEN 'MZ' WHEN 1 THEN 'MZ' WHEN 2 THEN 'MZ' WHEN 3 THEN 'PW'
             WHEN 4 THEN 'MU' ELSE 'RK' END AS area,
           CAST((l_orderkey // 48) % 9 + 1 AS INTEGER) AS level,
@@ -18,17 +32,17 @@ TABLES = {
         SELECT *, area || '-' || CAST(l_orderkey % 3 AS VARCHAR)
           || '-' || lpad(CAST((l_orderkey // 1000) % 1000 AS VARCHAR), 3, '0')
           || '-' || lpad(CAST(l_orderkey % 1000 AS VARCHAR), 3, '0')
-          || '-' || CASE WHEN area = 'RK' THEN 'XX' ELSE lpad(CAST(level AS VARCHAR), 2, '0') END AS address_id
+          || '-' || CASE WHEN area = 'RK' OR l_orderkey % 97 = 0 THEN 'XX'
+            ELSE lpad(CAST((l_orderkey // 48) % 13 AS VARCHAR), 2, '0') END AS address_id
         FROM lines""",
     "count_detail": """
         SELECT site_id, area, level, address_id,
-          CASE WHEN (l_orderkey + l_linenumber) % 101 <> 0 THEN l_partkey END AS sku_id,
-          CAST(l_quantity AS INTEGER) AS qty_system,
+          sku AS sku_id, CAST(l_quantity AS INTEGER) AS qty_system,
           CASE WHEN h <> 4 THEN CAST(l_quantity AS INTEGER)
             + CASE h WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN -1 WHEN 3 THEN -2 ELSE 0 END END AS qty_counted,
           CASE WHEN (l_orderkey + l_suppkey) % 31 = 0 THEN 0 WHEN h = 4 AND l_linenumber = 1 THEN -1 WHEN h = 0 THEN 1
             WHEN h = 1 THEN 2 WHEN h = 2 THEN -1 WHEN h = 3 THEN -2 WHEN h <> 4 THEN 0 END AS divergence_stored,
-          strftime(l_shipdate, '%Y-%m-%d') AS counted_on,
+          CASE WHEN (l_orderkey * 3 + l_linenumber) % 173 = 0 THEN 'n/a' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS counted_on,
           CASE WHEN l_partkey % 50 <> 0 THEN p_type END AS category
         FROM placed LEFT JOIN part ON l_partkey = p_partkey""",
     "detail": """
@@ -37,12 +51,15 @@ TABLES = {
           qty_counted - qty_system AS divergence,
           CASE WHEN qty_counted - qty_system = 0 THEN 'ok' WHEN qty_counted - qty_system > 0 THEN 'Found'
             WHEN qty_counted - qty_system < 0 THEN 'Lost' END AS divergence_type,
-          CAST(month(CAST(counted_on AS DATE)) AS INTEGER) AS month
+          TRY_CAST(counted_on AS DATE) AS count_date, CAST(month(TRY_CAST(counted_on AS DATE)) AS INTEGER) AS month
         FROM count_detail""",
     "cycle_summary": """
-        SELECT site_id || '-' || area || '-' || CAST(level AS VARCHAR) || '-' || substr(counted_on, 6, 2)
+        SELECT concat_ws('-', site_id, area, CAST(level AS VARCHAR), lpad(CAST(coalesce(month, 0) AS VARCHAR), 2, '0'))
             AS cycle_count_id,
-          site_id, area, level, market AS region, '2024 | ' || substr(counted_on, 6, 2) AS period,
+          site_id, area, level,
+          CASE WHEN level = 9 THEN NULL WHEN market IN ('BR', 'MX') THEN market WHEN site_id = 'CL01' THEN 'CL'
+            ELSE 'OTHER' END AS region,
+          '2024 | ' || lpad(CAST(coalesce(month, 0) AS VARCHAR), 2, '0') AS period,
           CASE WHEN count(*) % 3 = 0 THEN 'working' ELSE 'closed' END AS status,
           count(*) AS population_size,
           CASE WHEN count(*) % 11 <> 0 THEN
@@ -51,9 +68,11 @@ TABLES = {
           count(*) FILTER (divergence <> 0) AS error_tuples,
           CAST(CASE market WHEN 'BR' THEN 0.82 WHEN 'MX' THEN 0.79 ELSE 0.77 END AS DOUBLE) AS target_site,
           CAST(CASE market WHEN 'BR' THEN 0.80 WHEN 'MX' THEN 0.78 ELSE 0.76 END AS DOUBLE) AS target_region
-        FROM detail GROUP BY site_id, area, level, market, substr(counted_on, 6, 2)""",
+        FROM detail GROUP BY site_id, area, level, market, month""",
     "address_stock": """
-        SELECT site_id, area, address_id, l_partkey AS sku_id, CAST(l_quantity AS INTEGER) AS units,
+        SELECT site_id, area, address_id, sku AS sku_id,
+          CASE WHEN area <> 'MZ' OR l_orderkey % 3 <> 2 OR substr(address_id, 14, 2) <> '12' OR l_linenumber <> 1
+            THEN CAST(l_quantity AS INTEGER) END AS units,
           CASE WHEN (l_orderkey + l_linenumber) % 211 = 0 THEN 'n/a' ELSE
             strftime(l_shipdate, '%d/%m/%Y ') || lpad(CAST(l_linenumber AS VARCHAR), 2, '0')
             || ':' || lpad(CAST(l_suppkey % 60 AS VARCHAR), 2, '0')
@@ -65,7 +84,7 @@ TABLES = {
         FROM placed""",
     "onhand": """
         SELECT address_id, site_id,
-          CASE WHEN NOT (site_id = 'CL01' AND l_linenumber = 7) THEN CAST(l_quantity AS INTEGER) END AS units,
+          CASE WHEN site_id = 'CL01' AND l_linenumber = 7 THEN NULL ELSE CAST(l_quantity AS INTEGER) END AS units,
           substr(address_id, 1, 2) AS area, substr(address_id, 4, 1) AS zone,
           TRY_CAST(substr(address_id, 14, 2) AS DOUBLE) AS floor
         FROM placed""",
@@ -107,11 +126,11 @@ TABLES = {
         SELECT site_id, CAST(sum(CASE WHEN sku_count >= 5 THEN sku_count ELSE 0 END) AS DOUBLE)
           / nullif(sum(sku_count), 0) AS share_ge
         FROM address_density WHERE address_id LIKE 'MZ%' GROUP BY site_id""",
-    "address_units": """
-        SELECT site_id, address_id, count(DISTINCT sku_id) AS skus, CAST(sum(units) AS BIGINT) AS units
+    "address_units": f"""
+        SELECT site_id, address_id, {_nd('sku_id')} AS skus, {UNITS} AS units
         FROM address_stock WHERE area = 'MZ' GROUP BY site_id, address_id""",
-    "sku_units": """
-        SELECT site_id, sku_id, CAST(sum(units) AS BIGINT) AS units, count(DISTINCT address_id) AS addresses
+    "sku_units": f"""
+        SELECT site_id, sku_id, {UNITS} AS units, count(DISTINCT address_id) AS addresses
         FROM address_stock WHERE area = 'MZ' GROUP BY site_id, sku_id""",
     "spread": """
         SELECT sku_id, count(DISTINCT address_id) AS addresses FROM address_stock
@@ -175,10 +194,6 @@ def _pct(value: str, digits: int) -> str:
     return f"printf('%.{digits}f%%', round_even(({value}) * 100, {digits}))"
 
 
-def _nd(column: str) -> str:
-    return f"(count(DISTINCT {column}) + coalesce(max(CAST({column} IS NULL AS INTEGER)), 0))"
-
-
 def _top2(by: str) -> str:
     return (
         f"rank() OVER (PARTITION BY {by} ORDER BY errors DESC)"
@@ -278,13 +293,14 @@ ORACLE["err_area_by_region"] = _sql(
 
 # --- count divergence ---------------------------------------------------------------------
 
+# Month labels, January to December.
 MONTHS = ["jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez"]
 MONTH_CASES = " ".join(f"WHEN {number} THEN '{label}'" for number, label in enumerate(MONTHS, start=1))
 
 ORACLE["count_base"] = _sql(
     "detail",
     f"""SELECT market, site_id, area, level, address_id, sku_id, qty_system, qty_counted, divergence_stored, counted_on, category,
-          divergence, divergence_type, counted_on AS count_date, month, CASE month {MONTH_CASES} END AS month_label
+          divergence, divergence_type, CAST(count_date AS VARCHAR) AS count_date, month, CASE month {MONTH_CASES} END AS month_label
         FROM detail""",
 )
 ORACLE["div_area_month"] = _sql(
@@ -347,7 +363,7 @@ ORACLE["density_bucket_errors"] = _sql(
                 CAST(sum(error_skus) AS BIGINT) AS errors FROM mz GROUP BY ALL""",
     totals="""SELECT *, CAST(errors AS DOUBLE) / nullif(sum(errors) OVER (PARTITION BY market, site_id), 0) AS share,
                 CAST(sum(errors) OVER (PARTITION BY site_id) AS BIGINT) AS site_errors FROM counts""",
-    joined="""SELECT totals.*, share_ge AS stock_share_ge FROM totals LEFT JOIN ge_share USING (site_id)""",
+    joined="""SELECT totals.*, share_ge AS stock_share_ge FROM totals LEFT JOIN ge_share ON totals.site_id IS NOT DISTINCT FROM ge_share.site_id""",
     labeled=f"""SELECT *, site_id || ' (Tuplas error ' || CAST(site_errors AS VARCHAR) || ')' || chr(10)
                   || 'Address stock >= 5 tuplas ' || {_pct('stock_share_ge', 0)} AS site_label FROM joined""",
 )
@@ -460,10 +476,10 @@ ORACLE["stock_sku_rollup"] = _sql("sku_units", "SELECT * FROM sku_units")
 ORACLE["floor_share_wide"] = _sql(
     "address_units",
     "SELECT site_id, "
-    + ", ".join(f"max(share) FILTER (floor = {n}) AS floor_{n}" for n in range(1, 10))
-    + ", max(share) FILTER (floor IS NULL) AS floor_none,"
-    + " sum(share) FILTER (floor NOT BETWEEN 1 AND 9 OR floor <> round(floor)) AS floor_other FROM shares GROUP BY site_id",
-    shares="""SELECT site_id, floor, round(CAST(units AS DOUBLE) / sum(units) OVER (PARTITION BY site_id), 6) AS share
+    + ", ".join(f"round(max(share) FILTER (floor = {n}), 6) AS floor_{n}" for n in range(1, 10))
+    + ", round(max(share) FILTER (floor IS NULL), 6) AS floor_none,"
+    + " round(sum(share) FILTER (floor NOT BETWEEN 1 AND 9 OR floor <> round(floor)), 6) AS floor_other FROM shares GROUP BY site_id",
+    shares="""SELECT site_id, floor, CAST(units AS DOUBLE) / sum(units) OVER (PARTITION BY site_id) AS share
               FROM (SELECT site_id, TRY_CAST(substr(address_id, 14, 2) AS DOUBLE) AS floor, sum(units) AS units
                     FROM address_units GROUP BY ALL)""",
 )
@@ -476,8 +492,8 @@ def _box(table: str, column: str, upper: int | None) -> str:
         """SELECT site_id, round(least(min(value) FILTER (inside), q1), 6) AS whisker_low, round(q1, 6) AS q1, round(median, 6) AS median,
              round(q3, 6) AS q3, round(greatest(max(value) FILTER (inside), q3), 6) AS whisker_high, count(*) FILTER (NOT inside) AS outliers,
              count(*) AS rows
-           FROM (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
-                 FROM kept JOIN quartiles USING (site_id)) GROUP BY site_id, q1, median, q3""",
+           FROM (SELECT kept.*, q1, median, q3, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
+                 FROM kept JOIN quartiles q ON kept.site_id IS NOT DISTINCT FROM q.site_id) GROUP BY site_id, q1, median, q3""",
         kept=kept,
         quartiles="""SELECT site_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
                        quantile_cont(value, 0.75) AS q3 FROM kept GROUP BY site_id""",
@@ -499,8 +515,7 @@ ORACLE["aisle_top10"] = _sql(
 )
 ORACLE["stock_overview"] = _sql(
     "address_stock cycle_summary",
-    """SELECT CAST(sum(units) AS BIGINT) AS units, count(DISTINCT sku_id) AS skus,
-         count(DISTINCT address_id) AS addresses
+    f"""SELECT {UNITS} AS units, {_nd('sku_id')} AS skus, count(DISTINCT address_id) AS addresses
        FROM address_stock WHERE area IN (SELECT area FROM cycle_summary)""",
 )
 ORACLE["sku_spread"] = _sql("spread", "SELECT * FROM spread")
@@ -508,7 +523,8 @@ TOP_SPREAD = "SELECT * FROM spread QUALIFY rank() OVER (ORDER BY addresses DESC)
 ORACLE["sku_spread_top"] = _sql("spread", TOP_SPREAD)
 ORACLE["spread_area_counts"] = _sql(
     "spread",
-    """SELECT area, count(*) AS lines FROM address_stock WHERE sku_id IN (SELECT sku_id FROM top) GROUP BY area""",
+    """SELECT area, count(*) AS lines FROM address_stock s
+       WHERE EXISTS (SELECT 1 FROM top WHERE top.sku_id IS NOT DISTINCT FROM s.sku_id) GROUP BY area""",
     top=TOP_SPREAD,
 )
 _share, _running = _shares("skus", "addresses")
@@ -519,7 +535,7 @@ ORACLE["spread_tail"] = _sql(
                 row_number() OVER (ORDER BY addresses) AS position
               FROM (SELECT addresses, count(*) AS skus FROM spread GROUP BY addresses)) WHERE position > 10""",
 )
-TUPLE_BASE = """SELECT area, address_id, count(DISTINCT sku_id) AS skus,
+TUPLE_BASE = f"""SELECT area, address_id, {_nd('sku_id')} AS skus,
     CASE WHEN count(*) = count(updated) THEN strftime(max(updated), '%Y-%m-%d %H:%M:%S') END AS last_update
     FROM (SELECT *, try_strptime(updated_text, '%d/%m/%Y %H:%M:%S') AS updated FROM address_stock)
     GROUP BY area, address_id"""
@@ -546,7 +562,7 @@ ORACLE["insured_top_frac"] = _sql(
 
 
 def _totals(by: str, where: str) -> str:
-    return f"""SELECT {by}, CASE WHEN count(units) = count(*) THEN CAST(sum(units) AS BIGINT) END AS units,
+    return f"""SELECT {by}, {UNITS} AS units,
                  count(DISTINCT sku_id) + max(CAST(sku_id IS NULL AS INT)) AS skus,
                  count(DISTINCT address_id) + max(CAST(address_id IS NULL AS INT)) AS addresses FROM address_stock WHERE {where} GROUP BY {by}"""
 
@@ -555,20 +571,22 @@ ORACLE["stock_zone_summary"] = _sql("address_stock", _totals("zone", "area = 'MZ
 ORACLE["stock_area_summary"] = _sql("address_stock", _totals("area", "true"))
 _units, _units_run = _shares("units", "units DESC, floor")
 _skus, _skus_run = _shares("skus", "units DESC, floor")
-ORACLE["stock_floor_cumulative"] = _sql(
-    "address_stock",
-    f"""SELECT *, {_units} AS units_share, {_units_run} AS units_running, {_skus} AS skus_share,
-          {_skus_run} AS skus_running FROM floors""",
-    floors=_totals("floor", "area <> 'MU'"),
-)
+for _name, _without in (("stock_floor_cumulative", "MU"), ("rest_floor_cumulative", "MZ")):
+    ORACLE[_name] = _sql(
+        "address_stock",
+        f"""SELECT *, {_units} AS units_share, {_units_run} AS units_running, {_skus} AS skus_share,
+              {_skus_run} AS skus_running FROM floors""",
+        floors=_totals("floor", f"area <> '{_without}'"),
+    )
 _units, _units_run = _shares("units", "floor")
 _skus, _skus_run = _shares("skus", "floor")
-ORACLE["mz_floor_cumulative"] = _sql(
-    "address_stock",
-    f"""SELECT floor, skus, units, {_units} AS units_share, {_units_run} AS units_running, {_skus} AS skus_share,
-          {_skus_run} AS skus_running FROM floors""",
-    floors=_totals("floor", "area = 'MZ'"),
-)
+for _name, _area in (("mz_floor_cumulative", "MZ"), ("mu_floor_cumulative", "MU")):
+    ORACLE[_name] = _sql(
+        "address_stock",
+        f"""SELECT floor, skus, units, {_units} AS units_share, {_units_run} AS units_running, {_skus} AS skus_share,
+              {_skus_run} AS skus_running FROM floors""",
+        floors=_totals("floor", f"area = '{_area}'"),
+    )
 
 
 def _numbers(tables: str, source: str, measures: list[str], by: str = "") -> str:
@@ -588,7 +606,7 @@ def _numbers(tables: str, source: str, measures: list[str], by: str = "") -> str
     )
 
 
-SKU_SUMMARY = """SELECT sku_id, count(DISTINCT address_id) AS addresses, CAST(sum(units) AS BIGINT) AS units
+SKU_SUMMARY = f"""SELECT sku_id, count(DISTINCT address_id) AS addresses, {UNITS} AS units
                  FROM address_stock WHERE area = 'MZ' GROUP BY sku_id"""
 ORACLE["address_summary_stats"] = _numbers(
     "address_units", "SELECT * FROM address_units", ["skus", "units"], by="site_id"
@@ -607,7 +625,7 @@ ORACLE["sku_hist20"] = _sql(
 )
 ORACLE["mu_summary_stats"] = _numbers(
     "address_stock",
-    """SELECT address_id, count(DISTINCT sku_id) AS skus, CAST(sum(units) AS BIGINT) AS units
+    f"""SELECT address_id, {_nd('sku_id')} AS skus, {UNITS} AS units
        FROM address_stock WHERE area = 'MU' GROUP BY address_id""",
     ["skus", "units"],
 )

@@ -131,6 +131,9 @@ REPORTS: dict[str, Query] = {
     "stock_area_summary": _stock(layout.area_summary),
     "stock_floor_cumulative": _stock(layout.floor_cumulative, without_area=OUTSIDE),
     "mz_floor_cumulative": _stock(layout.area_floor_cumulative, area=AREA),
+    # The same for areas whose units are all known.
+    "mu_floor_cumulative": _stock(layout.area_floor_cumulative, area=MOBILE),
+    "rest_floor_cumulative": _stock(layout.floor_cumulative, without_area=AREA),
     "address_summary": _stock(layout.address_summary, area=AREA),
     "address_summary_stats": _stock(layout.address_summary_stats, area=AREA),
     "address_site_counts": _stock(layout.address_site_counts, area=AREA),

@@ -18,14 +18,17 @@ from stockaudit.session import delete_at_end, ensure_checkpoint_dir
 from stockaudit.sources import schemas
 from stockaudit.sources.dates import typed
 
-SITES = ("BR01", "BR02", "BR03", "BRTR1", "MX01", "MX02", "AR01", "CL01")
-
-SITE = "elt(cast(l_orderkey % 8 + 1 AS int), 'BR01', 'BR02', 'BR03', 'BRTR1', 'MX01', 'MX02', 'AR01', 'CL01')"
+# A third of the lines lie in the first site, a twelfth in none.
+SITE = """elt(cast(l_orderkey % 12 + 1 AS int), 'BR01', 'BR01', 'BR01', 'BR01', 'BR02', 'BR03', 'BRTR1', 'MX01', 'MX02', 'AR01',
+      'CL01', null)"""
 AREA = "elt(cast(l_orderkey div 8 % 6 + 1 AS int), 'MZ', 'MZ', 'MZ', 'PW', 'MU', 'RK')"
 LEVEL = "cast(l_orderkey div 48 % 9 + 1 AS int)"
-ADDRESS = """
-    concat_ws('-', area, l_orderkey % 3, lpad(l_orderkey div 1000 % 1000, 3, '0'), lpad(l_orderkey % 1000, 3, '0'),
-      if(area = 'RK', 'XX', lpad(level, 2, '0')))"""
+# Floors 00 to 12, and some that are no number.
+FLOOR = "if(area = 'RK' OR l_orderkey % 97 = 0, 'XX', lpad(l_orderkey div 48 % 13, 2, '0'))"
+ZONE = "l_orderkey % 3"
+ADDRESS = f"""
+    concat_ws('-', area, {ZONE}, lpad(l_orderkey div 1000 % 1000, 3, '0'), lpad(l_orderkey % 1000, 3, '0'), {FLOOR})"""
+SKU = "if((l_orderkey + l_linenumber) % 101 <> 0, l_partkey, null)"
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +48,7 @@ def _count_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.join(parts, lines["l_partkey"] == parts["p_partkey"], "left")
     return lines.selectExpr(
         "site_id", "area", "level", "address_id",
-        "if((l_orderkey + l_linenumber) % 101 <> 0, l_partkey, null) AS sku_id",
+        f"{SKU} AS sku_id",
         "cast(l_quantity AS int) AS qty_system",
         """if(h <> 4, cast(l_quantity AS int) + CASE h WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN -1 WHEN 3 THEN -2 ELSE 0
            END, null) AS qty_counted""",
@@ -53,19 +56,20 @@ def _count_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE WHEN (l_orderkey + l_suppkey) % 31 = 0 THEN 0 WHEN h = 4 AND l_linenumber = 1 THEN -1
              WHEN h = 4 THEN null ELSE CASE h WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN -1 WHEN 3 THEN -2 ELSE 0 END END
            AS divergence_stored""",
-        "cast(cast(l_shipdate AS date) AS string) AS counted_on",
+        "if((l_orderkey * 3 + l_linenumber) % 173 <> 0, cast(cast(l_shipdate AS date) AS string), 'n/a') AS counted_on",
         "if(l_partkey % 50 <> 0, p_type, null) AS category",
     )
 
 
 def _cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = count_detail(spark, sf_dir).selectExpr(
-        "site_id", "area", "level", "substring(counted_on, 6, 2) AS month", "qty_counted - qty_system AS divergence"
+        "site_id", "area", "level", "coalesce(lpad(month, 2, '0'), '00') AS month", "qty_counted - qty_system AS divergence"
     )
     lines.createOrReplaceTempView("stockaudit_counted_lines")
     return spark.sql("""
         SELECT concat_ws('-', site_id, area, level, month) AS cycle_count_id, site_id, area, level,
-          CASE WHEN site_id LIKE 'BR%' THEN 'BR' WHEN site_id LIKE 'MX%' THEN 'MX' ELSE 'OTHER' END AS region,
+          CASE WHEN level = 9 THEN null WHEN site_id LIKE 'BR%' THEN 'BR' WHEN site_id LIKE 'MX%' THEN 'MX'
+            WHEN site_id = 'CL01' THEN 'CL' ELSE 'OTHER' END AS region,
           concat('2024 | ', month) AS period,
           if(population_size % 3 = 0, 'working', 'closed') AS status,
           population_size,
@@ -81,7 +85,9 @@ def _cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _address_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).selectExpr(
-        "site_id", "address_id", "l_partkey AS sku_id", "cast(l_quantity AS int) AS units",
+        "site_id", "address_id", f"{SKU} AS sku_id",
+        # Unknown in one zone of one area on one floor.
+        f"if(area = 'MZ' AND {ZONE} = 2 AND {FLOOR} = '12' AND l_linenumber = 1, null, cast(l_quantity AS int)) AS units",
         """if((l_orderkey + l_linenumber) % 211 = 0, 'n/a', concat(
              substring(cast(l_shipdate AS string), 9, 2), '/', substring(cast(l_shipdate AS string), 6, 2), '/',
              substring(cast(l_shipdate AS string), 1, 4), ' ', lpad(l_linenumber, 2, '0'), ':',
@@ -172,7 +178,7 @@ def numbers(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     """The dictionary of the addresses or SKUs of all lines."""
 
     def write(path: str) -> None:
-        values = _lines(spark, sf_dir).selectExpr("address_id", "l_partkey AS sku_id")
+        values = _lines(spark, sf_dir).selectExpr("address_id", f"{SKU} AS sku_id")
         sets.dictionary(values, column).write.parquet(path)
 
     return spark.read.parquet(_once(spark, sf_dir, f"{column}_numbers", write))

@@ -50,3 +50,18 @@ def differences(spark_df, con, sql: str, shown: int = 3) -> str | None:
         f"columns {sorted(names)}; rows {len(got)} against {len(want)}; "
         f"only Spark {list((left - right).items())[:shown]}; only SQL {list((right - left).items())[:shown]}"
     )
+
+
+def misplaced(spark_df, con, sql: str, keys: list[str]) -> str | None:
+    """Where the sort keys of the rows, in the order in which they come, part from those that SQL sorts them by.
+
+    ``keys`` are columns with a direction and a place for nulls; rows that tie on them may come in any order.
+    """
+    names = list(dict.fromkeys(key.split()[0] for key in keys))
+    got = [tuple(plain(row[name]) for name in names) for row in spark_df.collect()]
+    result = con.execute(f"SELECT {', '.join(names)} FROM ({sql}) ORDER BY {', '.join(keys)}").fetchall()
+    want = [tuple(map(plain, row)) for row in result]
+    first = next((i for i, pair in enumerate(zip(got, want)) if pair[0] != pair[1]), None)
+    if len(got) == len(want) and first is None:
+        return None
+    return f"{len(got)} rows against {len(want)}; first difference at {first}: {got[first]} against {want[first]}"

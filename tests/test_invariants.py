@@ -25,7 +25,7 @@ def test_shares_add_up(report, name, by, share):
 
 @pytest.mark.parametrize("name,running", [
     ("category_pareto", "running_share"), ("sku_hist20", "running_share"), ("spread_tail", "running_share"),
-    ("stock_floor_cumulative", "units_running"), ("mz_floor_cumulative", "skus_running"),
+    ("rest_floor_cumulative", "units_running"), ("mz_floor_cumulative", "skus_running"),
 ])
 def test_running_shares_end_at_one(report, name, running):
     assert report(name).agg(F.max(running)).collect()[0][0] == pytest.approx(1.0)
