@@ -180,3 +180,70 @@ COMMENTS = "<div id='comments' class='comments-area'><ol class='comment-list'><l
 ])
 def test_names_leave_out_whole_tokens_and_no_article(page, want):
     assert html_regions.extract(page) == want
+
+
+LONG = "Long paragraph of the text, with many words in it, and one more. "
+LINKS = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in "one two three four five six".split())
+
+
+def unnamed(page):
+    """The page with all elements that tell the article or its surroundings made divs without names."""
+    page = re.sub(r"<(/?)(?:article|main|section|nav|header|footer|aside)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r" (?:class|id|role)=('[^']*'|\"[^\"]*\")", "", page)
+
+
+def test_clusters_select_the_region():
+    """No element or name tells the article; ratios do, and a threshold that all lines pass gives another result."""
+    page = f"<html><body><div><ul>{LINKS}</ul></div><div><h2>T</h2><p>{LONG * 9}</p><p>short</p><p>{LONG * 9}</p></div><div><b>c</b> x</div></body></html>"
+    want = f"T\n\n{(LONG * 9).strip()}\n\nshort\n\n{(LONG * 9).strip()}"
+    assert html_regions.extract(page) == want
+    assert html_regions.extract(page.replace("<div><h2>", "<article><h2>").replace("</p></div>", "</p></article>")) == want
+    links = page.replace(LONG * 9, LONG * 2).replace(LINKS, LINKS * 20)
+    assert html_regions.extract(links, threshold=-1e9) != html_regions.extract(links)
+    lines = [html_regions.Line("x" * n, 1, 0, False) for n in (3, 4, 900, 5, 900, 800, 3, 2)]
+    assert html_regions.clusters(lines).tolist() == [False, False, True, False, True, True, False, False]
+    assert html_regions.clusters(lines, threshold=-1e9).all()
+
+
+def test_pages_without_article_elements_and_without_any_names(spark, sf_dir):
+    pages = [(r.html or "", html_regions.extract(r.html)) for r in read(spark, sf_dir, "pages").collect()]
+    renamed = [re.sub(r"<(/?)article", r"<\1div", html) for html, _ in pages]
+    assert [html_regions.extract(html) for html in renamed] == [text for _, text in pages]
+    found = [html_regions.extract(unnamed(html)) for html, _ in pages]
+    assert sum(a == text for a, (_, text) in zip(found, pages)) >= 0.75 * len(pages)
+    everything = [html_regions.extract(unnamed(html), threshold=-1e9) for html, _ in pages]
+    assert sum(a == text for a, (_, text) in zip(everything, pages)) < 0.1 * len(pages)
+
+
+def test_surroundings_of_the_region():
+    body = f"<p>{LONG * 3}</p>"
+    # A heading and a lead before the innermost container, within the one around it.
+    assert html_regions.extract(f"<div><ul>{LINKS}</ul></div><div><h1>T</h1><p>{LONG * 2}</p><div>{body * 6}</div></div>").startswith(f"T\n\n{(LONG * 2).strip()}\n\n")
+    # Two articles are both content, the line between them is not.
+    two = f"<body><article>{body}</article><div>x</div><article>{body}</article></body>"
+    assert html_regions.extract(two) == "\n\n".join([(LONG * 3).strip()] * 2)
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='menu'>{}</div>", "<div class='widget'>{}</div><h1>t</h1>", "<b>{}</i>", "<p>{}<div>", "<article>{}", "<table><tr><td>{}",
+])
+def test_nested_elements_cost_linear_time(page):
+    import time
+
+    first, last = page.split("{}")
+    spent = []
+    for n in (2000, 40_000):
+        start = time.process_time()
+        html_regions.extract(first * n + "x" + last * n)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 60 * spent[0] + 1
+
+
+def test_odd_pages(spark):
+    long = f"<article><p>{LONG * 20_000}</p></article>"
+    rows = [(1, "u", long, 0, "t"), (1, "u", long, 0, "t"), (None, None, None, 0, "t"), (2, "v", "", 0, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_regions.main_texts(pages).collect()), key=repr)
+    text = (LONG * 20_000).strip()
+    assert got == sorted([(1, "u", text, len(text))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=repr)
+    assert html_regions.main_texts(pages.limit(0)).collect() == []
