@@ -144,6 +144,16 @@ def test_odd_languages(spark):
     assert {r.lang_pred for r in language_zstd.identify(docs.where("lang IS NULL")).collect()} == {"und"}
 
 
+def test_redaction_of_any_column_names(spark):
+    rows = [(7, "mail a@b.cc now", "x", "y", "z", "k", 3), (7, None, "x", "y", "z", "k", 3)]
+    schema = "doc_id long, text string, base string, added string, all_spans string, row string, n_chars int"
+    docs = spark.createDataFrame(rows, schema)
+    got = pii_boosting.redact(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(7, "mail [email] now", "x", "y", "z", "k", 16), (7, None, "x", "y", "z", "k", None)], key=repr)
+    assert pii_boosting.redact(docs.limit(0)).collect() == []
+
+
 def test_article_of_pages(spark, sf_dir):
     import html
 
