@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Bytes of text that are worked on at once, and pieces whose numbers are kept between batches.
+# Bytes of text that are worked on at once, and the pieces, and characters of them, that are kept between batches.
 SLICE_BYTES = 4 << 20
 KEPT_PIECES = 600_000
+KEPT_CHARS = 12 << 20
 
 
 def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
@@ -63,17 +64,22 @@ def flattened(rows: list, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceTable:
-    """Remembers the numbers that stand for each piece; forgets all when ``limit`` pieces are held."""
+    """Remembers the numbers that stand for each piece; forgets all before ``limit`` pieces or ``chars`` of them are passed.
 
-    def __init__(self, work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = KEPT_PIECES):
-        self.work, self.dtype, self.limit = work, dtype, limit
+    What it holds is bounded by these and by one batch, however long pieces are.
+    """
+
+    def __init__(
+        self, work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = KEPT_PIECES, chars: int = KEPT_CHARS
+    ):
+        self.work, self.dtype, self.limit, self.chars = work, dtype, limit, chars
         self._clear()
 
     def _clear(self) -> None:
         self.places: dict[str, int] = {}
         self.flat = np.zeros(1 << 12, self.dtype)
         self.starts, self.lengths = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
     def _add(self, fresh: list[str]) -> None:
         values, lengths = self.work(fresh)
@@ -86,12 +92,13 @@ class PieceTable:
         self.starts[at : at + len(fresh)] = used + np.cumsum(lengths) - lengths
         self.flat[used : used + len(values)] = values
         self.used = used + len(values)
+        self.held += sum(map(len, fresh))
         self.places.update(zip(fresh, range(at, at + len(fresh))))
 
     def gather(self, codes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces in order, and how many each piece has."""
         fresh = [piece for piece in pieces if piece not in self.places]
-        if len(self.places) + len(fresh) > self.limit:
+        if len(self.places) + len(fresh) > self.limit or self.held + sum(map(len, fresh)) > self.chars:
             self._clear()
             fresh = pieces
         if fresh:

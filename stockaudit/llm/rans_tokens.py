@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -131,6 +133,18 @@ def unpack(block: bytes, table: Table, part: int | None = None) -> np.ndarray:
     return out
 
 
+# How tokens that end a word end, and words in one call of the library.
+WORD_END = "</w>"
+CALL_WORDS = 256
+
+
+def _taken_apart() -> list[int]:
+    """Code points that are no marks but have one when normalised."""
+    points = (n for n in range(sys.maxunicode + 1) if not 0xD800 <= n < 0xE000)
+    forms = ((n, unicodedata.normalize("NFC", chr(n))) for n in points)
+    return [n for n, form in forms if form != chr(n) and any(unicodedata.category(c)[0] == "M" for c in form)]
+
+
 class WordTokenizer:
     """A tokenizers file whose pre-tokenizer keeps words, runs of other signs and white space apart.
 
@@ -138,8 +152,9 @@ class WordTokenizer:
     begin short forms), marks that join a letter, or special tokens. Equal pieces are encoded once.
     """
 
-    # Apostrophe, marks, the capital whose small form has a mark, and how special tokens begin.
-    JOINED = r"['\pM\x{130}]|<\|"
+    # Apostrophe, marks, letters that normalising takes apart into letter and mark, the capital whose small form has a
+    # mark, and how special tokens begin.
+    JOINED = "['\\pM\u0130" + "".join(map(chr, _taken_apart())) + "]|<\\|"
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,13 +162,44 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.table = arrowtext.PieceTable(self._encode, np.uint32)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith(WORD_END)]] = True
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # Ids of distinct pieces, by the library; it holds much for each piece, so a few at a time.
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece, by the library; it holds much for each one, so a few at a time."""
         found: list[list[int]] = []
         for at in range(0, len(pieces), 4096):
             found += [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
-        return arrowtext.flattened(found, np.uint32)
+        return found
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # A word's last id tells that the word ends, so many words can be one call and be told apart afterwards. Every
+        # piece has at least one such id: if there are as many ids as pieces, each has one.
+        words = [at for at, piece in enumerate(pieces) if piece.isalpha()]
+        alone = [at for at, piece in enumerate(pieces) if not piece.isalpha()]
+        calls = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
+        lengths = np.zeros(len(pieces), np.int64)
+        told: list[list[int]] = []
+        joined: list[np.ndarray] = []
+        for at in range(0, len(calls), 16):
+            some = calls[at : at + 16]
+            for places, ids in zip(some, self._ids([" ".join([pieces[p] for p in places]) for places in some])):
+                ids = np.array(ids, np.uint32)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(places) and cuts[-1] == len(ids):
+                    lengths[places] = np.diff(cuts, prepend=0)
+                    told.append(places)
+                    joined.append(ids)
+                else:
+                    alone += places
+        rest, rest_lengths = arrowtext.flattened(self._ids([pieces[at] for at in alone]), np.uint32)
+        lengths[alone] = rest_lengths
+        starts = np.cumsum(lengths) - lengths
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        for places, ids in [*zip(told, joined), (alone, rest)]:
+            flat[arrowtext.ragged(starts[places], lengths[places])] = ids
+        return flat, lengths
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text begins."""

@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from stockaudit.llm import queries, rans_tokens, sentencepiece_agenda as agenda
+from stockaudit.llm import arrowtext, queries, rans_tokens, sentencepiece_agenda as agenda
 from stockaudit.llm.tables import read
 
 PIECES = public_tokenizers.path(queries.PIECE_MODEL)
@@ -82,6 +82,40 @@ def test_tokens_as_the_library():
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
 
 
+def test_letters_that_normalising_takes_apart():
+    t = rans_tokens.tokenizer(WORDS)
+    apart = [chr(c) for c in (*range(0x958, 0x960), 0x9DC, 0x9DD, 0x9DF, 0xF43, 0xFB2A, 0x2ADC, 0x1D15E)]
+    assert {ord(c) for c in apart} <= set(rans_tokens._taken_apart())
+    letters = [*apart, "ड", "a", "B", "İ", "ß", "Å", "가", "ᄀ", "ᅡ", "Ω", "ﬁ", "ǅ", "९", "1", " ", " ", ",", ".", "-", "\n", "़", "́", "'", "豈"]
+    texts = ["\u095c,", *noise(letters, 30_000, 11)]
+    ids, starts = t.encode_batch(pa.array(texts, pa.large_string()))
+    want = [e.ids for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+
+
+def test_words_are_told_apart_in_one_call():
+    t = rans_tokens.WordTokenizer(WORDS)
+    pieces = ["a", "the", "İstanbul", "x" * 500, "naïve", "日本語", "don", "", "\n", "2024,", "é", "ﬁn", "<|endoftext|>", "ab\ncd", *noise("abcdeé", 3000, 4)]
+    flat, lengths = t._encode(pieces)
+    ends = np.cumsum(lengths)
+    assert [flat[b - n : b].tolist() for b, n in zip(ends, lengths)] == [e.ids for e in t.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    assert [len(x) for x in t._encode([])] == [0, 0]
+
+
+def test_piece_table_is_bounded():
+    seen = []
+
+    def work(pieces):
+        seen.append(len(pieces))
+        return np.arange(len(pieces)), np.ones(len(pieces), np.int64)
+
+    table = arrowtext.PieceTable(work, np.int64, limit=10, chars=50)
+    for batch in (["a" * 30], ["b" * 15], ["a" * 30], ["c" * 30], ["a" * 30, "d"], [f"{i}" for i in range(9)]):
+        values, lengths = table.gather(np.arange(len(batch)), batch)
+        assert lengths.tolist() == [1] * len(batch) and table.held <= 50 and len(table.places) <= 10
+    assert seen == [1, 1, 1, 2, 9]
+
+
 def test_files_read_back(spark, sf_dir):
     docs = sorted((r.doc_id, r.text or "") for r in read(spark, sf_dir, "documents").collect())
     found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.queries()["op5_rans_tokens"](spark, sf_dir).collect()}
