@@ -2,10 +2,11 @@
 
 A small network in numpy: the embeddings of the words in a window, weighted by their place, make a hidden
 vector; it predicts the class of the masked word in two steps, first the high and then the low part of its
-number. A class is a 1024th of all word hashes, so no word lacks one. Within its class a word has the
-probability of its share in all words of the class, counted over the whole corpus; these counts are a Spark
-table with a row per distinct word. A document's score is the sum of the log-probabilities of its words: of
-the class given the words around it, and of the word given its class.
+number. The ``OWN_CLASSES`` most frequent words are classes of their own; the others belong to classes by a hash of
+their last letters, which tell language and form. Within its class a word has the probability of its share in all
+words of the class, counted over the whole corpus; these counts are a Spark table with a row per distinct word. A
+document's score is the sum of the log-probabilities of its words: of the class given the words around it, and
+of the word given its class.
 
 Training sees every document once. In each round the tasks start from the same network, train on their own
 rows of that round, and send what they reached; Spark averages it, weighted by words.
@@ -14,9 +15,11 @@ rows of that round, and send what they reached; Spark averages it, weighted by w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from stockaudit.llm import arrowtext, words
@@ -24,6 +27,9 @@ from stockaudit.llm.tables import landed
 
 PARTS = 32
 VOCABULARY = PARTS * PARTS
+# Words with a class of their own, and letters at a word's end that tell the class of any other.
+OWN_CLASSES = VOCABULARY // 2
+LAST_LETTERS = 2
 REACH = 2
 WIDTH = 16
 ROUNDS = 2
@@ -66,10 +72,46 @@ def fresh() -> np.ndarray:
     return flat
 
 
-def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of all texts, and where each text begins."""
-    values, starts = words.hashed_words(texts)
-    return (values % np.uint64(VOCABULARY)).astype(np.int64), starts
+def identity(word: str) -> int:
+    """The number by which a word is counted: its hash, with the class of its last letters in the low bits."""
+    ending = OWN_CLASSES + xxhash.xxh3_64_intdigest(word[-LAST_LETTERS:]) % (VOCABULARY - OWN_CLASSES)
+    return xxhash.xxh3_64_intdigest(word) // VOCABULARY * VOCABULARY + ending
+
+
+def _classed(own: np.ndarray) -> arrowtext.PieceTable:
+    """Numbers of words whose low bits are their class: their place in ``own`` (identities), or that of their last letters."""
+    places = {int(word): place for place, word in enumerate(own)}
+
+    def work(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [identity(piece) for piece in pieces if piece]
+        found = [n if n not in places else n // VOCABULARY * VOCABULARY + places[n] for n in found]
+        return np.array(found, np.uint64), np.fromiter(map(bool, pieces), np.int64, len(pieces))
+
+    return arrowtext.PieceTable(work, np.uint64)
+
+
+_tables: dict[bytes, arrowtext.PieceTable] = {}
+NO_OWN = np.zeros(0, np.uint64)
+
+
+def table_of(own: np.ndarray) -> arrowtext.PieceTable:
+    """The table of a task's process; only the last two are kept."""
+    key = own.tobytes()
+    if key not in _tables:
+        for old in list(_tables)[:-1]:
+            del _tables[old]
+        _tables[key] = _classed(own)
+    return _tables[key]
+
+
+def class_of(values: np.ndarray) -> np.ndarray:
+    return (values % np.uint64(VOCABULARY)).astype(np.int64)
+
+
+def numbered(texts: pa.Array, own: np.ndarray = NO_OWN) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the words of all texts, and where each text begins."""
+    values, starts = words.hashed_words(texts, table_of(own))
+    return class_of(values), starts
 
 
 def windows(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -150,116 +192,136 @@ def train(flat: np.ndarray, slices: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return flat, seen
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _sliced(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in arrowtext.slices(batches, "text"):
-        ids, starts = numbered(arrowtext.text_of(batch, "text"))
+        ids, starts = numbered(arrowtext.text_of(batch, "text"), own)
         yield windows(ids, starts), ids
 
 
-def _trained(batches: Iterator[pa.RecordBatch], flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-    new, seen = train(flat, _sliced(batches))
+def _trained(batches: Iterator[pa.RecordBatch], flat: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    new, seen = train(flat, _sliced(batches, own))
     if seen:
         values = [pa.array(np.arange(SIZE + 1)), pa.array(np.append(new.astype(np.float64) * seen, float(seen)))]
         yield pa.RecordBatch.from_arrays(values, names=["place", "total"])
 
 
-def learn(docs: DataFrame) -> np.ndarray:
+@dataclass(frozen=True)
+class Model:
+    """A network, the identities of the words with a class of their own, and the landed counts of all words."""
+
+    flat: np.ndarray
+    own: np.ndarray
+    counts: DataFrame
+
+
+def own_classes(counts: DataFrame) -> np.ndarray:
+    """Identities of the most frequent words, of equally frequent ones those with the smaller identity."""
+    rows = counts.orderBy(F.desc("n"), "word").limit(OWN_CLASSES).collect()
+    return np.array([r.word for r in rows], np.int64).view(np.uint64)
+
+
+def learn(docs: DataFrame) -> Model:
     """A network trained on all words of all documents. Its fixed size bounds what reaches the driver."""
-    flat = fresh()
+    counts = word_counts(docs)
+    own, flat = own_classes(counts), fresh()
     for number in range(ROUNDS):
         rows = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
-        sums = rows.mapInArrow(lambda b, start=flat: _trained(b, start), "place long, total double").groupBy("place").agg(F.sum("total").alias("total"))
+        sums = rows.mapInArrow(lambda b, start=flat: _trained(b, start, own), "place long, total double").groupBy("place").agg(F.sum("total").alias("total"))
         total = np.zeros(SIZE + 1)
         for r in sums.collect():
             total[r.place] = r.total
         if total[SIZE]:
             flat = (total[:SIZE] / total[SIZE]).astype(np.float32)
-    return flat
+    return Model(flat, own, counts)
+
+
+# Distinct words of slices that a task holds before it adds up their counts.
+HELD_WORDS = 1 << 20
 
 
 def _words_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def added_up() -> pa.RecordBatch:
+        values, code = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+        n = np.bincount(code, np.concatenate([n for _, n in held]), len(values)).astype(np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["word", "n"])
+
     for batch in arrowtext.slices(batches, "text"):
-        values, n = np.unique(words.hashed_words(arrowtext.text_of(batch, "text"))[0].view(np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["word", "n"])
+        held.append(words.counted_words(arrowtext.text_of(batch, "text"), table_of(NO_OWN)))
+        if sum(len(v) for v, _ in held) >= HELD_WORDS:
+            yield added_up()
+    if held:
+        yield added_up()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n``: how often each word, by its hash, occurs in the corpus; landed."""
+    """``word, n``: how often each word, by its identity, occurs in the corpus; landed."""
     each = docs.select("text").mapInArrow(_words_counted, "word long, n long")
     return landed(each.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
 
 
-def class_totals(counts: DataFrame) -> np.ndarray:
+def class_totals(counts: DataFrame, own: np.ndarray) -> np.ndarray:
     """Words in each class; as many numbers as classes reach the driver."""
-    # A hash is unsigned; the classes are a power of two, so its last bits tell the class.
+    # The classes are a power of two, so the last bits of an identity tell the class of the last letters.
     rows = counts.groupBy(F.col("word").bitwiseAND(F.lit(VOCABULARY - 1)).alias("class")).agg(F.sum("n").alias("n")).collect()
     out = np.zeros(VOCABULARY)
     for r in rows:
         out[r["class"]] = r.n
+    signed = own.view(np.int64).tolist()
+    places = {word: place for place, word in enumerate(signed)}
+    for r in counts.where(F.col("word").isin(signed)).collect() if signed else []:
+        out[places[r.word]] = r.n
+        out[r.word & (VOCABULARY - 1)] -= r.n
     return out
 
 
-def _scored_words(batches: Iterator[pa.RecordBatch], flat: np.ndarray, totals: np.ndarray, known: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums without the counts of rare words, whose hashes and -log of their class's words go along."""
-    p = views(flat)
+def _scored_words(batches: Iterator[pa.RecordBatch], flat: np.ndarray, own: np.ndarray, totals: np.ndarray, known: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums without the counts of rare words, whose identities and -log of their class's words go along."""
+    p, table = views(flat), table_of(own)
     log_totals = np.log(np.maximum(totals, 1))
+    # A word with a class of its own is all of its class.
+    log_totals[:OWN_CLASSES] = 0
     for batch in arrowtext.slices(batches, "text"):
-        values, starts = words.hashed_words(arrowtext.text_of(batch, "text"))
-        ids = (values % np.uint64(VOCABULARY)).astype(np.int64)
+        values, starts = words.hashed_words(arrowtext.text_of(batch, "text"), table)
+        ids = class_of(values)
         near = windows(ids, starts)
         each = [log_probabilities(p, near[:, at : at + BATCH], ids[at : at + BATCH]) for at in range(0, len(ids), BATCH)]
         each = np.concatenate(each, dtype=np.float64) if each else np.zeros(0)
-        signed = values.view(np.int64)
+        each -= log_totals[ids]
+        others = np.flatnonzero(ids >= OWN_CLASSES)
+        signed = values.view(np.int64)[others]
         at = np.minimum(np.searchsorted(known, signed), max(0, len(known) - 1))
         frequent = known[at] == signed if len(known) else np.zeros(len(signed), bool)
-        each -= log_totals[ids]
-        each[frequent] += shares[at[frequent]]
+        each[others[frequent]] += shares[at[frequent]]
+        rare = np.zeros(len(ids), bool)
+        rare[others[~frequent]] = True
         running = np.concatenate(([0.0], np.cumsum(each)))
-        rare = np.concatenate(([0], np.cumsum(~frequent)))[starts]
-        lists = pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(signed[~frequent]))
+        cuts = np.concatenate(([0], np.cumsum(rare)))[starts]
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(signed[~frequent]))
         columns = [batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.array(running[starts[1:]] - running[starts[:-1]]), lists]
         yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "sum", "rare"])
 
 
-def score_words(docs: DataFrame, flat: np.ndarray) -> DataFrame:
-    """As ``score``, but of the words themselves and not of their classes, with counts over all of ``docs``.
+def score_words(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_tokens, log_prob, mean_log_prob`` of each row; ``model`` has learned from the same ``docs``.
 
     Frequent words, a bounded number, are counted where they are met; the rare ones are joined to the table
-    of counts, in which none of them has many rows.
+    of counts, in which none of them has many rows. Null text is empty; without a word the sum is 0 and the mean
+    null. Equal texts score alike; repeated rows and null ids stay, other columns have no part.
     """
-    counts = word_counts(docs)
-    totals = class_totals(counts)
+    flat, own, counts = model.flat, model.own, model.counts
+    totals = class_totals(counts, own)
     bound = totals.sum() * FREQUENT_SHARE
     held = counts.where(F.col("n") >= bound).toArrow().sort_by("word")
     known, shares = held["word"].to_numpy(), np.log(held["n"].to_numpy().astype(np.float64))
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     fields = "row long, doc_id long, n_tokens long, sum double, rare array<long>"
-    found = landed(rows.mapInArrow(lambda b: _scored_words(b, flat, totals, known, shares), fields), "scored")
+    found = landed(rows.mapInArrow(lambda b: _scored_words(b, flat, own, totals, known, shares), fields), "scored")
     rare = found.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     rare = rare.join(counts.where(F.col("n") < bound), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
     out = found.drop("rare").join(rare, "row", "left")
     total = F.col("sum") + F.coalesce("more", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
     return out.select("doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))
-
-
-def _scored(batches: Iterator[pa.RecordBatch], flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-    p = views(flat)
-    for batch in arrowtext.slices(batches, "text"):
-        ids, starts = numbered(arrowtext.text_of(batch, "text"))
-        near = windows(ids, starts)
-        each = [log_probabilities(p, near[:, at : at + BATCH], ids[at : at + BATCH]) for at in range(0, len(ids), BATCH)]
-        running = np.concatenate(([0.0], np.cumsum(np.concatenate(each, dtype=np.float64)) if each else []))
-        total = running[starts[1:]] - running[starts[:-1]]
-        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.array(total)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "log_prob"])
-
-
-def score(docs: DataFrame, flat: np.ndarray) -> DataFrame:
-    """``doc_id, n_tokens, log_prob, mean_log_prob`` of each row, of the classes of its words.
-
-    Null text is empty; without a word the sum is 0 and the mean null. Equal texts score alike.
-    """
-    found = docs.select("doc_id", "text").mapInArrow(lambda b: _scored(b, flat), "doc_id long, n_tokens long, log_prob double")
-    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
-    return found.withColumn("mean_log_prob", mean)

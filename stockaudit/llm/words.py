@@ -31,13 +31,23 @@ def _hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _table = arrowtext.PieceTable(_hashes, np.uint64)
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text begins (and the last one ends)."""
+def hashed_words(texts: pa.Array, table: arrowtext.PieceTable = _table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text begins (and the last one ends).
+
+    Another ``table`` may stand for each word by another number; it gives none for the empty piece.
+    """
     codes, offsets, pieces = arrowtext.pieces_of(_spaced(texts))
-    values, lengths = _table.gather(codes, pieces)
+    values, lengths = table.gather(codes, pieces)
     return values, arrowtext.bounds(offsets, lengths)
 
 
+def counted_words(texts: pa.Array, table: arrowtext.PieceTable = _table) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the distinct words of all texts together, and how often each one occurs."""
+    codes, _, pieces = arrowtext.pieces_of(_spaced(texts))
+    values, lengths = table.gather(np.arange(len(pieces)), pieces)
+    return values, np.bincount(codes, minlength=len(pieces))[lengths > 0]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

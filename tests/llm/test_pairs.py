@@ -2,10 +2,12 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stockaudit.llm import masked_lm, prefix_forest, queries, string_tiling, weighted_minhash, words
@@ -181,41 +183,71 @@ def test_gradient():
     assert np.exp(one).sum() == pytest.approx(1.0, abs=1e-5)
 
 
-def test_scores(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    flat = masked_lm.learn(docs)
-    rows = {r.doc_id: r for r in masked_lm.score(docs, flat).collect()}
-    for r in docs.limit(40).collect():
-        ids, starts = masked_lm.numbered(pa.array([r.text or ""], pa.large_string()))
-        want = masked_lm.log_probabilities(masked_lm.views(flat), masked_lm.windows(ids, starts), ids).sum()
-        assert rows[r.doc_id].n_tokens == len(ids) and rows[r.doc_id].log_prob == pytest.approx(float(want), rel=1e-3, abs=1e-3)
-    untrained = masked_lm.score(docs, masked_lm.fresh()).agg({"log_prob": "sum"}).first()[0]
-    assert sum(r.log_prob for r in rows.values()) > untrained
-    odd = spark.createDataFrame([(1, None), (1, "!"), (None, "a")], "doc_id long, text string")
-    assert sorted((r.n_tokens, r.mean_log_prob is None) for r in masked_lm.score(odd, flat).collect()) == [(0, True), (0, True), (1, False)]
+def brute_scores(model, texts):
+    """Sum over the words of log P(class | around) and log of the word's share in its class, word by word."""
+    own = {int(n): place for place, n in enumerate(model.own)}
+    split = [words.words(t or "") for t in texts]
+    counts = Counter(w for doc in split for w in doc)
+    place = {w: own.get(masked_lm.identity(w), masked_lm.identity(w) % masked_lm.VOCABULARY) for w in counts}
+    totals = Counter()
+    for w, n in counts.items():
+        totals[place[w]] += n
+    p, out = masked_lm.views(model.flat.astype(np.float64)), []
+    border = [masked_lm.VOCABULARY] * masked_lm.REACH
+    for doc in split:
+        ids = border + [place[w] for w in doc] + border
+        total = 0.0
+        for at, w in enumerate(doc, start=masked_lm.REACH):
+            h = p["hidden"].copy()
+            for k, offset in enumerate(o for o in range(-masked_lm.REACH, masked_lm.REACH + 1) if o):
+                h += p["words"][ids[at + offset]] * p["places"][k]
+            h = np.tanh(h)
+            high, low = divmod(place[w], masked_lm.PARTS)
+            first = h @ p["high"] + p["high_bias"]
+            second = np.tanh(h + p["given"][high]) @ p["low"] + p["low_bias"][high]
+            total += first[high] - np.log(np.exp(first).sum()) + second[low] - np.log(np.exp(second).sum())
+            total += np.log(counts[w] / totals[place[w]])
+        out.append((len(doc), total))
+    return out
 
 
 @pytest.mark.parametrize("share", [masked_lm.FREQUENT_SHARE, 0.01, 2.0])
-def test_words_are_scored_and_not_their_classes(spark, sf_dir, tmp_path, monkeypatch, share):
+def test_scores_against_brute_force(spark, monkeypatch, share):
     monkeypatch.setattr(masked_lm, "FREQUENT_SHARE", share)
-    number = lambda w: int(masked_lm.numbered(pa.array([w], pa.large_string()))[0][0])
-    twin = next(w for w in (f"zq{i}x" for i in range(100_000)) if number(w) == number("the"))
-    common = "and the dog saw the cat by the river"
-    texts = [common] * 30 + [common.replace("the", twin), None, "!"]
-    folder = tmp_path / "documents.parquet"
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    docs.write.parquet(str(folder))
-    rows = {r.doc_id: r for r in queries.queries()["op2_masked_lm"](spark, str(tmp_path)).collect()}
-    flat = masked_lm.learn(read(spark, str(tmp_path), "documents"))
-    plain = {r.doc_id: r for r in masked_lm.score(docs, flat).collect()}
-    every = [w for t in texts for w in words.words(t or "")]
-    in_class = {}
-    for w in every:
-        in_class[number(w)] = in_class.get(number(w), 0) + 1
-    assert len(rows) == len(texts) and rows[30].log_prob < rows[0].log_prob - 9
-    for d, t in enumerate(texts):
-        more = sum(np.log(every.count(w) / in_class[number(w)]) for w in words.words(t or ""))
-        assert rows[d].n_tokens == plain[d].n_tokens and rows[d].log_prob == pytest.approx(plain[d].log_prob + more, rel=1e-3, abs=1e-3)
+    draw = random.Random(3)
+    syllables = ["ka", "tor", "in", "el", "mo", "ß", "né", "7", "zu"]
+    some = ["".join(draw.choices(syllables, k=draw.randint(1, 5))) for _ in range(3000)]
+    texts = [" ".join(draw.choice(some) for _ in range(draw.randint(0, 60))) for _ in range(120)] + [None, "", "!", "Ka ka, KA"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit("x")).repartition(3)
+    model = masked_lm.learn(docs)
+    assert len(model.own) == masked_lm.OWN_CLASSES and len(set(some)) > masked_lm.OWN_CLASSES
+    rows = {r.doc_id: r for r in masked_lm.score_words(docs, model).collect()}
+    for doc, (n, total) in enumerate(brute_scores(model, texts)):
+        assert rows[doc].n_tokens == n and rows[doc].log_prob == pytest.approx(total, rel=1e-4, abs=1e-3)
+        assert (rows[doc].mean_log_prob is None) == (n == 0)
+
+
+def test_scores_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a " * 200_000), (2, None)], "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.n_tokens) for r in masked_lm.score_words(docs, masked_lm.learn(docs)).collect()), key=repr)
+    assert rows == sorted([(1, 2), (1, 2), (None, 200_000), (2, 0)], key=repr)
+    none = docs.limit(0)
+    assert masked_lm.score_words(none, masked_lm.learn(none)).collect() == []
+
+
+def test_words_around_tell_more_than_counts(spark):
+    """Held-out words, with the counts of the training documents: better by a third of a nat than their frequencies."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(3000).collect()]
+    split = [words.words(t) for t in texts]
+    learned, held = split[:2400], split[2400:]
+    counts = Counter(w for doc in learned for w in doc)
+    own = np.array([masked_lm.identity(w) for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: masked_lm.OWN_CLASSES]], np.uint64)
+    ids, starts = masked_lm.numbered(pa.array([" ".join(d) for d in learned], pa.large_string()), own)
+    flat, _ = masked_lm.train(masked_lm.fresh(), iter([(masked_lm.windows(ids, starts), ids)]))
+    tested, cuts = masked_lm.numbered(pa.array([" ".join(d) for d in held], pa.large_string()), own)
+    context = masked_lm.log_probabilities(masked_lm.views(flat), masked_lm.windows(tested, cuts), tested).mean()
+    plain = np.log((np.bincount(ids, minlength=masked_lm.VOCABULARY) + 0.5) / (len(ids) + masked_lm.VOCABULARY / 2))[tested].mean()
+    assert context > plain + 0.3
 
 
 def test_pipeline(spark, sf_dir):
