@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockaudit.session import ensure_checkpoint_dir
+from stockaudit.session import delete_at_end, ensure_checkpoint_dir
+
+# Folders landed since the last chain of steps began.
+_landed: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +23,54 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}/{name}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back, its lineage cut."""
-    path = fresh_folder(df.sparkSession, name)
+    """``df`` written as Parquet to the shared folder and read back, its lineage cut.
+
+    The folder goes when the application ends, or earlier by ``forget`` or ``reclaim``.
+    """
+    spark = df.sparkSession
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = path.rsplit("/", 1)[0]
+    delete_at_end(spark, folder)
+    _landed.append(folder)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._landed_folder = folder
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``landed`` has returned; nothing that still has to be computed may read them."""
+    for table in tables:
+        _delete(table.sparkSession, table._landed_folder)
+        if table._landed_folder in _landed:
+            _landed.remove(table._landed_folder)
+
+
+def begin_chain() -> None:
+    """From here on, what is landed belongs to a chain of steps whose results are written one after the other."""
+    _landed.clear()
+
+
+def reclaim(docs: DataFrame) -> None:
+    """Delete what earlier steps of the chain have landed, if ``docs``, the input of the next one, does not read it.
+
+    Spark is told to drop the shuffles that nothing refers to any more.
+    """
+    read_now = docs.inputFiles()
+    for folder in list(_landed):
+        # Its last part is unique; Spark may write the rest in another way.
+        if not any(folder.rsplit("/", 1)[1] in file for file in read_now):
+            _delete(docs.sparkSession, folder)
+            _landed.remove(folder)
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
 
 
 def free_name(columns: list[str], base: str) -> str:

@@ -11,11 +11,12 @@ keeps copies linked whose shared shingles are frequent just because there are so
 
 Leaders avoid comparing most pairs of a bucket. In the first round every member is compared with a random
 one of its bucket; buckets that still span several classes are led by the member with most links in the
-second. Of what then still spans several classes, every pair of different classes is compared that was not
-yet: members outside a bucket's largest class with each other and with that class, in blocks of two parts of
-bounded size, so that a text is sent and hashed once a block and not once a pair. Only pairs whose size and
-sampled agreement allow 0.8 are compared. So classes are those of all pairs that share a band; this last step
-grows with the square of a group whose members are alike but not linked.
+second. Of what then still spans several classes, every pair of different classes is compared: members outside
+a bucket's largest class with each other and with that class, in blocks of two parts of bounded size. A block's
+pairs are one list, and its texts are sent and hashed once a block and not once a pair; the leaders' pairs are
+dealt to blocks likewise. Only pairs whose size and sampled agreement allow 0.8 are compared. So classes are
+those of all pairs that share a band; in this last step a row is sent once for each part outside its bucket's
+largest class.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stockaudit.llm import arrowtext, words
-from stockaudit.llm.tables import landed
-from stockaudit.operators.joins import stored
+from stockaudit.llm.tables import forget, landed
+from stockaudit.operators.joins import BROADCAST_ROWS, filter_words, may_be_in, membership_filter, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -45,7 +46,7 @@ LEAST_WEIGHT = 0.9
 LEAST_AGREEMENT = 13
 LEADER_ROUNDS = 2
 # Texts in a part of a bucket on average, and the weight (about the number of shingles) of all its texts.
-PART_ROWS = 64
+PART_ROWS = 256
 PART_WEIGHT = 1 << 19
 # Which half of a block's two parts a row is in, or that the block is one part, compared with itself.
 LEFT, RIGHT, WITHIN = 0, 1, 2
@@ -53,6 +54,7 @@ _PAIRS_AT_ONCE = 1 << 16
 
 SIGNED = "key_high long, key_low long, weight double, agreement long, bands array<long>"
 CARRIED = "c_"
+PAIR_LISTS = "block long, pairs array<struct<lead: long, row: long>>"
 
 
 def shingles(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,39 +188,12 @@ def _signed(batches: Iterator[pa.RecordBatch], inverse: np.ndarray) -> Iterator[
         )
 
 
-def _compared(batches: Iterator[pa.RecordBatch], inverse: np.ndarray) -> Iterator[pa.RecordBatch]:
-    last, leader = None, None
-    for batch in batches:
-        for part in arrowtext.slices([batch], "text"):
-            values, starts = words.hashed_words(arrowtext.text_of(part, "text"))
-            leads, lead_texts = part.column("lead").to_pylist(), part.column("lead_text")
-            out = []
-            for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
-                if leads[i] != last:
-                    own, _ = words.hashed_words(arrowtext.text_of(part.slice(i, 1), "lead_text"))
-                    hashes, counts = shingles(own)
-                    last, leader = leads[i], (hashes, weights(hashes, counts, inverse))
-                hashes, counts = shingles(values[a:b])
-                out.append(similarity(leader, (hashes, weights(hashes, counts, inverse))))
-            yield pa.RecordBatch.from_arrays([part.column("lead"), part.column("row"), pa.array(out, pa.float64())], names=["lead", "row", "similarity"])
-
-
 def _agree(a: Column, b: Column) -> Column:
     """Samples whose two bits are the same."""
     odd = a.bitwiseXOR(b)
     return SAMPLES - F.bit_count((odd.bitwiseOR(F.shiftright(odd, 1))).bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def linked(pairs: DataFrame, signed: DataFrame, inverse: np.ndarray) -> DataFrame:
-    """The pairs ``lead, row`` whose whole texts are similar enough. Skewed leaders are split by adaptive execution."""
-    texts = signed.select("row", F.col(f"{CARRIED}text").alias("text"))
-    with_row = pairs.join(texts, "row")
-    leads = texts.select(F.col("row").alias("lead"), F.col("text").alias("lead_text"))
-    both = with_row.join(leads, "lead").sortWithinPartitions("lead")
-    found = both.mapInArrow(lambda b: _compared(b, inverse), "lead long, row long, similarity double")
-    return found.where(F.col("similarity") >= SIMILARITY).select("lead", "row")
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of one block after the other; they lie together."""
     held: list[pa.RecordBatch] = []
@@ -240,12 +215,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in each block that size and samples allow, in the first band they share."""
-    out: list[np.ndarray] = []
-
-    def packed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=["block", "lead", "row"])
-
+    """For each block the list of its pairs of different classes that size and samples allow, in the first band they share."""
     for table in _grouped(batches):
         row, label, side, weight = (table.column(c).to_numpy() for c in ("row", "label", "side", "weight"))
         agreement = table.column("agreement").to_numpy().view(np.uint64)
@@ -263,13 +233,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(a):
             keep = (bands[a] == bands[b]).argmax(axis=1) == table.column("band")[0].as_py()
             a, b = row[a[keep]], row[b[keep]]
-            if len(a):
-                out.append(np.stack([np.full(len(a), table.column("block")[0].as_py()), np.minimum(a, b), np.maximum(a, b)]))
-        if sum(x.shape[1] for x in out) >= _PAIRS_AT_ONCE:
-            yield packed()
-            out = []
-    if out:
-        yield packed()
+        if len(a):
+            pairs = pa.StructArray.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["lead", "row"])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([table.column("block").combine_chunks().slice(0, 1), lists], names=["block", "pairs"])
 
 
 def similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -301,7 +268,7 @@ def _checked(batches: Iterator[pa.RecordBatch], inverse: np.ndarray) -> Iterator
 
 
 def open_pairs(state: DataFrame, texts: DataFrame) -> DataFrame:
-    """``block, lead, row``: each pair of texts of one bucket and different classes that may be similar, once.
+    """``block, pairs``: each pair of texts of one bucket and different classes that may be similar, once.
 
     A bucket's members in and outside its largest class are dealt into parts by a hash. Every part outside
     meets every part, itself among them; a block holds the rows of two parts, or of one.
@@ -329,16 +296,28 @@ def open_pairs(state: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = dealt.select(
         F.xxhash64("bucket", "b.inside", "b.a", "b.b").alias("block"), "b.side", "band", "row", "label", "weight", "agreement", "bands"
     )
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates, "block long, lead long, row long")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates, PAIR_LISTS)
 
 
-def linked_in_blocks(pairs: DataFrame, signed: DataFrame, inverse: np.ndarray) -> DataFrame:
-    """The pairs ``lead, row`` whose whole texts are similar enough; a block gets each of its texts once."""
-    lists = pairs.groupBy("block").agg(F.collect_list(F.struct("lead", "row")).alias("pairs"))
-    needed = pairs.select("block", F.col("lead").alias("row")).union(pairs.select("block", "row")).distinct()
-    needed = needed.join(signed.select("row", F.col(f"{CARRIED}text").alias("text")), "row")
-    both = needed.select("block", "row", "text").unionByName(lists, allowMissingColumns=True)
-    return both.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _checked(b, inverse), "lead long, row long")
+def linked(lists: DataFrame, signed: DataFrame, inverse: np.ndarray) -> DataFrame:
+    """The pairs ``lead, row`` of each block's list whose whole texts are similar enough; a block gets each of its texts once.
+
+    Texts that no block needs stay where they are: few needed rows are sent to all texts, many pass a filter over them.
+    """
+    listed = F.array_distinct(F.concat(F.transform("pairs", lambda p: p["lead"]), F.transform("pairs", lambda p: p["row"])))
+    needed = landed(lists.select("block", F.explode(listed).alias("row")), "needed")
+    texts = signed.select("row", F.col(f"{CARRIED}text").alias("text"))
+    size = needed.count()
+    if size <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(needed), "row")
+    else:
+        bits = filter_words(size)
+        texts = texts.where(may_be_in(F.col("row"), membership_filter(needed.select("row"), bits), bits)).join(needed, "row")
+    both = texts.select("block", "row", "text").unionByName(lists, allowMissingColumns=True)
+    sent = both.repartition("block").sortWithinPartitions("block")
+    found = landed(sent.mapInArrow(lambda b: _checked(b, inverse), "lead long, row long"), "links")
+    forget(needed)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -391,27 +370,35 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for _ in range(LEADER_ROUNDS):
         # Before there are links the draw alone decides.
         order = F.struct(F.col("degree"), F.xxhash64("row", "bucket").alias("draw"), "row", "label", "weight", "agreement")
-        state = stored(placed())
+        state = landed(placed(), "state")
         spread = state.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") != F.col("b"))
-        leads = state.groupBy("bucket").agg(F.max(order).alias("lead")).join(spread.select("bucket"), "bucket", "left_semi")
-        mine = stored(leads.select("bucket", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("row", "label", "weight", "agreement")]))
+        leads = state.groupBy("bucket").agg(F.max(order).alias("lead"), F.count("*").alias("n")).join(spread.select("bucket"), "bucket", "left_semi")
+        mine = stored(leads.select("bucket", "n", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("row", "label", "weight", "agreement")]))
         near = (
             (F.col("label") != F.col("lead_label"))
             & (F.least("weight", "lead_weight") >= SIMILARITY * F.greatest("weight", "lead_weight") - 1e-6)
             & (_agree(F.col("agreement"), F.col("lead_agreement")) >= LEAST_AGREEMENT)
         )
-        pairs = state.join(mine, "bucket").where(near).select(F.least("lead_row", "row").alias("lead"), F.greatest("lead_row", "row").alias("row")).distinct()
+        # A bucket's members meet their leader in parts.
+        part = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / PART_ROWS))
+        pairs = state.join(mine, "bucket").where(near).select(
+            F.least("lead_row", "row").alias("lead"), F.greatest("lead_row", "row").alias("row"), F.xxhash64("lead_row", part).alias("block")
+        )
+        pairs = pairs.groupBy("lead", "row").agg(F.min("block").alias("block"))
         if tested is not None:
             pairs = pairs.join(tested, ["lead", "row"], "left_anti")
-        pairs = stored(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        fresh = stored(linked(pairs, signed, inverse))
+        pairs = landed(pairs, "pairs")
+        tested = pairs.select("lead", "row")
+        fresh = linked(pairs.groupBy("block").agg(F.collect_list(F.struct("lead", "row")).alias("pairs")), signed, inverse)
         links = fresh if links is None else links.union(fresh)
         labels = components(links)
         degrees = stored(links.select("lead").union(links.select("row")).groupBy(F.col("lead").alias("row")).agg(F.count("*").alias("degree")))
-    rest = landed(open_pairs(stored(placed()), texts).join(tested, ["lead", "row"], "left_anti"), "rest")
-    links = links.union(stored(linked_in_blocks(rest, signed, inverse)))
+        forget(state)
+    state = landed(placed(), "state")
+    rest = landed(open_pairs(state, texts), "rest")
+    links = links.union(linked(rest, signed, inverse))
     labels = components(links)
+    forget(state, rest, members)
     owners = firsts.join(labels, "row", "left")
     return signed, owners.select(*key, F.coalesce("label", "row").alias("class_row"))
 
