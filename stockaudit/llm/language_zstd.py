@@ -2,12 +2,14 @@
 
 Each language has a raw-content zstandard dictionary of sample text. A text is reduced to lower-case
 letters and single spaces, cut into segments, and every segment of the whole text is compressed with each
-dictionary; the smallest total wins. The margin to the second decides whether the text is rejected.
+dictionary; the smallest total wins. A text is rejected if the margin to the second is narrow, or if it takes more
+bits a byte than texts of its length in any learned language do: then no dictionary fits it, and its margin is 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,10 +20,15 @@ from stockaudit.llm import arrowtext
 from stockaudit.llm.tables import free_name
 
 UNKNOWN = "und"
-# Bounds of the training sample: documents a language, characters of each, bytes of a dictionary.
+# Bounds of the training sample: documents a language for its dictionary and as many for the bounds of rejection,
+# characters of each, bytes of a dictionary, of which its documents have equal parts as far as they are long enough.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 16_384
 DICTIONARY_BYTES = 49_152
+# Lengths for which the bits that real text takes are learned, and how far above the most of them a text may be.
+# Shorter texts tell too little to be rejected so.
+LENGTHS = (128, 256, 512, 1024, 2048)
+ALLOWANCE = 1.15
 SEGMENT_BYTES = 4_096
 LEVEL = 7
 # Share by which the best total must be under the second.
@@ -34,32 +41,79 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def learn(docs: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each ``lang`` of the documents that are not held out.
+@dataclass(frozen=True)
+class Learned:
+    """A dictionary for each language, and the most bits a byte that real texts of each of ``LENGTHS`` take, if known."""
 
-    The sample is bounded: of each language the ``SAMPLE_DOCS`` documents with the smallest hash. Rows are
-    first thinned by that hash to a few times as many, so that no language is sorted whole.
+    dictionaries: dict[str, bytes]
+    bounds: tuple[float, ...] = ()
+
+
+def learn(docs: DataFrame) -> Learned:
+    """What the documents that are not held out tell of each ``lang``.
+
+    The sample is bounded: of each language the ``2 * SAMPLE_DOCS`` documents with the smallest hash, of which the even
+    ones make the dictionary and the odd ones the bounds. Rows are first thinned by that hash to a few times as many, so
+    that no language is sorted whole.
     """
     ready = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     counts = {r.lang: r["count"] for r in ready.groupBy("lang").count().collect()}
     if not counts:
-        return {}
+        return Learned({})
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * SAMPLE_DOCS / n))])
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 8 * SAMPLE_DOCS / n))])
     thin = ready.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")] * (1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     rows = (
         thin.select("lang", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text"), rank.alias("rank"))
-        .where(F.col("rank") <= SAMPLE_DOCS).collect()
+        .where(F.col("rank") <= 2 * SAMPLE_DOCS).collect()
     )
-    out = {}
+    out, others = {}, []
     for lang in sorted(counts):
         texts = [r.text for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.rank)]
-        words = letters(pa.array(texts, pa.large_string())).to_pylist() if texts else []
-        out[lang] = " ".join(words).encode()[:DICTIONARY_BYTES]
-    return out
+        plain = [x.encode() for x in letters(pa.array(texts, pa.large_string())).to_pylist()]
+        out[lang] = _dictionary(plain[::2])
+        others += plain[1::2]
+    return Learned(out, _bounds(others, _compressors(out)))
+
+
+def _dictionary(texts: list[bytes]) -> bytes:
+    """Equal parts of all texts, shorter ones whole."""
+    room, parts = DICTIONARY_BYTES, {}
+    for left, place in zip(range(len(texts), 0, -1), sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        parts[place] = texts[place][: max(0, room // left - 1)]
+        room -= len(parts[place]) + 1
+    return b" ".join(parts[i] for i in range(len(texts)))
+
+
+def _sizes(raw: bytes, compressors: list) -> list[int]:
+    # Segments end where they end: a split character is only a few odd bytes, the same for all.
+    parts = [raw[i : i + SEGMENT_BYTES] for i in range(0, len(raw), SEGMENT_BYTES)]
+    return [sum(len(c.compress(p)) for p in parts) for c in compressors]
+
+
+def _bounds(texts: list[bytes], compressors: list) -> tuple[float, ...]:
+    """For each of ``LENGTHS`` the most bits a byte that beginnings of that length take, with an allowance."""
+    out = []
+    for length in LENGTHS:
+        taken = [8 * min(_sizes(raw[:length], compressors)) / length for raw in texts if len(raw) >= length]
+        out.append(ALLOWANCE * max(taken) if taken else float("inf"))
+    return tuple(out)
+
+
+def _fits(raw: bytes, size: int, bounds: tuple[float, ...]) -> bool:
+    """Whether a text takes no more bits a byte than the bound for its length; between two lengths bits fall as 1 / length."""
+    n = len(raw)
+    if not bounds or n < LENGTHS[0]:
+        return True
+    at = sum(length <= n for length in LENGTHS) - 1
+    bound = bounds[at]
+    if at + 1 < len(LENGTHS) and bounds[at + 1] < bound:
+        a, b = LENGTHS[at], LENGTHS[at + 1]
+        bound = bounds[at + 1] + (bound - bounds[at + 1]) * (1 / n - 1 / b) / (1 / a - 1 / b)
+    return 8 * size <= bound * n
 
 
 def letters(texts: pa.Array) -> pa.Array:
@@ -77,31 +131,33 @@ def _compressors(dictionaries: dict[str, bytes]) -> list[zstandard.ZstdCompresso
     return out
 
 
-def judge(texts: pa.Array, langs: list[str], compressors: list) -> list[tuple[str, float]]:
-    """Language and margin of each whole text; without any letter, or with nothing learned, unknown and 0."""
+def judge(texts: pa.Array, langs: list[str], compressors: list, bounds: tuple[float, ...] = ()) -> list[tuple[str, float]]:
+    """Language and margin of each whole text; without any letter, or with nothing learned, unknown and 0.
+
+    The margin of a text that is none of the languages, by ``bounds``, is 0.
+    """
     out = []
     for raw in letters(texts).cast(pa.large_binary()).to_pylist():
         if not langs or not raw.strip():
             out.append((UNKNOWN, 0.0))
             continue
-        # Segments end where they end: a split character is only a few odd bytes, the same for all.
-        parts = [raw[i : i + SEGMENT_BYTES] for i in range(0, len(raw), SEGMENT_BYTES)]
-        sizes = [sum(len(c.compress(p)) for p in parts) for c in compressors]
+        sizes = _sizes(raw, compressors)
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min((s for i, s in enumerate(sizes) if i != best), default=None)
-        out.append((langs[best], 1.0 if second is None else 1.0 - sizes[best] / second))
+        margin = 1.0 if second is None else 1.0 - sizes[best] / second
+        out.append((langs[best], margin if _fits(raw, sizes[best], bounds) else 0.0))
     return out
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes], names: list[str]) -> Iterator[pa.RecordBatch]:
-    langs, compressors = list(dictionaries), _compressors(dictionaries)
+def _predicted(batches: Iterator[pa.RecordBatch], learned: Learned, names: list[str]) -> Iterator[pa.RecordBatch]:
+    langs, compressors = list(learned.dictionaries), _compressors(learned.dictionaries)
     for batch in arrowtext.slices(batches, "text"):
-        found = judge(arrowtext.text_of(batch, "text"), langs, compressors)
+        found = judge(arrowtext.text_of(batch, "text"), langs, compressors, learned.bounds)
         columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, learned: Learned, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its margin, 0 to 1; only ``text`` is looked at.
 
     Null and empty texts, and texts without a letter, get ``und`` and 0. Equal totals go to the first
@@ -109,7 +165,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], lang: str = "lang_p
     """
     fields = [*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]
     names = [f.name for f in fields]
-    return docs.mapInArrow(lambda b: _predicted(b, dictionaries, names), T.StructType(fields))
+    return docs.mapInArrow(lambda b: _predicted(b, learned, names), T.StructType(fields))
 
 
 def identify(docs: DataFrame) -> DataFrame:

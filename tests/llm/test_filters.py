@@ -1,6 +1,7 @@
 """Personal data, urls, languages and pages against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -144,6 +145,48 @@ def test_odd_languages(spark):
     assert {r.lang_pred for r in language_zstd.identify(docs.where("lang IS NULL")).collect()} == {"und"}
 
 
+def plain_language(text, learned):
+    """The language whose dictionary shortens the text most, worked out segment by segment without batches."""
+    import zstandard
+
+    raw = " ".join(re.findall(r"[^\W\d_]+", text.lower())) if text else ""
+    sizes = {}
+    for lang, content in learned.dictionaries.items():
+        kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made = zstandard.ZstdCompressor(level=language_zstd.LEVEL, dict_data=kept, write_content_size=False, write_checksum=False, write_dict_id=False)
+        data, step = raw.encode(), language_zstd.SEGMENT_BYTES
+        sizes[lang] = sum(len(made.compress(data[i : i + step])) for i in range(0, len(data), step))
+    return min(sizes, key=lambda k: (sizes[k], k)) if raw else "und"
+
+
+def test_languages_against_a_plain_version(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    learned = language_zstd.learn(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: r.lang_pred for r in language_zstd.identify(docs).collect()}
+    # Letters at the ends leave a space in batches, which may decide between near totals.
+    assert sum(found[k] == plain_language(t, learned) for k, t in texts.items()) >= 0.98 * len(texts)
+
+
+def test_noise_is_rejected_and_text_is_kept(spark):
+    draw = random.Random(2)
+    noise = [" ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(n)) for n in (30, 100, 400) for _ in range(60)]
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(noise)], "doc_id long, text string, lang string")
+    rows = language_zstd.identify(docs.unionByName(more)).collect()
+    assert sum(r.rejected for r in rows if r.doc_id >= 10**6) >= 0.98 * len(noise)
+    long = {r.doc_id for r in docs.where("lang IS NOT NULL AND length(text) > 200").collect()}
+    assert sum(not r.rejected for r in rows if r.doc_id in long) >= 0.99 * len(long)
+
+
+def test_odd_language_tables(spark):
+    schema = "doc_id long, text string, lang string, lang_pred string"
+    rows = [(1, "the cat " * 100_000, "en", "x"), (1, "the cat " * 100_000, "en", "x"), (None, None, None, "x"), (2, "", "de", "x")]
+    docs = spark.createDataFrame(rows, schema)
+    assert sorted((r.lang_pred for r in language_zstd.identify(docs).collect())) == ["en", "en", "und", "und"]
+    assert language_zstd.identify(docs.limit(0)).collect() == [] and language_zstd.keep_identified(docs.limit(0)).columns == docs.columns
+
+
 def test_redaction_of_any_column_names(spark):
     rows = [(7, "mail a@b.cc now", "x", "y", "z", "k", 3), (7, None, "x", "y", "z", "k", 3)]
     schema = "doc_id long, text string, base string, added string, all_spans string, row string, n_chars int"
