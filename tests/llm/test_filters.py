@@ -119,6 +119,28 @@ def test_odd_urls(spark):
     assert url_boosting.judge(pages.limit(0)).count() == 0
 
 
+def test_trees_judge_held_back_urls(spark):
+    """Ruled urls that are kept from learning: what the trees say of them, against their rules."""
+    judged = url_boosting.ruled(read(spark, "/root/testdata/sf0.1", "pages").dropDuplicates(["url"]))
+    kept_back = F.pmod(F.xxhash64("_u"), F.lit(4)) == 0
+    learned = url_boosting.learn(judged.where(~kept_back))
+    rows = url_boosting.scored(judged.where(kept_back & F.col("_verdict").isNotNull()), learned, "score").collect()
+    right = [(r.score > 0.5) == (r._verdict == "block") for r in rows]
+    assert len(rows) > 20 and sum(right) >= 0.9 * len(rows)
+
+
+def test_a_url_counts_once_in_what_is_learned(spark):
+    rows = [(i, f"http://a{i % 40}.net/x/{i}") for i in range(300)] + [(i, f"http://b{i % 40}.org/fr/{i}") for i in range(300)]
+    copies = [(1000 + i, "http://a1.net/x/1") for i in range(12_000)]
+    schema = "page_id long, url string"
+    once, many = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + copies, schema)
+    odd = spark.createDataFrame([(-i, f"http://{'a' if i % 2 else 'c'}{i}.{'net' if i % 3 else 'com'}/y?z={i}") for i in range(1, 40)], schema)
+    judged = [{r.page_id: r.block_score for r in url_boosting.judge(pages.unionByName(odd)).where("page_id < 0").collect()} for pages in (once, many)]
+    assert judged[0] == judged[1]
+    learned = url_boosting.learn(url_boosting.ruled(many))
+    assert learned.model is not None and learned.counts.agg(F.sum("n")).first()[0] == 3 * 600
+
+
 def test_entropy(spark):
     got = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "s string").select(url_boosting.entropy(F.col("s")).alias("e")).collect()
     assert [r.e for r in got] == pytest.approx([1.0, 0.0, 2.0])
