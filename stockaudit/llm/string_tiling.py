@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 Runs of ``MIN_TILE`` words are hashed by a rolling hash in documents and benchmark items and joined: shared
-runs are seeds. Seeds that follow each other in both texts make longer matches. For each document and item
-the longest match that is still free is marked as a tile, what a tile cuts off of other matches goes on as
+runs are seeds. Seeds that follow each other in both texts make longer matches, put together by windows over
+(document, item, distance of both places) before anything is listed. For each document and item the longest match that is still free is marked as a tile, what a tile cuts off of other matches goes on as
 a shorter match, and so on until none of ``MIN_TILE`` words is left. A document is contaminated by an item
 if its tiles cover enough of the item's words, in whatever order they stand.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stockaudit.llm import arrowtext, words
 from stockaudit.llm.tables import free_name, landed
@@ -46,19 +46,22 @@ def _seeds(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterat
         yield pa.RecordBatch.from_arrays(columns, names=["owner", "tag", "at", "hash", "words"])
 
 
-def tiles(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Tiles (place in the document, place in the item, words) from seed places, longest first.
+def matches_of(seeds: DataFrame) -> DataFrame:
+    """``owner, item_row, at, item_at, words``: seeds that follow each other in both texts as one match."""
+    diagonal = Window.partitionBy("owner", "item_row", "shift").orderBy("at")
+    placed = seeds.withColumn("shift", F.col("at") - F.col("item_at")).distinct()
+    runs = placed.withColumn("run", F.col("at") - F.row_number().over(diagonal))
+    found = runs.groupBy("owner", "item_row", "shift", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("seeds"))
+    length = (F.col("seeds") + (MIN_TILE - 1)).cast("int").alias("words")
+    return found.select("owner", "item_row", "at", (F.col("at") - F.col("shift")).alias("item_at"), length)
+
+
+def tiles(places: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Tiles (place in the document, place in the item, words) from maximal matches given likewise, longest first.
 
     Of equally long matches the one first in the document, then in the item, is marked first.
     """
-    by_diagonal = sorted({(d - i, d) for d, i in pairs})
-    matches: list[tuple[int, int, int]] = []
-    for k, (diagonal, d) in enumerate(by_diagonal):
-        if k and by_diagonal[k - 1] == (diagonal, d - 1):
-            first, start, length = matches[-1]
-            matches[-1] = (first - 1, start, length)
-        else:
-            matches.append((-MIN_TILE, d, d - diagonal))
+    matches = [(-length, d, i) for d, i, length in places]
     heapq.heapify(matches)
     marked_d: set[int] = set()
     marked_i: set[int] = set()
@@ -86,7 +89,7 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for row in batch.column("places"):
             places = row.values
-            found.append(tiles(zip(places.field("at").to_pylist(), places.field("item_at").to_pylist())))
+            found.append(tiles(zip(*[places.field(name).to_pylist() for name in ("at", "item_at", "words")])))
         covered = [sum(t[2] for t in f) for f in found]
         columns = [batch.column("owner"), batch.column("item_id"), pa.array(list(map(len, found)), pa.int32()), pa.array(covered, pa.int32())]
         yield pa.RecordBatch.from_arrays(columns, names=["owner", "item_id", "tiles", "covered"])
@@ -102,7 +105,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_seeds = landed(items.mapInArrow(lambda b: _seeds(b, None), SEEDS), "item_seeds")
     bucket = F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("bucket")
     bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[[r.bucket for r in item_seeds.select(bucket).distinct().collect()]] = True  # at most as many as there are bits
+    bits[item_seeds.select(bucket).distinct().toArrow()["bucket"].to_numpy()] = True  # at most as many as there are bits
     packed = np.packbits(bits)
 
     numbered = docs.select(
@@ -114,8 +117,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     doc_seeds = landed(_with_id(numbered, seeds_of), "doc_seeds")
     listed = size_checked(item_seeds.select("hash", F.col("owner").alias("item_row"), F.col("at").alias("item_at")))
-    shared = doc_seeds.select("owner", "hash", "at").join(listed, "hash")
-    grouped = shared.groupBy("owner", F.col("item_row").alias("item_id")).agg(F.collect_list(F.struct("at", "item_at")).alias("places"))
+    shared = doc_seeds.select("owner", "hash", "at").join(listed, "hash").select("owner", "item_row", "at", "item_at")
+    grouped = matches_of(shared).groupBy("owner", F.col("item_row").alias("item_id")).agg(F.collect_list(F.struct("at", "item_at", "words")).alias("places"))
     tiled = grouped.mapInArrow(_tiled, "owner long, item_id long, tiles int, covered int").withColumnRenamed("item_id", "item_row")
     names = size_checked(item_seeds.select(F.col("owner").alias("item_row"), F.col("tag").alias("item_id"), F.col("words").alias("item_words")).distinct())
     owners = doc_seeds.select("owner", "doc_id", F.col("tag").alias("text_key")).distinct()

@@ -105,17 +105,60 @@ def plain_tiles(doc, item, least):
         used_i.update(range(best[2], best[2] + best[0]))
 
 
+def seed_places(doc, item, n=string_tiling.MIN_TILE):
+    return {(d, i) for d in range(len(doc) - n + 1) for i in range(len(item) - n + 1) if doc[d : d + n] == item[i : i + n]}
+
+
+def plain_matches(seeds, n=string_tiling.MIN_TILE):
+    out = []
+    for d, i in sorted(s for s in seeds if (s[0] - 1, s[1] - 1) not in seeds):
+        length = n
+        while (d + length - n + 1, i + length - n + 1) in seeds:
+            length += 1
+        out.append((d, i, length))
+    return out
+
+
 def test_tiles_by_trying_all():
     draw = random.Random(2)
-    for _ in range(60):
+    for _ in range(150):
         doc, item = ([draw.choice("abc") for _ in range(draw.randint(0, 40))] for _ in range(2))
-        n = string_tiling.MIN_TILE
-        seeds = [(d, i) for d in range(len(doc) - n + 1) for i in range(len(item) - n + 1) if doc[d : d + n] == item[i : i + n]]
-        got = string_tiling.tiles(seeds)
-        want = plain_tiles(doc, item, n)
-        assert [t[2] for t in got][:1] == [t[0] for t in want][:1]
-        marked = [x for d, i, k in got for x in range(d, d + k)]
-        assert len(marked) == len(set(marked)) and all(doc[d : d + k] == item[i : i + k] for d, i, k in got)
+        got = string_tiling.tiles(plain_matches(seed_places(doc, item)))
+        assert [(k, d, i) for d, i, k in got] == plain_tiles(doc, item, string_tiling.MIN_TILE)
+
+
+def test_seeds_make_maximal_matches(spark):
+    draw = random.Random(5)
+    rows, want = [], []
+    for owner in range(12):
+        doc, item = ([draw.choice("ab") for _ in range(draw.randint(5, 25))] for _ in range(2))
+        seeds = seed_places(doc, item)
+        rows += [(owner, owner % 3, d, i) for d, i in seeds] * draw.choice([1, 2])
+        want += [(owner, owner % 3, *match) for match in plain_matches(seeds)]
+    seeds = spark.createDataFrame(rows, "owner long, item_row long, at int, item_at int").repartition(3)
+    assert sorted(map(tuple, string_tiling.matches_of(seeds).collect())) == sorted(want)
+
+
+def test_long_texts_and_odd_tables_of_items(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, "a b c d e f"), (3, "")], "item_id long, text string")
+    long = f"{item} x " * 4000
+    docs = spark.createDataFrame([(1, long), (1, long), (None, "z a b c d e f"), (4, None), (5, "w1 w2 w3 w4 w5")], "doc_id long, text string").selectExpr("*", "1 AS item_id")
+    found = sorted(((r.doc_id, r.item_id, r.tiles, r.covered) for r in string_tiling.contaminated(docs, bench).collect()), key=repr)
+    assert found == sorted([(1, 1, 1, 30)] * 4 + [(None, None, 1, 6)], key=repr)
+    assert sorted(r.doc_id for r in string_tiling.without(docs, bench).collect()) == [4, 5]
+    assert string_tiling.contaminated(docs.limit(0), bench).collect() == []
+
+
+def test_weights_change_a_class():
+    """Shared shingles that many documents hold weigh less, and a pair just above the bound falls below it."""
+    shared, rare = np.arange(805, dtype=np.uint64) << np.uint64(50), np.arange(2000, 2195, dtype=np.uint64) << np.uint64(50)
+    a, b = np.sort(shared), np.sort(np.concatenate((shared, rare)))
+    inverse = np.ones(weighted_minhash.FREQUENCY_BUCKETS, np.float32)
+    one = lambda h: (h, weighted_minhash.weights(h, np.ones(len(h)), inverse))
+    assert weighted_minhash.similarity(one(a), one(b)) >= weighted_minhash.SIMILARITY
+    inverse[weighted_minhash.bucket_of(shared)] = weighted_minhash.LEAST_WEIGHT
+    assert weighted_minhash.similarity(one(a), one(b)) < weighted_minhash.SIMILARITY
 
 
 def test_whole_items_are_found(spark, sf_dir):
