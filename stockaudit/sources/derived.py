@@ -10,6 +10,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -142,7 +143,9 @@ BUILDERS = {
 }
 
 _written: dict[tuple[str, str, str], str] = {}
-_writing = threading.RLock()
+# One lock a table, so that tables that do not need each other are written side by side.
+_locks: dict[tuple[str, str, str], threading.Lock] = {}
+_lending = threading.Lock()
 
 
 def land(df: DataFrame, path: str, partition_by: str | None, sort_by: str | None = None) -> None:
@@ -164,7 +167,9 @@ def land(df: DataFrame, path: str, partition_by: str | None, sort_by: str | None
 def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
     """The folder of a table that ``write`` fills on first use by this application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    with _writing:
+    with _lending:
+        lock = _locks.setdefault(key, threading.Lock())
+    with lock:
         if key not in _written:
             ensure_checkpoint_dir(spark)
             folder = f"{spark.sparkContext.getCheckpointDir()}/stockaudit-{uuid.uuid4().hex}"
@@ -198,6 +203,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_landed(spark, _once(spark, sf_dir, name, write), schema)
 
 
+def land_all(spark: SparkSession, sf_dir: str) -> None:
+    """Write all input tables that this application has not written yet, side by side; a table waits for those it reads."""
+    with ThreadPoolExecutor(len(BUILDERS)) as pool:
+        for done in [pool.submit(table, spark, sf_dir, name) for name in BUILDERS]:
+            done.result()
+
+
 def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A landed table in its declared column order; the schema spares a pass over the files."""
     return spark.read.schema(schema).parquet(path).select(*schema.names)
