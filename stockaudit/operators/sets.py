@@ -43,6 +43,11 @@ def numbered(df: DataFrame, numbers: Mapping[str, str]) -> DataFrame:
     return df
 
 
+def told_by(df: DataFrame, column: str, numbers: Mapping[str, str]) -> str:
+    """The column that tells the values of ``column`` apart: its number if ``df`` has one, which is shorter to shuffle."""
+    return numbers[column] if numbers[column] in df.columns else column
+
+
 def value_sets(df: DataFrame, keys: Sequence[str], number: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
     """``keys, bucket, bits``: the set of numbers of each group; ``sums`` are further aggregates of the same rows."""
     extra = [aggregate.alias(name) for name, aggregate in (sums or {}).items()]

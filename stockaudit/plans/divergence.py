@@ -30,7 +30,7 @@ from stockaudit.operators.aggregates import (
     weighted_count,
 )
 from stockaudit.operators.joins import attach
-from stockaudit.operators.sets import numbered, side_by_side, united, value_sets
+from stockaudit.operators.sets import numbered, side_by_side, told_by, united, value_sets
 from stockaudit.operators.windows import (
     cumulative_share,
     first_k,
@@ -128,12 +128,18 @@ def market_totals(detail: DataFrame) -> DataFrame:
     )
 
 
-def address_errors(detail: DataFrame, area: str | None = None, market: str | None = None) -> DataFrame:
+def _told_by(detail: DataFrame, column: str) -> str:
+    return told_by(detail, column, schemas.NUMBERS)
+
+
+def address_errors(
+    detail: DataFrame, area: str | None = None, market: str | None = None, address: str = "address_id"
+) -> DataFrame:
     """Distinct SKUs counted wrong and right per address, and their sum, the density.
 
     A SKU counted both ways counts twice; lines without a stated divergence leave a density of 0.
     The distinct shuffles on the whole row, so a hot address is spread out, and the second
-    step combines partial counts.
+    step combines partial counts. ``address`` is the column that names an address in the result.
     """
     lines = detail
     if area is not None:
@@ -142,9 +148,9 @@ def address_errors(detail: DataFrame, area: str | None = None, market: str | Non
         lines = lines.where(in_market(F.col("site_id"), market))
     outcome = flag(_stored() != 0, ERROR, MATCH).alias("outcome")
     addresses = (
-        lines.select("site_id", "address_id", outcome, "sku_id")
+        lines.select("site_id", address, outcome, _told_by(detail, "sku_id"))
         .distinct()
-        .groupBy("site_id", "address_id")
+        .groupBy("site_id", address)
         .agg(
             F.count(F.when(F.col("outcome") == ERROR, 1)).alias("error_skus"),
             F.count(F.when(F.col("outcome") == MATCH, 1)).alias("ok_skus"),
@@ -153,12 +159,17 @@ def address_errors(detail: DataFrame, area: str | None = None, market: str | Non
     return _with_market(addresses).withColumn("density", F.col("error_skus") + F.col("ok_skus"))
 
 
+def _addresses(detail: DataFrame, area: str, market: str | None = None) -> DataFrame:
+    """``address_errors`` for reports that count addresses and do not name them."""
+    return address_errors(detail, area, market, _told_by(detail, "address_id"))
+
+
 def density_frequency(
     detail: DataFrame, area: str, first: int = fixed.FIRST_DENSITIES, top: int = fixed.FLAGGED_RANKS
 ) -> DataFrame:
     """Wrong tuples by address density, the first densities of each site, largest flagged."""
     site = ["market", "site_id"]
-    counts = weighted_count(address_errors(detail, area), [*site, "density"], "error_skus", "errors")
+    counts = weighted_count(_addresses(detail, area), [*site, "density"], "error_skus", "errors")
     counts = first_k(counts, site, [F.asc("density")], first)
     counts = counts.withColumns({"share": share("errors", site), "site_errors": total_of("errors", site)})
     counts = counts.withColumns({
@@ -171,7 +182,7 @@ def density_frequency(
 
 def bucket_totals(detail: DataFrame, area: str, edge: int = fixed.DENSE_FROM) -> DataFrame:
     """All tuples of a site in dense and in sparse addresses, and the dense part."""
-    buckets = address_errors(detail, area).withColumn("bucket", density_bucket(F.col("density"), edge))
+    buckets = _addresses(detail, area).withColumn("bucket", density_bucket(F.col("density"), edge))
     wide = pivot_wide(
         buckets, ["market", "site_id"], "bucket", {"ge": "tuples_ge", "lt": "tuples_lt"}, "density", fill=0
     )
@@ -184,7 +195,7 @@ def bucket_errors(detail: DataFrame, stock_share: DataFrame, area: str, edge: in
     ``stock_share`` is the result of ``density.ge_share``.
     """
     site = ["market", "site_id"]
-    buckets = address_errors(detail, area).withColumn("bucket", density_bucket(F.col("density"), edge))
+    buckets = _addresses(detail, area).withColumn("bucket", density_bucket(F.col("density"), edge))
     counts = weighted_count(buckets, [*site, "bucket"], "error_skus", "errors")
     counts = counts.withColumns({"share": share("errors", site), "site_errors": total_of("errors", ["site_id"])})
     counts = attach(counts, stock_share.withColumnRenamed("share_ge", "stock_share_ge"), ["site_id"])
@@ -202,7 +213,8 @@ def _level_errors(detail: DataFrame, area: str, max_level: int, market: str | No
     lines = _wrong(detail).where((F.col("level") <= max_level) & (F.col("area") == area))
     if market is not None:
         lines = lines.where(in_market(F.col("site_id"), market))
-    return _with_market(distinct_then_count(lines, ["site_id", "level"], ["address_id", "sku_id"], "errors"))
+    tuples = [_told_by(detail, "address_id"), _told_by(detail, "sku_id")]
+    return _with_market(distinct_then_count(lines, ["site_id", "level"], tuples, "errors"))
 
 
 def level_share(detail: DataFrame, market: str, area: str, max_level: int = fixed.MAX_LEVEL) -> DataFrame:
@@ -236,7 +248,7 @@ def density_accuracy(detail: DataFrame, area: str, market: str, first: int = fix
     The first rows per site are taken with densities that have errors ahead of the rest.
     """
     site = ["market", "site_id"]
-    flagged = address_errors(detail, area, market).withColumn("outcome", _address_flag())
+    flagged = _addresses(detail, area, market).withColumn("outcome", _address_flag())
     wide = pivot_wide(
         flagged, [*site, "density"], "outcome", {ERROR: "error_tuples", MATCH: "ok_tuples"}, "density", fill=0
     )
@@ -258,7 +270,7 @@ def level_type_tuples(detail: DataFrame, market: str, area: str) -> DataFrame:
     lines = detail.where(in_market(F.col("site_id"), market) & (F.col("area") == area))
     lines = lines.withColumn("divergence_type", divergence_type(_difference()))
     tuples = distinct_then_count(
-        lines, ["site_id", "level", "divergence_type"], ["address_id", "sku_id"], "tuples"
+        lines, ["site_id", "level", "divergence_type"], [_told_by(detail, "address_id"), _told_by(detail, "sku_id")], "tuples"
     )
     return order_index(tuples, "site_id", "tuples", "site_order")
 
@@ -267,7 +279,7 @@ def density_tuples(
     detail: DataFrame, area: str, market: str | None = None, max_density: int = fixed.MAX_DENSITY
 ) -> DataFrame:
     """Tuples and addresses with and without errors per site and density, side by side."""
-    flagged = address_errors(detail, area, market).where(F.col("density") <= max_density)
+    flagged = _addresses(detail, area, market).where(F.col("density") <= max_density)
     flagged = flagged.withColumn("outcome", _address_flag())
     tuples = pivot_sums("outcome", {ERROR: "tuples_error", MATCH: "tuples_ok"}, "density")
     addresses = pivot_sums("outcome", {ERROR: "addresses_error", MATCH: "addresses_ok"}, F.lit(1))
@@ -291,7 +303,7 @@ def density_error_correlation(detail: DataFrame, area: str, max_density: int = f
 
 def density_flag_counts(detail: DataFrame, area: str, market: str, max_density: int = fixed.MAX_DENSITY) -> DataFrame:
     """Tuples per site, error flag of the address and density."""
-    flagged = address_errors(detail, area, market).where(F.col("density") <= max_density)
+    flagged = _addresses(detail, area, market).where(F.col("density") <= max_density)
     return weighted_count(
         flagged.withColumn("outcome", _address_flag()), ["market", "site_id", "outcome", "density"], "density", "tuples"
     )

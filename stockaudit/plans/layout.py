@@ -21,7 +21,7 @@ from stockaudit.operators.aggregates import (
 )
 from stockaudit.operators.joins import keep_matching
 from stockaudit.operators.ranking import top_fraction_ties, top_groups_ties, top_n_ties
-from stockaudit.operators.sets import distinct_totals, numbered
+from stockaudit.operators.sets import distinct_totals, numbered, told_by
 from stockaudit.operators.summaries import box_stats, numeric_summary
 from stockaudit.operators.windows import cumulative_share, first_k, share
 from stockaudit.sources import schemas
@@ -37,6 +37,14 @@ def _part(name: str) -> Column:
     return address_part(F.col("address_id"), name).alias(name)
 
 
+def _address(stock: DataFrame) -> str:
+    return told_by(stock, "address_id", schemas.NUMBERS)
+
+
+def _sku(stock: DataFrame) -> str:
+    return told_by(stock, "sku_id", schemas.NUMBERS)
+
+
 def _in_area(stock: DataFrame, area: str) -> DataFrame:
     # The area is the head of the address, so this test can reach the scan.
     return stock.where(F.col("address_id").startswith(area))
@@ -67,7 +75,7 @@ def address_rollup(stock: DataFrame, area: str) -> DataFrame:
 def sku_rollup(stock: DataFrame, area: str) -> DataFrame:
     """Units and distinct addresses per site and SKU of one area."""
     return _in_area(stock, area).groupBy("site_id", "sku_id").agg(
-        sum_strict("units").alias("units"), n_distinct("address_id").alias("addresses")
+        sum_strict("units").alias("units"), n_distinct(_address(stock)).alias("addresses")
     )
 
 
@@ -98,8 +106,9 @@ def box_addresses_per_sku(stock: DataFrame, area: str, upper: int = fixed.BOX_UP
 
 def aisle_top(stock: DataFrame, area: str, first: int = fixed.FIRST_AISLES) -> DataFrame:
     """The first aisles of each site by code: tuples, shares and running shares among them."""
-    lines = _in_area(stock, area).select("site_id", "address_id", "sku_id", _part("aisle"))
-    aisles = distinct_then_count(lines, ["site_id", "aisle"], ["address_id", "sku_id"], "skus")
+    tuples = [_address(stock), _sku(stock)]
+    lines = _in_area(stock, area).select("site_id", *tuples, _part("aisle"))
+    aisles = distinct_then_count(lines, ["site_id", "aisle"], tuples, "skus")
     order = [F.asc_nulls_last("aisle")]
     return first_k(aisles, ["site_id"], order, first).withColumns({
         "share": share("skus", ["site_id"]),
@@ -119,7 +128,7 @@ def overview(stock: DataFrame, areas: DataFrame) -> DataFrame:
 
 def sku_spread(stock: DataFrame, areas: DataFrame) -> DataFrame:
     """Distinct addresses per SKU within the listed areas."""
-    return distinct_then_count(_in_areas(stock, areas), ["sku_id"], ["address_id"], "addresses")
+    return distinct_then_count(_in_areas(stock, areas), ["sku_id"], [_address(stock)], "addresses")
 
 
 def sku_spread_top(stock: DataFrame, areas: DataFrame, k: int = fixed.TOP_SPREAD_SKUS) -> DataFrame:
@@ -248,7 +257,7 @@ def address_site_counts(stock: DataFrame, area: str) -> DataFrame:
 def sku_summary(stock: DataFrame, area: str) -> DataFrame:
     """Distinct addresses and units per SKU of one area."""
     return _in_area(stock, area).groupBy("sku_id").agg(
-        n_distinct("address_id").alias("addresses"), sum_strict("units").alias("units")
+        n_distinct(_address(stock)).alias("addresses"), sum_strict("units").alias("units")
     )
 
 
@@ -259,7 +268,7 @@ def sku_summary_stats(stock: DataFrame, area: str) -> DataFrame:
 
 def sku_histogram(stock: DataFrame, area: str, first: int = fixed.FIRST_SPREAD_ROWS) -> DataFrame:
     """SKUs per number of addresses, the first values, with shares among them."""
-    spread = distinct_then_count(_in_area(stock, area), ["sku_id"], ["address_id"], "addresses")
+    spread = distinct_then_count(_in_area(stock, area), ["sku_id"], [_address(stock)], "addresses")
     order = [F.asc("addresses")]
     counts = row_count(spread, ["addresses"], "skus").orderBy(*order).limit(first)
     return counts.withColumns({"share": share("skus"), "running_share": cumulative_share("skus", order)})
@@ -296,4 +305,4 @@ def onhand_top(onhand: DataFrame, k: int = fixed.TOP_ONHAND_LINES) -> DataFrame:
 
 def site_tuples(stock: DataFrame, area: str) -> DataFrame:
     """Tuples per site: distinct SKUs within each address, summed."""
-    return distinct_then_count(_in_area(stock, area), ["site_id"], ["address_id", "sku_id"], "tuples")
+    return distinct_then_count(_in_area(stock, area), ["site_id"], [_address(stock), _sku(stock)], "tuples")

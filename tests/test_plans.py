@@ -67,11 +67,11 @@ def test_site_filter_prunes_partitions(name, partition, plans):
 
 
 @pytest.mark.parametrize("name,columns", [
-    ("site_tuples", "struct<address_id:string,sku_id:bigint>"),
+    ("site_tuples", "struct<address_id:string,address_no:bigint,sku_no:bigint>"),
     ("insured_mean", "struct<insured_value:double>"),
     ("mov_process_totals", "struct<process:string,units:bigint,item_id:bigint>"),
     ("stock_site_units", "struct<units:int>"),
-    ("density_freq", "struct<address_id:string,sku_id:bigint,divergence_stored:int>"),
+    ("density_freq", "struct<address_id:string,divergence_stored:int,address_no:bigint,sku_no:bigint>"),
 ])
 def test_scan_reads_only_needed_columns(name, columns, plans):
     assert all(f"ReadSchema: {columns}" in scan for scan in scans(plans(name)))

@@ -73,10 +73,14 @@ def test_two_distinct_counts_expand_no_row(name, spark, sf_dir):
 def test_reports_without_numbers_give_the_same(spark, sf_dir):
     stock = derived.address_stock(spark, sf_dir)
     bare = stock.drop("address_no", "sku_no", "updated_at")
-    for report in (layout.area_summary, lambda s: layout.floor_cumulative(s, "MU"), layout.tuple_top):
-        assert report(stock).collect() == report(bare).collect()
+    in_area = (layout.sku_rollup, layout.aisle_top, layout.sku_summary, layout.sku_histogram, layout.site_tuples)
+    for report in (layout.area_summary, lambda s: layout.floor_cumulative(s, "MU"), layout.tuple_top, *(lambda s, r=r: r(s, "MZ") for r in in_area)):
+        assert sorted(report(stock).collect(), key=repr) == sorted(report(bare).collect(), key=repr)
     detail = derived.count_detail(spark, sf_dir)
-    assert divergence.market_totals(detail).collect() == divergence.market_totals(detail.drop("address_no", "sku_no")).collect()
+    bare = detail.drop("address_no", "sku_no")
+    in_area = (divergence.density_frequency, divergence.bucket_totals, divergence.level_top, divergence.density_tuples)
+    for report in (divergence.market_totals, divergence.address_errors, *(lambda d, r=r: r(d, "MZ") for r in in_area)):
+        assert sorted(report(detail).collect(), key=repr) == sorted(report(bare).collect(), key=repr)
 
 
 def test_landed_numbers_stand_for_values(spark, sf_dir):
