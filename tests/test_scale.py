@@ -138,14 +138,14 @@ def numpy_summary(values):
     return (known.min(), *np.quantile(known, [0.25, 0.5]), known.mean(), np.quantile(known, 0.75), known.max(), len(values) - len(known))
 
 
-def test_quantiles_of_a_continuous_measure_in_bounded_parts(spark):
+def test_quantiles_of_a_continuous_measure_in_bounded_parts(spark, tmp_path):
     """A million different values, a third of all in one group."""
-    draw = np.random.default_rng(5)
-    values = draw.normal(size=1_000_000)
-    groups = np.where(np.arange(len(values)) % 3 == 0, 0, draw.integers(0, 50, len(values)))
-    import pandas as pd
+    import pyarrow.parquet as pq
 
-    df = spark.createDataFrame(pd.DataFrame({"g": groups, "v": values})).repartition(4)
+    group = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).cast("int").alias("g")
+    spark.range(1_000_000).select(group, F.randn(5).alias("v")).write.parquet(str(tmp_path / "t"))
+    df, written = spark.read.parquet(str(tmp_path / "t")), pq.read_table(str(tmp_path / "t"))
+    values, groups = written["v"].to_numpy(), written["g"].to_numpy()
     parts = summaries.sorted_parts(summaries.value_counts(df, ["g"], ["v"]), ["g", "measure"])
     sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
     assert len(sizes) >= 4 and max(sizes) < 2 * len(values) / len(sizes)
