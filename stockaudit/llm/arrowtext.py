@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 # Bytes of text that are worked on at once, and the pieces, and characters of them, that are kept between batches.
 SLICE_BYTES = 4 << 20
-KEPT_PIECES = 600_000
-KEPT_CHARS = 12 << 20
+KEPT_PIECES = 500_000
+KEPT_CHARS = 10 << 20
 
 
 def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
@@ -34,6 +34,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLIC
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # What Arrow keeps for later would stay with the worker process.
+    pa.default_memory_pool().release_unused()
 
 
 def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -66,9 +68,12 @@ def flattened(rows: list, dtype) -> tuple[np.ndarray, np.ndarray]:
 class PieceTable:
     """Remembers the numbers that stand for each piece; forgets all before ``limit`` pieces or ``chars`` of them are passed.
 
-    What it holds is bounded by these and by one batch, however long pieces are.
+    What it holds is bounded by these and by one batch, however long pieces are. A worker process runs one operator
+    after another, so a table that is used after another one makes that one forget.
     """
 
+    in_use: PieceTable | None = None
+
     def __init__(
         self, work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = KEPT_PIECES, chars: int = KEPT_CHARS
     ):
@@ -97,6 +102,10 @@ class PieceTable:
 
     def gather(self, codes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces in order, and how many each piece has."""
+        if PieceTable.in_use is not self:
+            if PieceTable.in_use is not None:
+                PieceTable.in_use._clear()
+            PieceTable.in_use = self
         fresh = [piece for piece in pieces if piece not in self.places]
         if len(self.places) + len(fresh) > self.limit or self.held + sum(map(len, fresh)) > self.chars:
             self._clear()

@@ -95,11 +95,10 @@ NO_OWN = np.zeros(0, np.uint64)
 
 
 def table_of(own: np.ndarray) -> arrowtext.PieceTable:
-    """The table of a task's process; only the last two are kept."""
+    """The table of a task's process; only the last one is kept."""
     key = own.tobytes()
     if key not in _tables:
-        for old in list(_tables)[:-1]:
-            del _tables[old]
+        _tables.clear()
         _tables[key] = _classed(own)
     return _tables[key]
 
@@ -236,7 +235,7 @@ def learn(docs: DataFrame) -> Model:
 
 
 # Distinct words of slices that a task holds before it adds up their counts.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 19
 
 
 def _words_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
