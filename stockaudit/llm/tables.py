@@ -5,8 +5,9 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stockaudit.operators.joins import BROADCAST_ROWS, filter_words, may_be_in, membership_filter
 from stockaudit.session import delete_at_end, ensure_checkpoint_dir
 
 # Folders landed since the last chain of steps began.
@@ -73,6 +74,25 @@ def reclaim(docs: DataFrame) -> None:
     docs.sparkSession.sparkContext._jvm.System.gc()
 
 
+# Rows of a table with lists, whose size is not only that of its rows, that may be broadcast.
+LISTED_ROWS = 20_000
+
+
+def split_by_membership(df: DataFrame, key: str, values: DataFrame, few: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ``df`` whose ``key`` may be in ``values``, rows whose key is surely not), where they are.
+
+    ``values`` is a stored column of that name, of the same type, without nulls. For up to ``few`` values (by default
+    ``BROADCAST_ROWS``) there is nothing to gain, and all rows are in the first part; else a Bloom filter parts them, so that only the first need a
+    shuffled join.
+    """
+    size = values.count()
+    if size <= (BROADCAST_ROWS if few is None else few):
+        return df, None
+    bits = filter_words(size)
+    likely = may_be_in(F.col(key), membership_filter(values, bits), bits)
+    return df.where(likely), df.where(~likely)
+
+
 def free_name(columns: list[str], base: str) -> str:
     """``base``, with underscores before it until no column (in any case) has that name."""
     taken = {c.lower() for c in columns}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stockaudit.llm import arrowtext, words
-from stockaudit.llm.tables import forget, landed
+from stockaudit.llm.tables import forget, landed, split_by_membership
 from stockaudit.operators.joins import BROADCAST_ROWS, filter_words, may_be_in, membership_filter, stored
 
 SHINGLE = 5
@@ -372,15 +372,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         order = F.struct(F.col("degree"), F.xxhash64("row", "bucket").alias("draw"), "row", "label", "weight", "agreement")
         state = landed(placed(), "state")
         spread = state.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") != F.col("b"))
-        leads = state.groupBy("bucket").agg(F.max(order).alias("lead"), F.count("*").alias("n")).join(spread.select("bucket"), "bucket", "left_semi")
-        mine = stored(leads.select("bucket", "n", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("row", "label", "weight", "agreement")]))
+        leads = state.groupBy("bucket").agg(F.max(order).alias("lead"), F.count("*").alias("n"), F.sum("weight").alias("w")).join(spread.select("bucket"), "bucket", "left_semi")
+        mine = stored(leads.select("bucket", F.ceil(F.greatest(F.col("n") / PART_ROWS, F.col("w") / PART_WEIGHT)).alias("parts"), *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("row", "label", "weight", "agreement")]))
         near = (
             (F.col("label") != F.col("lead_label"))
             & (F.least("weight", "lead_weight") >= SIMILARITY * F.greatest("weight", "lead_weight") - 1e-6)
             & (_agree(F.col("agreement"), F.col("lead_agreement")) >= LEAST_AGREEMENT)
         )
         # A bucket's members meet their leader in parts.
-        part = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / PART_ROWS))
+        part = F.pmod(F.xxhash64("row"), F.col("parts"))
         pairs = state.join(mine, "bucket").where(near).select(
             F.least("lead_row", "row").alias("lead"), F.greatest("lead_row", "row").alias("row"), F.xxhash64("lead_row", part).alias("block")
         )
@@ -426,7 +426,11 @@ def assigned(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The kept row of each class, with the columns of ``docs``."""
-    signed, _, best = _named(docs)
-    kept = signed.join(best.select(F.col("best.row").alias("row")), "row", "left_semi")
+    """The kept row of each class, with the columns of ``docs``. Rows that no other replaces stay where they are."""
+    signed, named, best = _named(docs)
+    gone = named.join(best, "class_row").where(F.col("row") != F.col("best.row")).select("row")
+    gone = landed(gone, "gone")
+    likely, sure = split_by_membership(signed, "row", gone)
+    kept = likely.join(F.broadcast(gone) if sure is None else gone, "row", "left_anti")
+    kept = kept if sure is None else kept.unionByName(sure)
     return kept.select(*[F.col(f"{CARRIED}{c}").alias(c) for c in docs.columns])

@@ -112,6 +112,14 @@ def test_sentencepiece_stage(written):
     assert len(found) == docs.count()
 
 
+def test_filtered_joins_give_the_same(written, monkeypatch):
+    """As if all tables were too large to be sent."""
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tables, "LISTED_ROWS", 0)
+    for stage, (docs, after) in ((weighted_minhash.one_of_each, written[1]), (pii_boosting.redact, written[3])):
+        assert sorted(map(tuple, stage(docs).collect()), key=repr) == sorted(map(tuple, after.collect()), key=repr)
+
+
 def test_stages_delete_what_earlier_ones_stored(spark, sf_dir, tmp_path):
     tables.begin_chain()
     kept = tables.landed(spark.range(3), "kept")
