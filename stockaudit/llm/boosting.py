@@ -1,7 +1,8 @@
-"""Boosted trees on a bounded sample of labelled rows."""
+"""Boosted trees on labelled rows: a bounded sample of them, or all with a weight each."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Transformer
@@ -16,6 +17,8 @@ from stockaudit.llm.tables import free_name
 SAMPLE_ROWS = 10_000
 TREES = 12
 DEPTH = 4
+# Spark takes the cuts of a feature from all rows if they are no more than the square of its bins.
+BINS, MOST_BINS = 32, 1024
 
 
 def bounded_sample(labelled: DataFrame, key: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -25,13 +28,18 @@ def bounded_sample(labelled: DataFrame, key: Column, rows: int = SAMPLE_ROWS) ->
     return stored(labelled.orderBy(key).limit(rows))
 
 
-def fit(sample: DataFrame, features: Sequence[str], label: str) -> Transformer | None:
-    """A model for ``scored``; None if the sample holds only one class, or no row."""
+def fit(sample: DataFrame, features: Sequence[str], label: str, weight: str | None = None) -> Transformer | None:
+    """A model for ``scored``; None if the sample holds only one class, or no row.
+
+    Where rows have a weight, the number of equal rows that each stands for, cuts are taken from all of them up to a million.
+    """
     if sample.select(label).distinct().count() < 2:
         return None
     name = free_name(sample.columns, "features")
     assembler = VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="keep")
     trees = GBTClassifier(featuresCol=name, labelCol=label, predictionCol=f"{name}_class", maxIter=TREES, maxDepth=DEPTH, seed=7)
+    if weight is not None:
+        trees.setWeightCol(weight).setMaxBins(min(MOST_BINS, max(BINS, math.ceil(math.sqrt(sample.count())))))
     trees.setProbabilityCol(f"{name}_probability").setRawPredictionCol(f"{name}_raw")
     return PipelineModel([assembler, trees.fit(assembler.transform(sample))])
 

@@ -5,7 +5,7 @@ spans (spelled-out addresses, numbers in groups). Trees score a proposal by its
 it. They learn from valid base forms rewritten as a generator would meet them (signs spelled out, plus and
 country code taken off, groups changed), each with the text before it, and from candidates that fail: wrong
 check digits, numbers of parts or digits, dates, amounts, plain numbers. A threshold calibrated for each kind
-on a part of these rows kept from training decides. Only DataFrame functions and Spark's own trees are used.
+on a part of these rows kept from training decides. Both see all rows, none a sample. Only DataFrame functions and Spark's own trees are used.
 
 Java's matcher recurses over repeated groups, so long runs could exhaust its stack. Borders that would
 need a group (a dot between labels, a separator between digits) are first replaced by one private
@@ -24,7 +24,7 @@ INNER, OTHER = "\ue001", "\ue002"  # stands for an inner dot or separator; stand
 LOCAL = "A-Za-z0-9._%+" + INNER + "-"
 TAIL = 24
 PRECISION = 0.98
-SAMPLE_ROWS = 10_000  # of each kind and label
+SCORE_CELLS = 1_000_000  # scores are told apart, and thresholds chosen, to this part of one
 
 _MARKED_DOTS = ("(?<=[A-Za-z0-9-])\\.(?=[A-Za-z0-9-])", INNER)
 _MARKED_GAPS = ("(?<=[0-9])[ -](?=[0-9])", INNER)
@@ -185,26 +185,25 @@ def _evidence(placed: DataFrame, proposals: DataFrame) -> DataFrame:
 def _accepted(placed: DataFrame, proposals: DataFrame) -> DataFrame:
     """Proposals outside base spans whose score reaches the threshold of their kind: ``row, kind, start, end, score``."""
     nothing = proposals.where(F.lit(False)).select("row", "kind", "start", "end", F.lit(0.0).alias("score"))
-    evidence = landed(_described(_evidence(placed, proposals)).select(*FEATURES, "kind", "label", F.xxhash64("match", "tail").alias("draw")), "evidence")
-    key = F.struct("draw", *FEATURES)
-    sample = None
-    for kind in KINDS:
-        for label in (0.0, 1.0):
-            part = boosting.bounded_sample(evidence.where((F.col("kind") == kind) & (F.col("label") == label)), key, SAMPLE_ROWS)
-            sample = part if sample is None else sample.unionAll(part)
-    kept_back = F.pmod("draw", F.lit(4)) == 0
-    model = boosting.fit(sample.where(~kept_back), FEATURES, "label")
+    # Every row counts: equal ones of a kind and label are one with their number, which is what trees and thresholds weigh.
+    evidence = _described(_evidence(placed, proposals)).withColumn("kept_back", F.pmod(F.xxhash64("match", "tail"), F.lit(4)) == 0)
+    evidence = landed(evidence.groupBy("kind", "label", "kept_back", *FEATURES).agg(F.count(F.lit(1)).alias("n")), "evidence")
+    model = boosting.fit(evidence.where(~F.col("kept_back")), FEATURES, "label", "n")
     if model is None:
         return nothing
     # The lowest score down to which enough of the kept-back rows of a kind are right.
-    down = Window.partitionBy("kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    right = boosting.scored(model, sample.where(kept_back), "score").select("kind", "score", F.avg("label").over(down).alias("precision"))
-    bars = right.where(F.col("precision") >= PRECISION).groupBy("kind").agg(F.min("score").alias("bar")).collect()
+    cell = F.floor(F.col("score") * SCORE_CELLS)
+    cells = boosting.scored(model, evidence.where("kept_back"), "score").groupBy("kind", cell.alias("cell")).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")
+    )
+    down = Window.partitionBy("kind").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("precision", F.sum("right").over(down) / F.sum("n").over(down))
+    bars = cells.where(F.col("precision") >= PRECISION).groupBy("kind").agg(F.min("cell").alias("bar")).collect()
     if not bars:
         return nothing
     bar = F.create_map(*[F.lit(x) for r in bars for x in (r.kind, r.bar)])  # at most one entry a kind
     open_ones = proposals.where(~F.col("overlaps") & ~_fails(F.col("kind"), F.col("match")))
-    return boosting.scored(model, open_ones, "score").where(F.col("score") >= bar[F.col("kind")]).select("row", "kind", "start", "end", "score")
+    return boosting.scored(model, open_ones, "score").where(cell >= bar[F.col("kind")]).select("row", "kind", "start", "end", "score")
 
 
 def spans(docs: DataFrame, *carried: str) -> DataFrame:

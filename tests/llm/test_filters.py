@@ -77,6 +77,17 @@ def test_spelled_addresses_and_national_numbers_are_added(spark):
         assert rows[d].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(texts[d])), (texts[d], rows[d].spans)
 
 
+def test_personal_data_is_learned_from_all_rows(spark, monkeypatch):
+    """Trees weigh every distinct base form, of which there are more than any bounded sample held."""
+    docs = spark.range(16_000).selectExpr("id AS doc_id", "concat('call +49 30 ', id + 1000000, ' or 12', id) AS text")
+    seen = []
+    monkeypatch.setattr(pii_boosting.boosting, "fit", lambda rows, features, label, *weight: seen.append((rows, *weight)))
+    pii_boosting.digests(docs).count()
+    (rows, weight), = seen
+    learned = rows.where("kind = 'phone' AND label = 1").agg(F.sum(weight)).first()[0]
+    assert 11_000 < learned < 13_000  # three of four
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cd or +1 (650) 555-0000!", "x"), (2, None, "y"), (3, "none", "z"), (3, "none", "z")]
     out = pii_boosting.redact(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()
