@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stockaudit.operators import sets
 from stockaudit.session import delete_at_end, ensure_checkpoint_dir
@@ -29,6 +29,8 @@ FLOOR = "if(area = 'RK' OR l_orderkey % 97 = 0, 'XX', lpad(l_orderkey div 48 % 1
 ZONE = "l_orderkey % 3"
 ADDRESS = f"""
     concat_ws('-', area, {ZONE}, lpad(l_orderkey div 1000 % 1000, 3, '0'), lpad(l_orderkey % 1000, 3, '0'), {FLOOR})"""
+# Rows to tell apart in one task.
+DISTINCT_ROWS = 500_000
 SKU = "if((l_orderkey + l_linenumber) % 101 <> 0, l_partkey, null)"
 
 
@@ -36,17 +38,50 @@ def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(lines: DataFrame) -> DataFrame:
     """Line items with the place each stands for."""
-    lines = _source(spark, sf_dir, "lineitem")
     lines = lines.selectExpr("*", f"{SITE} AS site_id", f"{AREA} AS area", f"{LEVEL} AS level")
     return lines.selectExpr("*", f"{ADDRESS} AS address_id")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_source(spark, sf_dir, "lineitem"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _source(spark, sf_dir, "part").select("p_partkey", "p_type")
+
+
+def _with_parts(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    # One plan at every size: what it shuffles grows as its input does.
+    return lines.join(parts.hint("merge"), lines["l_partkey"] == parts["p_partkey"], "left")
+
+
+def _numbered_lines(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
+    """``_lines`` with the numbers of their address and SKU and, if given, what ``parts`` has of each part.
+
+    Numbers and parts are joined to the items as they are given, and what is derived of them comes after, so that two
+    shuffles carry short rows: by part, for SKU numbers and parts in one, and by address, in which order they are landed.
+    """
+    skus = numbers(spark, sf_dir, "sku_id").select(F.col("value").alias("_sku"), F.col("number").alias("_number"))
+    if parts is not None:
+        skus = skus.join(parts.hint("merge"), skus["_sku"] == parts["p_partkey"], "full_outer").withColumn("_sku", F.coalesce("_sku", "p_partkey"))
+    lines = _source(spark, sf_dir, "lineitem")
+    lines = lines.join(skus.hint("merge"), lines["l_partkey"] == skus["_sku"], "left")
+    lines = lines.withColumn("sku_no", F.expr(f"if({SKU} IS NULL, null, _number)")).drop("_sku", "_number")
+    lines = lines.withColumn("sku_no", F.coalesce("sku_no", F.lit(sets.NULL_NUMBER)))
+    addressed = _placed(lines).drop("site_id", "area", "level")
+    addressed = sets.with_number(addressed, "address_id", "address_no", numbers(spark, sf_dir, "address_id").hint("merge"))
+    return addressed.selectExpr("*", f"{SITE} AS site_id", f"{AREA} AS area", f"{LEVEL} AS level")
+
+
 def _count_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _source(spark, sf_dir, "part").select("p_partkey", "p_type")
-    lines = _lines(spark, sf_dir).selectExpr("*", "(l_partkey * 7 + l_linenumber * 13 + l_suppkey) % 20 AS h")
-    lines = lines.join(parts, lines["l_partkey"] == parts["p_partkey"], "left")
+    return _counted(_numbered_lines(spark, sf_dir, _parts(spark, sf_dir)), *schemas.NUMBERS.values())
+
+
+def _counted(lines: DataFrame, *more: str) -> DataFrame:
+    """Lines with their part as counted lines."""
+    lines = lines.selectExpr("*", "(l_partkey * 7 + l_linenumber * 13 + l_suppkey) % 20 AS h")
     return lines.selectExpr(
         "site_id", "area", "level", "address_id",
         f"{SKU} AS sku_id",
@@ -59,11 +94,14 @@ def _count_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
            AS divergence_stored""",
         "if((l_orderkey * 3 + l_linenumber) % 173 <> 0, cast(cast(l_shipdate AS date) AS string), 'n/a') AS counted_on",
         "if(l_partkey % 50 <> 0, p_type, null) AS category",
+        *more,
     )
 
 
 def _cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = count_detail(spark, sf_dir).selectExpr(
+    # Few columns of the lines are needed, and none of their numbers: they are read as given, not from the landed table.
+    counted = typed(_counted(_placed(_with_parts(_source(spark, sf_dir, "lineitem"), _parts(spark, sf_dir)))), "count_detail")
+    lines = counted.selectExpr(
         "site_id", "area", "level", "coalesce(lpad(month, 2, '0'), '00') AS month", "qty_counted - qty_system AS divergence"
     )
     lines.createOrReplaceTempView("stockaudit_counted_lines")
@@ -85,7 +123,7 @@ def _cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _address_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).selectExpr(
+    return _numbered_lines(spark, sf_dir).selectExpr(
         "site_id", "address_id", f"{SKU} AS sku_id",
         # Unknown in one zone of one area on one floor.
         f"if(area = 'MZ' AND {ZONE} = 2 AND {FLOOR} = '12' AND l_linenumber = 1, null, cast(l_quantity AS int)) AS units",
@@ -95,6 +133,7 @@ def _address_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
              lpad(l_suppkey % 60, 2, '0'), ':', lpad(l_partkey % 60, 2, '0'))) AS updated_text""",
         "l_suppkey AS seller_id",
         "if(l_partkey % 40 <> 0, l_extendedprice, null) AS insured_value",
+        *schemas.NUMBERS.values(),
     )
 
 
@@ -106,7 +145,12 @@ def _onhand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _address_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = count_detail(spark, sf_dir).select("site_id", "address_id", "sku_id").distinct()
+    """SKUs per address of all counted lines, which are the line items; parts do not matter to distinct ones."""
+    items = _source(spark, sf_dir, "lineitem")
+    # Tasks by the number of rows, so that none holds more distinct ones at any size.
+    tasks = items.count() // DISTINCT_ROWS + 1
+    lines = _placed(items).selectExpr("site_id", "address_id", f"{SKU} AS sku_id")
+    lines = lines.repartition(tasks, "site_id", "address_id", "sku_id").distinct()
     return lines.groupBy("site_id", "address_id").agg({"sku_id": "count"}).toDF("site_id", "address_id", "sku_count")
 
 
@@ -148,17 +192,18 @@ _locks: dict[tuple[str, str, str], threading.Lock] = {}
 _lending = threading.Lock()
 
 
-def land(df: DataFrame, path: str, partition_by: str | None, sort_by: str | None = None) -> None:
+def land(df: DataFrame, path: str, partition_by: str | None, sort_by: str | None = None, spread: bool = False) -> None:
     """Write a table as Parquet.
 
     Rows are rebalanced by the partition column first, which keeps files large and splits a
-    site that holds most of the rows over several writers. Sorting within a file lets a scan
+    site that holds most of the rows over several writers. Rows that come ``spread`` by a shuffle
+    of their own are written from where they are. Sorting within a file lets a scan
     skip the pages of other areas, whose address prefix lies outside the filter.
     """
     if partition_by is None:
         df.write.parquet(path)
         return
-    balanced = df.hint("rebalance", partition_by)
+    balanced = df if spread else df.hint("rebalance", partition_by)
     if sort_by is not None:
         balanced = balanced.sortWithinPartitions(partition_by, sort_by)
     balanced.write.partitionBy(partition_by).parquet(path)
@@ -194,11 +239,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     build, schema, partition_by, sort_by = BUILDERS[name]
 
     def write(path: str) -> None:
-        df = typed(build(spark, sf_dir), name)
-        if name in schemas.NUMBERED:
-            for column, number in schemas.NUMBERS.items():
-                df = sets.with_number(df, column, number, numbers(spark, sf_dir, column))
-        land(df, path, partition_by, sort_by)
+        # Numbered lines come from a join by address.
+        land(typed(build(spark, sf_dir), name), path, partition_by, sort_by, spread=name in schemas.NUMBERED)
 
     return read_landed(spark, _once(spark, sf_dir, name, write), schema)
 

@@ -173,3 +173,65 @@ def test_lines_without_a_site_are_an_extract_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(derived, "address_stock", lambda spark, sf_dir: stock)
     parsed = layout.parsed(derived.address_stock_sources(spark, ""))
     assert sorted(((r.site_id, r.units) for r in parsed.collect()), key=repr) == [("BR01", 2), (None, 5)]
+
+
+# --- landing without long shuffles ------------------------------------------------------------
+
+
+def _odd_items(spark, folder):
+    """Repeated and missing part keys, missing order keys, a SKU and an address that many lines share, SKUs that are unknown in all lines."""
+    items = spark.range(4000).selectExpr(
+        "if(id % 41 = 0, null, if(id % 3 = 0, 5, id div 7)) AS l_orderkey",
+        "if(id % 37 = 0, null, if(id % 4 = 0, 8, id % 90)) AS l_partkey",
+        "id % 11 AS l_suppkey", "cast(if(id % 53 = 0, null, id % 7 + 1) AS int) AS l_linenumber",
+        "cast(id % 50 AS double) AS l_quantity", "cast(id % 1000 AS double) AS l_extendedprice",
+        "timestamp_ntz'2024-01-05 00:00:00' + make_dt_interval(cast(id % 60 AS int)) AS l_shipdate",
+    )
+    items.unionAll(items.limit(50)).write.parquet(f"{folder}/lineitem.parquet")
+    parts = spark.range(120).selectExpr("if(id % 10 = 9, null, id div 2 + 3) AS p_partkey", "concat('type ', id % 6) AS p_type")
+    parts.write.parquet(f"{folder}/part.parquet")
+
+
+def test_landed_lines_are_those_of_a_plain_join(spark, tmp_path):
+    _odd_items(spark, str(tmp_path))
+    items, parts = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("lineitem", "part"))
+    wanted = derived._counted(derived._placed(items.join(parts, items["l_partkey"] == parts["p_partkey"], "left")))
+    landed = derived.count_detail(spark, str(tmp_path))
+    got = landed.select(*wanted.columns)
+    assert got.count() == wanted.count() > items.count()
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+    stock = derived.address_stock(spark, str(tmp_path))
+    assert stock.count() == items.count()
+    for lines in (landed, stock):
+        for column, number in schemas.NUMBERS.items():
+            pairs = lines.select(column, number).distinct()
+            known = pairs.where(F.col(column).isNotNull())
+            assert known.count() == known.select(column).distinct().count() == known.select(number).distinct().count()
+            assert {r[1] for r in pairs.where(F.col(column).isNull()).collect()} <= {0}
+    density = derived.address_density(spark, str(tmp_path))
+    by_hand = landed.groupBy("site_id", "address_id").agg(F.count_distinct("sku_id").alias("sku_count"))
+    assert density.exceptAll(by_hand).isEmpty() and by_hand.exceptAll(density).isEmpty()
+    summary = derived.cycle_summary(spark, str(tmp_path))
+    assert summary.agg(F.sum("population_size")).first()[0] == landed.count()
+
+
+def test_small_inputs_land_no_lines(spark, tmp_path):
+    _odd_items(spark, str(tmp_path))
+    derived.cycle_summary(spark, str(tmp_path))
+    derived.address_density(spark, str(tmp_path))
+    assert {name for _, folder, name in derived._written if folder == str(tmp_path)} == {"cycle_summary", "address_density"}
+
+
+@pytest.mark.parametrize("name", ["count_detail", "address_stock"])
+def test_lines_are_shuffled_twice_as_they_are_given(name, spark, sf_dir, monkeypatch):
+    plans, once = [], derived._once
+    monkeypatch.setattr(derived, "_once", lambda s, d, n, write: write(n) if n == name else once(s, d, n, write))
+    monkeypatch.setattr(derived, "land", lambda df, *_, spread=False, **__: plans.append((spread, df._jdf.queryExecution().executedPlan().toString())))
+    monkeypatch.setattr(derived, "read_landed", lambda *_: None)
+    derived.table(spark, sf_dir, name)
+    (spread, text), = plans
+    assert spread and "BroadcastHashJoin" not in text
+    shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning(" in line]
+    assert sum("hashpartitioning(l_partkey" in line for line in shuffled) == 1
+    assert sum("hashpartitioning(address_id" in line for line in shuffled) == 1
+    assert not any("hashpartitioning(sku_id" in line for line in shuffled)
