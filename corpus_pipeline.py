@@ -8,29 +8,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockaudit.llm import language_zstd, pii_boosting, sentencepiece_agenda, string_tiling, weighted_minhash
+from stockaudit.llm import arrowtext, language_zstd, pii_boosting, sentencepiece_agenda, string_tiling, weighted_minhash
 from stockaudit.llm.queries import PIECE_MODEL, ship
 from stockaudit.llm.tables import begin_chain, fresh_folder, read, reclaim
 
 
+def _prepared(spark: SparkSession) -> None:
+    """Workers have this package, and get texts in batches no larger than what they work on at once."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(arrowtext.SLICE_BYTES))
+
+
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language compression tells apart."""
     begin_chain()
-    ship(spark)
+    _prepared(spark)
     return language_zstd.keep_identified(docs)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, that with the smallest ``doc_id``."""
     reclaim(docs)
-    ship(spark)
+    _prepared(spark)
     return weighted_minhash.one_of_each(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
     reclaim(docs)
-    ship(spark)
+    _prepared(spark)
     return string_tiling.without(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -43,7 +49,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of each document's SentencePiece ids and of their decoded text."""
     reclaim(docs)
-    ship(spark)
+    _prepared(spark)
     return sentencepiece_agenda.digests(docs, public_tokenizers.path(PIECE_MODEL))
 
 

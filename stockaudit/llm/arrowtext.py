@@ -7,6 +7,8 @@ all its places with numpy, so the cost of a corpus is that of its distinct words
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,6 +21,15 @@ KEPT_PIECES = 500_000
 KEPT_CHARS = 10 << 20
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep for later, which would stay with the worker process."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     """A text column with 64-bit offsets; null is the empty text."""
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
@@ -34,8 +45,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLIC
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-    # What Arrow keeps for later would stay with the worker process.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -105,6 +115,7 @@ class PieceTable:
         if PieceTable.in_use is not self:
             if PieceTable.in_use is not None:
                 PieceTable.in_use._clear()
+                give_back()
             PieceTable.in_use = self
         fresh = [piece for piece in pieces if piece not in self.places]
         if len(self.places) + len(fresh) > self.limit or self.held + sum(map(len, fresh)) > self.chars:

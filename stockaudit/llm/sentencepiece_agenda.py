@@ -30,7 +30,7 @@ LONG_PART = 40
 
 _BORDER = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
-TEXT_AT_ONCE = 8 << 20
+TEXT_AT_ONCE = arrowtext.SLICE_BYTES
 NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "matches_library"]
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, matches_library boolean"
 

@@ -133,3 +133,17 @@ def test_files_of_odd_rows(spark):
     rows = sorted(rans_tokens.round_trip(docs, WORDS, 2).collect(), key=lambda r: r.start)
     assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 2), (1, 2, 1), (2, 3, 2), (2, 5, 2)]
     assert rans_tokens.round_trip(docs.limit(0), WORDS, 2).count() == 0
+
+
+def test_pieces_are_worked_on_in_small_slices(monkeypatch):
+    """What a worker needs grows with the text it takes at once, so that is bounded; memory goes back once a table gives way to another."""
+    taken, returned = [], []
+    monkeypatch.setattr(agenda.MergeModel, "encode_batch", lambda self, texts: taken.append(texts) or (np.zeros(2 * len(texts), np.uint32), 2 * np.arange(len(texts) + 1)))
+    monkeypatch.setattr(agenda.MergeModel, "decode_batch", lambda self, ids, starts: [b""] * (len(starts) - 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(90)), pa.array(["word " * 20_000] * 90)], names=["doc_id", "text"])
+    rows = sum(b.num_rows for b in agenda._digests(iter([batch]), PIECES))
+    assert rows == 90 and max(t.nbytes for t in taken) < 5 << 20
+    monkeypatch.setattr(arrowtext, "give_back", lambda: returned.append(1))
+    for table in (arrowtext.PieceTable(lambda p: (np.zeros(len(p)), np.ones(len(p), np.int64)), float) for _ in range(2)):
+        table.gather(np.zeros(1, np.int64), ["a"])
+    assert returned

@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -130,3 +131,13 @@ def test_stages_delete_what_earlier_ones_stored(spark, sf_dir, tmp_path):
         other.count()
     tables.forget(kept)
     tables.begin_chain()
+
+
+def test_workers_get_batches_of_bounded_bytes(spark, tmp_path):
+    from stockaudit.llm import arrowtext
+
+    spark.range(6000).selectExpr("id AS doc_id", "repeat('ab ', 700) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.piece_ids(spark, docs, str(tmp_path))
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 2 and max(r.n for r in sizes) < 1.2 * arrowtext.SLICE_BYTES
