@@ -12,6 +12,7 @@ partition, number, documents and sizes, ``payload`` in the layout of ``pack``).
 from __future__ import annotations
 
 import os
+import string
 import struct
 import sys
 import unicodedata
@@ -149,19 +150,21 @@ class WordTokenizer:
     """A tokenizers file whose pre-tokenizer keeps words, runs of other signs and white space apart.
 
     So a text may be cut at spaces, and between letters and other signs unless it has apostrophes (which
-    begin short forms), marks that join a letter, or special tokens. Equal pieces are encoded once.
+    begin short forms), marks that join a letter, or special tokens. In a text that has none of these, A to Z may be
+    lower-cased and white space made a space before, as the normaliser would. Equal pieces are encoded once.
     """
 
     # Apostrophe, marks, letters that normalising takes apart into letter and mark, the capital whose small form has a
     # mark, and how special tokens begin.
     JOINED = "['\\pM\u0130" + "".join(map(chr, _taken_apart())) + "]|<\\|"
+    FOLDED = bytes.maketrans(string.ascii_uppercase.encode() + b"\t\n\f\r", string.ascii_lowercase.encode() + b"    ")
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.table = arrowtext.PieceTable(self._encode, np.uint32)
+        self.table = arrowtext.PieceTable(self._encode, np.uint32, recent=True)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -176,34 +179,41 @@ class WordTokenizer:
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # A word's last id tells that the word ends, so many words can be one call and be told apart afterwards. Every
         # piece has at least one such id: if there are as many ids as pieces, each has one.
-        words = [at for at, piece in enumerate(pieces) if piece.isalpha()]
-        alone = [at for at, piece in enumerate(pieces) if not piece.isalpha()]
-        calls = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
-        lengths = np.zeros(len(pieces), np.int64)
-        told: list[list[int]] = []
-        joined: list[np.ndarray] = []
-        for at in range(0, len(calls), 16):
-            some = calls[at : at + 16]
-            for places, ids in zip(some, self._ids([" ".join([pieces[p] for p in places]) for places in some])):
-                ids = np.array(ids, np.uint32)
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) == len(places) and cuts[-1] == len(ids):
-                    lengths[places] = np.diff(cuts, prepend=0)
-                    told.append(places)
-                    joined.append(ids)
-                else:
-                    alone += places
-        rest, rest_lengths = arrowtext.flattened(self._ids([pieces[at] for at in alone]), np.uint32)
-        lengths[alone] = rest_lengths
-        starts = np.cumsum(lengths) - lengths
-        flat = np.empty(int(lengths.sum()), np.uint32)
-        for places, ids in [*zip(told, joined), (alone, rest)]:
-            flat[arrowtext.ragged(starts[places], lengths[places])] = ids
-        return flat, lengths
+        words = np.fromiter(map(str.isalpha, pieces), bool, len(pieces))
+        alone, words = [np.flatnonzero(~words)], np.flatnonzero(words)
+        told: list[np.ndarray] = []
+        told_ids: list[np.ndarray] = []
+        told_lengths: list[np.ndarray] = []
+        for at in range(0, len(words), 16 * CALL_WORDS):
+            places = words[at : at + 16 * CALL_WORDS]
+            some = [pieces[p] for p in places.tolist()]
+            calls = [some[i : i + CALL_WORDS] for i in range(0, len(some), CALL_WORDS)]
+            ids, n_ids = arrowtext.flattened(self._ids([" ".join(call) for call in calls]), np.uint32)
+            n_words, ends, stops = np.fromiter(map(len, calls), np.int64, len(calls)), self.ends[ids], np.cumsum(n_ids)
+            n_ends = np.diff(np.concatenate(([0], np.cumsum(ends)))[stops], prepend=0)
+            clear = n_ends == n_words
+            clear[clear] = ends[stops[clear] - 1]
+            kept = np.repeat(clear, n_ids)
+            told.append(places[np.repeat(clear, n_words)])
+            told_ids.append(ids[kept])
+            told_lengths.append(np.diff(np.flatnonzero(ends[kept]) + 1, prepend=0))
+            alone.append(places[~np.repeat(clear, n_words)])
+        rest = np.concatenate(alone)
+        rest_ids, rest_lengths = arrowtext.flattened(self._ids([pieces[p] for p in rest.tolist()]), np.uint32)
+        order, ordered = np.concatenate([*told, rest]), np.concatenate([*told_lengths, rest_lengths])
+        starts, lengths = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        starts[order], lengths[order] = np.cumsum(ordered) - ordered, ordered
+        return np.concatenate([*told_ids, rest_ids])[arrowtext.ragged(starts, lengths)], lengths
+
+    def _folded(self, texts: pa.Array) -> pa.Array:
+        """The texts with A to Z in lower case and spaces for tabs and line breaks."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = pa.py_buffer(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes().translate(self.FOLDED))
+        return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), data)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text begins."""
-        apart = pc.replace_substring_regex(texts, r"([^\s\pL]+)", r" \1 ")
+        apart = pc.replace_substring_regex(self._folded(texts), r" ?([^\s\pL]+) ?", r" \1 ")
         codes, offsets, pieces = arrowtext.pieces_of(pc.if_else(pc.match_substring_regex(texts, self.JOINED), texts, apart))
         values, lengths = self.table.gather(codes, pieces)
         return values, arrowtext.bounds(offsets, lengths)

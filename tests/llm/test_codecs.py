@@ -116,6 +116,47 @@ def test_piece_table_is_bounded():
     assert seen == [1, 1, 1, 2, 9]
 
 
+def test_recently_used_pieces_stay_when_a_table_is_full():
+    seen = []
+
+    def work(pieces):
+        seen.extend(pieces)
+        return np.array([ord(p[0]) for p in pieces for _ in p], np.int64), np.array([len(p) for p in pieces], np.int64)
+
+    table = arrowtext.PieceTable(work, np.int64, limit=10, chars=1000, recent=True)
+    for n in range(40):
+        batch = ["often", "also", chr(200 + 2 * n) * 3, chr(201 + 2 * n)]
+        values, lengths = table.gather(np.array([3, 0, 2, 1, 0]), batch)
+        assert values.tolist() == [ord(p[0]) for at in (3, 0, 2, 1, 0) for p in batch[at : at + 1] for _ in p]
+        assert lengths.tolist() == [1, 5, 3, 4, 5] and len(table.places) <= 10
+    assert len(seen) == 82
+    for batch in (["x" * 600], ["y" * 300], ["x" * 600, "y" * 300], ["z" * 900], [chr(300 + n) for n in range(30)], ["y" * 300]):
+        values, lengths = table.gather(np.arange(len(batch)), batch)
+        assert values.tolist() == [ord(c) for p in batch for c in p] and lengths.tolist() == [*map(len, batch)]
+        assert len(table.places) <= 30 and table.held <= 1000
+
+
+def test_words_are_encoded_once_in_any_case_and_beside_any_white_space():
+    t, encoded = rans_tokens.WordTokenizer(WORDS), []
+    t.table.work = lambda pieces: encoded.extend(pieces) or t._encode(pieces)
+    ids, starts = t.encode_batch(pa.array(["Stone stone\nSTONE,\tstone. \r\nstone", "", ", Stone"], pa.large_string()).slice(1))
+    assert sorted(encoded) == ["", ",", "stone"]
+    ids, starts = t.encode_batch(pa.array(["Stone stone\nSTONE,\tstone. \r\nstone", "", None], pa.large_string()).fill_null(""))
+    assert sorted(encoded) == ["", ",", ".", "stone"]
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [e.ids for e in t.tokenizer.encode_batch(["stone stone stone, stone. stone", "", ""], add_special_tokens=False)]
+
+
+def test_case_and_white_space_as_the_library():
+    t = rans_tokens.WordTokenizer(WORDS)
+    signs = ["J", "H", "T", "W", "I", "K", "\u030c", "\u0331", "\u0308", "\u0307", "İ", "ẞ", "\u212a", "\u212b", "Σ", "Å", "É", "À", "Dz", "Ⅷ", "Ⓐ", "\u037e", "\u1fef", "ᄀ", "ᅡ"]
+    white = [" ", "  ", "\n", "\r\n", "\t", "\x0b", "\f", "\x1c", "\x85", "\xa0", "\u2000", "\u2028", "\u200b", "\ufeff", "\0"]
+    for letters, seed in ((signs + white + ["a", "B", ",", "!", "3"], 21), (["A", "b", "É", "Σ", ".", "!", "7", "…", "²", "—", "😀"] + white, 22), (["<|ENDOFTEXT|>", "<|endoftext|>", "A", "'S", "S", "\n", " "], 23)):
+        texts = noise(letters, 8000, seed)
+        ids, starts = t.encode_batch(pa.array(texts, pa.large_string()))
+        want = [e.ids for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+
+
 def test_files_read_back(spark, sf_dir):
     docs = sorted((r.doc_id, r.text or "") for r in read(spark, sf_dir, "documents").collect())
     found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.queries()["op5_rans_tokens"](spark, sf_dir).collect()}
