@@ -155,8 +155,8 @@ class WordTokenizer:
     """
 
     # Apostrophe, marks, letters that normalising takes apart into letter and mark, the capital whose small form has a
-    # mark, and how special tokens begin.
-    JOINED = "['\\pM\u0130" + "".join(map(chr, _taken_apart())) + "]|<\\|"
+    # mark, code points that Arrow's patterns do not know yet and the library may, and how special tokens begin.
+    JOINED = "['\\pM\u0130" + "".join(map(chr, _taken_apart())) + r"]|[^\pL\pM\pN\pP\pS\pZ\pC]|<\|"
     FOLDED = bytes.maketrans(string.ascii_uppercase.encode() + b"\t\n\f\r", string.ascii_lowercase.encode() + b"    ")
 
     def __init__(self, file: str):

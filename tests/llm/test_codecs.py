@@ -93,6 +93,14 @@ def test_letters_that_normalising_takes_apart():
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
 
 
+def test_letters_newer_than_arrows_patterns():
+    t = rans_tokens.WordTokenizer(WORDS)
+    texts = ["a\u1c89b, \ua7cb.", "!\U0001fae9 !", *noise(["\u1c89", "\ua7cb", "\U00010d50", "\U000323b0", "\U0001fae9", "\u0378", "a", "B", "é", ",", "!", " ", "\n"], 3000, 31)]
+    ids, starts = t.encode_batch(pa.array(texts, pa.large_string()))
+    want = [e.ids for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+
+
 def test_words_are_told_apart_in_one_call():
     t = rans_tokens.WordTokenizer(WORDS)
     pieces = ["a", "the", "İstanbul", "x" * 500, "naïve", "日本語", "don", "", "\n", "2024,", "é", "ﬁn", "<|endoftext|>", "ab\ncd", *noise("abcdeé", 3000, 4)]
