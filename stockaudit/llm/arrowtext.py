@@ -104,7 +104,7 @@ class PieceTable:
         self.places: dict[str, int] = {}
         self.flat = np.zeros(1 << 12, self.dtype)
         self.starts, self.lengths = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.last_used = np.zeros(1 << 10, np.int64)
+        self.last_used = np.zeros(1 << 10 if self.recent else 0, np.int64)
         self.used = self.held = 0
 
     def _keep_recent(self, pieces: int, chars: int) -> None:
@@ -128,7 +128,8 @@ class PieceTable:
         at, used = len(self.places), self.used
         while at + len(fresh) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            self.last_used = np.resize(self.last_used, len(self.starts))
+            if self.recent:
+                self.last_used = np.resize(self.last_used, len(self.starts))
         while used + len(values) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.lengths[at : at + len(fresh)] = lengths
@@ -165,7 +166,8 @@ class PieceTable:
             first = len(self.places)
             self._store(fresh, *self.work(fresh))
             at[at < 0] = np.arange(first, first + len(fresh))
-        self.last_used[at] = self.batches
+        if self.recent:
+            self.last_used[at] = self.batches
         index = at[codes]
         lengths = self.lengths[index]
         return self.flat[ragged(self.starts[index], lengths)], lengths
