@@ -10,7 +10,7 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, compress, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +61,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every (start, length), one after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    places = np.repeat(starts - (ends - lengths), lengths)
-    places += np.arange(total, dtype=np.int64)
-    return places
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
 def bounds(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -75,61 +73,37 @@ def bounds(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def flattened(rows: list, dtype) -> tuple[np.ndarray, np.ndarray]:
     """Short lists of numbers as one array and their lengths."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter(chain.from_iterable(rows), dtype, int(lengths.sum())), lengths
+    return np.fromiter((x for row in rows for x in row), dtype, int(lengths.sum())), lengths
 
 
 class PieceTable:
     """Remembers the numbers that stand for each piece; forgets all before ``limit`` pieces or ``chars`` of them are passed.
 
-    With ``recent`` it then forgets only those longest not used, so that frequent pieces are not worked out anew, and
-    holds at most half of each limit. What it holds is bounded by these and by one batch, however long pieces are. A
-    worker process runs one operator after another, so a table that is used after another one makes that one forget.
+    What it holds is bounded by these and by one batch, however long pieces are. A worker process runs one operator
+    after another, so a table that is used after another one makes that one forget.
     """
 
     in_use: PieceTable | None = None
 
     def __init__(
-        self,
-        work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-        dtype,
-        limit: int = KEPT_PIECES,
-        chars: int = KEPT_CHARS,
-        recent: bool = False,
+        self, work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = KEPT_PIECES, chars: int = KEPT_CHARS
     ):
-        self.work, self.dtype, self.limit, self.chars, self.recent = work, dtype, limit, chars, recent
-        self.batches = 0
+        self.work, self.dtype, self.limit, self.chars = work, dtype, limit, chars
         self._clear()
 
     def _clear(self) -> None:
         self.places: dict[str, int] = {}
         self.flat = np.zeros(1 << 12, self.dtype)
         self.starts, self.lengths = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.last_used = np.zeros(1 << 10 if self.recent else 0, np.int64)
         self.used = self.held = 0
 
-    def _keep_recent(self, pieces: int, chars: int) -> None:
-        """Forget all but the last used, up to so many pieces and characters."""
-        places, n = self.places, len(self.places)
-        order = np.argsort(-self.last_used[:n], kind="stable")
-        sizes = np.fromiter(map(len, places), np.int64, n)
-        kept = np.sort(order[: min(max(0, pieces), int(np.searchsorted(np.cumsum(sizes[order]), chars, "right")))])
-        lengths, last_used = self.lengths[kept], self.last_used[kept]
-        values = self.flat[ragged(self.starts[kept], lengths)]
-        chosen = np.zeros(n, bool)
-        chosen[kept] = True
-        names = list(compress(places, chosen))
-        del places
-        self._clear()
-        if names:
-            self._store(names, values, lengths)
-            self.last_used[: len(names)] = last_used
+    def _add(self, fresh: list[str]) -> None:
+        self._store(fresh, *self.work(fresh))
 
     def _store(self, fresh: list[str], values: np.ndarray, lengths: np.ndarray) -> None:
         at, used = len(self.places), self.used
         while at + len(fresh) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            if self.recent:
-                self.last_used = np.resize(self.last_used, len(self.starts))
         while used + len(values) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.lengths[at : at + len(fresh)] = lengths
@@ -139,35 +113,80 @@ class PieceTable:
         self.held += sum(map(len, fresh))
         self.places.update(zip(fresh, range(at, at + len(fresh))))
 
-    def _found(self, pieces: list[str]) -> np.ndarray:
-        """The place of each piece, -1 if it has none."""
-        return np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
-
-    def gather(self, codes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all pieces in order, and how many each piece has; pieces are distinct."""
+    def _take_over(self) -> None:
         if PieceTable.in_use is not self:
             if PieceTable.in_use is not None:
                 PieceTable.in_use._clear()
                 give_back()
             PieceTable.in_use = self
+
+    def gather(self, codes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces in order, and how many each piece has."""
+        self._take_over()
+        fresh = [piece for piece in pieces if piece not in self.places]
+        if len(self.places) + len(fresh) > self.limit or self.held + sum(map(len, fresh)) > self.chars:
+            self._clear()
+            fresh = pieces
+        if fresh:
+            self._add(fresh)
+        index = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))[codes]
+        lengths = self.lengths[index]
+        return self.flat[ragged(self.starts[index], lengths)], lengths
+
+
+class RecentPieceTable(PieceTable):
+    """Forgets only the pieces longest not used, so that frequent ones are not worked out anew.
+
+    When it is full it keeps at most half of each limit, and no more than leaves room for the batch.
+    """
+
+    batches = 0
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.last_used = np.zeros(len(self.starts), np.int64)
+
+    def _store(self, fresh: list[str], values: np.ndarray, lengths: np.ndarray) -> None:
+        super()._store(fresh, values, lengths)
+        if len(self.last_used) < len(self.starts):
+            self.last_used = np.resize(self.last_used, len(self.starts))
+
+    def _keep(self, pieces: int, chars: int) -> None:
+        """Forget all but the last used, up to so many pieces and characters."""
+        n = len(self.places)
+        order = np.argsort(-self.last_used[:n], kind="stable")
+        sizes = np.fromiter(map(len, self.places), np.int64, n)
+        fitting = int(np.searchsorted(np.cumsum(sizes[order]), chars, "right"))
+        kept = np.sort(order[: max(0, min(pieces, fitting))])
+        chosen = np.zeros(n, bool)
+        chosen[kept] = True
+        names, lengths, last_used = list(compress(self.places, chosen)), self.lengths[kept], self.last_used[kept]
+        values = self.flat[ragged(self.starts[kept], lengths)]
+        self._clear()
+        if names:
+            self._store(names, values, lengths)
+            self.last_used[: len(names)] = last_used
+
+    def _found(self, pieces: list[str]) -> np.ndarray:
+        """The place of each piece, -1 if it has none."""
+        return np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def gather(self, codes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces in order, and how many each piece has; ``pieces`` are distinct."""
+        self._take_over()
         self.batches += 1
         at = self._found(pieces)
         fresh = list(compress(pieces, at < 0))
         if len(self.places) + len(fresh) > self.limit or self.held + sum(map(len, fresh)) > self.chars:
-            if self.recent:
-                self.last_used[at[at >= 0]] = self.batches
-                room = self.chars - sum(map(len, pieces))
-                self._keep_recent(min(self.limit // 2, self.limit - len(pieces)), min(self.chars // 2, room))
-            else:
-                self._clear()
+            self.last_used[at[at >= 0]] = self.batches
+            self._keep(min(self.limit // 2, self.limit - len(pieces)), min(self.chars // 2, self.chars - sum(map(len, pieces))))
             at = self._found(pieces)
             fresh = list(compress(pieces, at < 0))
         if fresh:
             first = len(self.places)
-            self._store(fresh, *self.work(fresh))
+            self._add(fresh)
             at[at < 0] = np.arange(first, first + len(fresh))
-        if self.recent:
-            self.last_used[at] = self.batches
+        self.last_used[at] = self.batches
         index = at[codes]
         lengths = self.lengths[index]
         return self.flat[ragged(self.starts[index], lengths)], lengths

@@ -164,7 +164,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.table = arrowtext.PieceTable(self._encode, np.uint32, recent=True)
+        self.table = arrowtext.RecentPieceTable(self._encode, np.uint32)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith(WORD_END)]] = True

@@ -131,7 +131,7 @@ def test_recently_used_pieces_stay_when_a_table_is_full():
         seen.extend(pieces)
         return np.array([ord(p[0]) for p in pieces for _ in p], np.int64), np.array([len(p) for p in pieces], np.int64)
 
-    table = arrowtext.PieceTable(work, np.int64, limit=10, chars=1000, recent=True)
+    table = arrowtext.RecentPieceTable(work, np.int64, limit=10, chars=1000)
     for n in range(40):
         batch = ["often", "also", chr(200 + 2 * n) * 3, chr(201 + 2 * n)]
         values, lengths = table.gather(np.array([3, 0, 2, 1, 0]), batch)
