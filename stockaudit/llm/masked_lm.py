@@ -14,6 +14,7 @@ rows of that round, and send what they reached; Spark averages it, weighted by w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,14 +51,14 @@ SHAPES = {
     "low": (WIDTH, PARTS),
     "low_bias": (PARTS, PARTS),
 }
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+SIZE = sum(map(math.prod, SHAPES.values()))
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     """The parameters of a network as named parts of one array."""
     out, at = {}, 0
     for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
@@ -78,23 +79,36 @@ def identity(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) // VOCABULARY * VOCABULARY + ending
 
 
-def _classed(own: np.ndarray) -> arrowtext.PieceTable:
+def identities(pieces: list[str]) -> np.ndarray:
+    """``identity`` of each word; what last letters stand for is worked out once for all words that share them."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+    endings = [piece[-LAST_LETTERS:] for piece in pieces]
+    classes = {ending: identity(ending) % VOCABULARY for ending in set(endings)}
+    low = np.fromiter(map(classes.__getitem__, endings), np.uint64, len(pieces))
+    return hashes // np.uint64(VOCABULARY) * np.uint64(VOCABULARY) + low
+
+
+def _classed(own: np.ndarray) -> arrowtext.UnkeptPieces:
     """Numbers of words whose low bits are their class: their place in ``own`` (identities), or that of their last letters."""
-    places = {int(word): place for place, word in enumerate(own)}
+    order = np.argsort(own).astype(np.uint64)
+    ordered = own[order]
 
     def work(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [identity(piece) for piece in pieces if piece]
-        found = [n if n not in places else n // VOCABULARY * VOCABULARY + places[n] for n in found]
-        return np.array(found, np.uint64), np.fromiter(map(bool, pieces), np.int64, len(pieces))
+        found = identities([piece for piece in pieces if piece])
+        if len(own):
+            at = np.minimum(np.searchsorted(ordered, found), len(own) - 1)
+            classed = found // np.uint64(VOCABULARY) * np.uint64(VOCABULARY) + order[at]
+            found = np.where(ordered[at] == found, classed, found)
+        return found, np.fromiter(map(bool, pieces), np.int64, len(pieces))
 
-    return arrowtext.PieceTable(work, np.uint64)
+    return arrowtext.UnkeptPieces(work, np.uint64)
 
 
-_tables: dict[bytes, arrowtext.PieceTable] = {}
+_tables: dict[bytes, arrowtext.UnkeptPieces] = {}
 NO_OWN = np.zeros(0, np.uint64)
 
 
-def table_of(own: np.ndarray) -> arrowtext.PieceTable:
+def table_of(own: np.ndarray) -> arrowtext.UnkeptPieces:
     """The table of a task's process; only the last one is kept."""
     key = own.tobytes()
     if key not in _tables:
@@ -123,27 +137,38 @@ def windows(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([padded[place + o] for o in _OFFSETS])
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """In place. Hidden values lie between -1 and 1 and weights stay small, so no maximum is taken off first."""
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In place, and their sums. Hidden values lie between -1 and 1 and weights stay small, so no maximum is taken off first."""
     np.exp(np.clip(logits, -60, 60, out=logits), out=logits)
-    logits /= logits @ np.ones((logits.shape[1], 1), logits.dtype)
-    return logits
+    return logits, logits @ np.ones((logits.shape[1], 1), logits.dtype)
 
 
 def forward(p: dict[str, np.ndarray], near: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
-    """Hidden vectors and the probabilities of both parts of each masked word."""
+    """Hidden vectors, and of both parts of each masked word the probabilities times their sums, with these sums."""
     high, low = ids // PARTS, ids % PARTS
-    looked = [np.take(p["words"], n, axis=0) for n in near]
-    h = np.tanh(sum(x * w for x, w in zip(looked, p["places"])) + p["hidden"])
-    first = _softmax(h @ p["high"] + p["high_bias"])
-    g = np.tanh(h + np.take(p["given"], high, axis=0))
-    second = _softmax(g @ p["low"] + np.take(p["low_bias"], high, axis=0))
-    return {"high": high, "low": low, "looked": looked, "h": h, "first": first, "g": g, "second": second}
+    # A row for each word of the vocabulary, times the weights of each place, is less than one for each word of a window.
+    h = np.take(p["words"] * p["places"][0], near[0], axis=0)
+    for n, weights in zip(near[1:], p["places"][1:]):
+        h += np.take(p["words"] * weights, n, axis=0)
+    h += p["hidden"]
+    np.tanh(h, out=h)
+    logits = h @ p["high"]
+    logits += p["high_bias"]
+    first, first_sum = _exponentials(logits)
+    g = np.take(p["given"], high, axis=0)
+    g += h
+    np.tanh(g, out=g)
+    logits = g @ p["low"]
+    logits += np.take(p["low_bias"], high, axis=0)
+    second, second_sum = _exponentials(logits)
+    return {"high": high, "low": low, "h": h, "first": first, "first_sum": first_sum, "g": g, "second": second, "second_sum": second_sum}
 
 
 def log_probabilities(p: dict[str, np.ndarray], near: np.ndarray, ids: np.ndarray) -> np.ndarray:
     f, row = forward(p, near, ids), np.arange(len(ids))
-    return np.log(np.maximum(f["first"][row, f["high"]], 1e-30)) + np.log(np.maximum(f["second"][row, f["low"]], 1e-30))
+    first = f["first"][row, f["high"]] / f["first_sum"][:, 0]
+    second = f["second"][row, f["low"]] / f["second_sum"][:, 0]
+    return np.log(np.maximum(first, 1e-30)) + np.log(np.maximum(second, 1e-30))
 
 
 def gradient(p: dict[str, np.ndarray], near: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -152,6 +177,8 @@ def gradient(p: dict[str, np.ndarray], near: np.ndarray, ids: np.ndarray) -> np.
     flat = np.zeros(SIZE, np.float32)
     out = views(flat)
     high, low, first, second = f["high"], f["low"], f["first"], f["second"]
+    first /= f["first_sum"]
+    second /= f["second_sum"]
     # Sums over the words with the same high part, as a product with a table of zeros and ones.
     same = np.zeros((len(ids), PARTS), np.float32)
     same[row, high] = 1 / n
@@ -172,8 +199,8 @@ def gradient(p: dict[str, np.ndarray], near: np.ndarray, ids: np.ndarray) -> np.
     begins = np.flatnonzero(np.concatenate(([True], sorted_near[1:] != sorted_near[:-1])))
     to_words = (to_h[None] * p["places"][:, None]).reshape(-1, WIDTH)
     out["words"][sorted_near[begins]] = np.add.reduceat(np.take(to_words, order, axis=0), begins, axis=0)
-    for k, looked in enumerate(f["looked"]):
-        out["places"][k] = np.einsum("nd,nd->d", looked, to_h)
+    for k, n_th in enumerate(near):
+        out["places"][k] = np.einsum("nd,nd->d", np.take(p["words"], n_th, axis=0), to_h)
     return flat
 
 
@@ -318,8 +345,8 @@ def score_words(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     fields = "row long, doc_id long, n_tokens long, sum double, rare array<long>"
     found = landed(rows.mapInArrow(lambda b: _scored_words(b, flat, own, totals, known, shares), fields), "scored")
-    rare = found.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    rare = rare.join(counts.where(F.col("n") < bound), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    rare = found.select("row", F.explode("rare").alias("word"))
+    rare = rare.join(counts.where(F.col("n") < bound), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     out = found.drop("rare").join(rare, "row", "left")
     total = F.col("sum") + F.coalesce("more", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))

@@ -10,8 +10,11 @@ import xxhash
 from stockaudit.llm import arrowtext
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-# What parts words: runs of anything but letters, digits, marks and underscores.
-_APART = r"[^\pL\pN\pM_]+"
+# Words are parted by anything but letters, digits, marks and underscores: in ASCII byte by byte, so that the
+# slower pattern has only the others to look for.
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[[b for b in range(128) if not (chr(b).isalnum() or chr(b) == "_")]] = ord(" ")
+_APART_BEYOND_ASCII = r"[^\x00-\x7F\pL\pN\pM]+"
 
 
 def words(text: str) -> list[str]:
@@ -20,7 +23,13 @@ def words(text: str) -> list[str]:
 
 
 def _spaced(texts: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.utf8_lower(texts), _APART, " ")
+    """Lower-case texts with spaces, often several, between their words."""
+    lower = pc.utf8_lower(texts)
+    valid, offsets, data = lower.buffers()
+    if data is not None:
+        data = pa.py_buffer(_BYTES[np.frombuffer(data, np.uint8)])
+    apart = pa.LargeStringArray.from_buffers(len(lower), offsets, data, valid, lower.null_count, lower.offset)
+    return pc.replace_substring_regex(apart, _APART_BEYOND_ASCII, " ")
 
 
 def _hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:

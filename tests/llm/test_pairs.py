@@ -6,7 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -226,6 +228,40 @@ def test_gradient():
     assert np.exp(one).sum() == pytest.approx(1.0, abs=1e-5)
 
 
+def test_words_are_parted_as_by_the_pattern():
+    every = "".join(f"aB{chr(c)}Cd_{chr(c)}{chr(c)} x" for c in range(0x11_0000) if not 0xD800 <= c < 0xE000)
+    texts = pa.array(["", every[: len(every) // 2], "", every[len(every) // 2 :], "Ä, b\x00c\n\n"], pa.large_string())
+    split = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pN\pM_]+", " ").to_pylist()
+    assert [words.words(t) for t in texts.to_pylist()] == [[w for w in t.split(" ") if w] for t in split]
+    values, starts = words.hashed_words(texts[1:])
+    assert np.diff(starts).tolist() == [len(words.words(t)) for t in texts[1:].to_pylist()]
+    assert values[-3:].tolist() == [xxhash.xxh3_64_intdigest(w) for w in ("ä", "b", "c")]
+
+
+def test_classes_cost_a_hash_for_each_ending_and_keep_no_words(monkeypatch):
+    some = [f"{k}{ending}" for k in range(500) for ending in ("ab", "ßé", "7")] + ["a", "né"]
+    expected = np.array([masked_lm.identity(w) for w in some], np.uint64)
+    own = expected[[700, 3, 1501]]
+    placed = {int(n): int(n) // masked_lm.VOCABULARY * masked_lm.VOCABULARY + k for k, n in enumerate(own)}
+    asked, plain = [], masked_lm.identity
+    monkeypatch.setattr(masked_lm, "identity", lambda word: asked.append(word) or plain(word))
+    texts = pa.array([" ".join(some), ", ", "né"], pa.large_string())
+    for known, numbers in ((masked_lm.NO_OWN, expected.tolist()), (own, [placed.get(n, n) for n in expected.tolist()])):
+        asked.clear()
+        table = masked_lm.table_of(known)
+        values, starts = words.hashed_words(texts, table)
+        assert values.tolist() == [*numbers, numbers[-1]] and starts.tolist() == [0, len(some), len(some), len(some) + 1]
+        assert len(asked) <= len({w[-masked_lm.LAST_LETTERS :] for w in some}) and not table.places
+        values, n = words.counted_words(texts, table)
+        assert dict(zip(values.tolist(), n.tolist())) == Counter([*numbers, numbers[-1]])
+
+
+def test_rare_words_are_added_up_once(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, None)], "doc_id long, text string")
+    plan = masked_lm.score_words(docs, masked_lm.learn(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate(keys") == 2  # by row, before and after the shuffle
+
+
 def brute_scores(model, texts):
     """Sum over the words of log P(class | around) and log of the word's share in its class, word by word."""
     own = {int(n): place for place, n in enumerate(model.own)}
